@@ -81,3 +81,220 @@ def page_catalog(spark: SparkSession, sf: str) -> DataFrame:
         F.col("n_html").cast("bigint").alias("popularity"),
         F.upper(F.md5("title")).alias("isrc"),
     )
+
+
+# --------------------------------------------------------------------------- libraries
+def playlists(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as playlists of the library of the customer's nation."""
+    orders = table(spark, sf, "orders")
+    owners = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("library_id")
+    )
+    return orders.join(owners, "o_custkey").select(
+        "library_id",
+        F.col("o_orderkey").cast("string").alias("playlist_id"),
+        F.col("o_orderkey").alias("pos"),
+        F.concat_ws("-", "o_custkey", "o_orderpriority").alias("name"),
+        (F.col("o_orderstatus") == "P").alias("smart"),
+        (F.col("o_orderstatus") != "F").alias("own"),
+        "o_orderstatus",
+    )
+
+
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as playlist items."""
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("playlist_id"),
+        (F.col("l_linenumber").cast("bigint") * 1_000_000_000 + F.col("l_partkey")).alias("pos"),
+        F.col("l_partkey").cast("string").alias("track_id"),
+    )
+    return lines.join(playlists(spark, sf).select("library_id", "playlist_id"), "playlist_id")
+
+
+def lib_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as tracks of every library that lists them."""
+    listed = items(spark, sf).select("library_id", "track_id").distinct()
+    parts = table(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("track_id"),
+        F.col("p_partkey").alias("pos"),
+        F.col("p_name").alias("name"),
+        F.col("p_brand").alias("artist"),
+        F.col("p_type").alias("album"),
+        F.col("p_brand").alias("album_artist"),
+        (F.col("p_size") * 1000).cast("bigint").alias("duration_ms"),
+        (F.col("p_size") > 40).alias("loved"),
+        F.lit(None).cast("string").alias("isrc"),
+    )
+    return listed.join(parts, "track_id")
+
+
+def decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Earlier decisions on the identity keys of the parts of most types."""
+    from .operators.prepare import with_key
+
+    parts = with_key(
+        table(spark, sf, "part")
+        .filter("p_type <> 'SMALL'")
+        .select("*", F.col("p_name").alias("name"), F.col("p_brand").alias("artist"), F.lit(None).cast("string").alias("isrc"))
+    )
+    first = parts.groupBy("key").agg(
+        F.min(F.struct("p_partkey", "p_type", "p_size", "p_name", "p_brand")).alias("p")
+    ).select("key", "p.*")
+    matched = F.col("p_type") != "LARGE"
+    return first.select(
+        "key",
+        F.when(matched, F.concat(F.lit("c"), F.col("p_partkey"))).alias("id"),
+        (F.col("p_size") * 2.0).alias("score"),
+        F.col("p_name").alias("title"),
+        F.col("p_brand").alias("artist"),
+        F.when(matched, F.concat_ws("-", "p_brand", "p_type")).alias("album_id"),
+        F.lit(78.0).alias("threshold"),
+    )
+
+
+def albums(spark: SparkSession, sf: str) -> DataFrame:
+    """Albums the libraries declare: artist and album of their tracks."""
+    coded = ~F.col("album").isin("SMALL", "LARGE")
+    return (
+        lib_tracks(spark, sf)
+        .groupBy("library_id", "artist", "album")
+        .agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("track_count"))
+        .select(
+            "library_id",
+            "pos",
+            F.col("album").alias("name"),
+            "artist",
+            "track_count",
+            F.when(coded, F.md5(F.concat("artist", "album"))).alias("upc"),
+        )
+    )
+
+
+def upc_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalog albums by code; albums of type ECONOMY are missing."""
+    return table(spark, sf, "part").filter("p_type <> 'ECONOMY'").select(
+        F.md5(F.concat("p_brand", "p_type")).alias("upc"),
+        F.concat(F.lit("u"), F.col("p_partkey")).alias("album_id"),
+        F.col("p_partkey").alias("pos"),
+    )
+
+
+def upc_memo(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes already looked up: PROMO ones found, MEDIUM ones known absent."""
+    return (
+        table(spark, sf, "part")
+        .filter("p_type in ('PROMO', 'MEDIUM')")
+        .groupBy(F.md5(F.concat("p_brand", "p_type")).alias("upc"), "p_type")
+        .agg(F.min("p_partkey").alias("_k"))
+        .select("upc", F.when(F.col("p_type") == "PROMO", F.concat(F.lit("m"), F.col("_k"))).alias("album_id"))
+    )
+
+
+def favorites(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as favorites of an account, the market segment telling the kind."""
+    kind = (
+        F.when(F.col("c_mktsegment") == "HOUSEHOLD", "album")
+        .when(F.col("c_mktsegment") == "MACHINERY", "artist")
+        .otherwise("track")
+    )
+    return table(spark, sf, "customer").select(
+        F.concat(F.lit("n"), F.col("c_nationkey")).alias("library_id"),
+        kind.alias("kind"),
+        F.concat(F.lit("c"), F.col("c_custkey")).alias("id"),
+        F.col("c_name").alias("name"),
+        F.col("c_custkey").alias("pos"),
+    )
+
+
+# --------------------------------------------------------------------------- exports
+def _song(line, album: str):
+    return F.struct(
+        F.md5(line).alias("id"),
+        line.alias("name"),
+        F.col("lang").alias("artist"),
+        F.col(album).alias("album"),
+        F.length(line).cast("bigint").alias("duration_ms"),
+    )
+
+
+def json_exports(spark: SparkSession, sf: str) -> DataFrame:
+    """One export per document, as JSON text: its long lines are the song list, all its
+    lines a playlist, its source a declared album."""
+    lines = F.split("text", "\n")
+    export = F.struct(
+        F.transform(F.filter(lines, lambda s: F.length(s) >= 100), lambda s: _song(s, "source")).alias("songs"),
+        F.array(
+            F.struct(F.col("source").alias("name"), F.transform(lines, lambda s: _song(s, "lang")).alias("tracks"))
+        ).alias("playlists"),
+        F.array(
+            F.struct(
+                F.col("source").alias("name"),
+                F.col("lang").alias("artist"),
+                F.size(lines).alias("track_count"),
+                F.md5("source").alias("upc"),
+            )
+        ).alias("albums"),
+    )
+    return text_table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("library_id"), F.to_json(export).alias("body")
+    )
+
+
+def _escaped(s):
+    for raw, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        s = F.replace(s, F.lit(raw), F.lit(ref))
+    return s
+
+
+def plist_exports(spark: SparkSession, sf: str) -> DataFrame:
+    """One property list per document: its lines as tracks, those of a document in
+    French as videos where they are short, and a playlist of all of them."""
+    lines = F.split("text", "\n")
+
+    def track(line, i):
+        kind = F.when((F.length(line) < 40) & (F.col("lang") == "fr"), "MPEG video file").otherwise("audio file")
+        return F.concat(
+            F.lit("<key>"), i, F.lit("</key><dict><key>Name</key><string>"), _escaped(line),
+            F.lit("</string><key>Artist</key><string>"), F.col("lang"),
+            F.lit("</string><key>Kind</key><string>"), kind,
+            F.lit("</string><key>Total Time</key><integer>"), F.length(line), F.lit("</integer></dict>"),
+        )
+
+    def item(line, i):
+        return F.concat(F.lit("<dict><key>Track ID</key><integer>"), i, F.lit("</integer></dict>"))
+
+    content = F.concat(
+        F.lit('<?xml version="1.0" encoding="UTF-8"?><plist version="1.0"><dict><key>Tracks</key><dict>'),
+        F.array_join(F.transform(lines, track), ""),
+        F.lit("</dict><key>Playlists</key><array><dict><key>Name</key><string>Library</string></dict>"),
+        F.lit("<dict><key>Name</key><string>"), F.col("source"),
+        F.lit("</string><key>Smart Info</key><data></data><key>Playlist Items</key><array>"),
+        F.array_join(F.transform(lines, item), ""),
+        F.lit("</array></dict></array></dict></plist>"),
+    )
+    return text_table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("library_id"), F.encode(content, "UTF-8").alias("content")
+    )
+
+
+def page_dumps(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as stored pages of their source's collection; blank lines are null items."""
+    lines = F.split("text", "\n")
+
+    def item(line):
+        track = F.struct(
+            F.md5(line).alias("id"),
+            line.alias("name"),
+            F.when(line.endswith("."), "track").when(line.contains(","), "episode").alias("type"),
+            (F.length(line) < 20).alias("is_local"),
+            F.length(line).cast("bigint").alias("duration_ms"),
+            F.array(F.struct(F.col("lang").alias("name"))).alias("artists"),
+            F.struct(F.col("source").alias("name"), F.concat(F.col("n_chars"), F.lit("-01")).alias("release_date")).alias("album"),
+        )
+        return F.when(F.trim(line) != "", F.struct(track.alias("track")))
+
+    return text_table(spark, sf, "documents").select(
+        F.col("source").alias("collection"),
+        (F.col("doc_id") * 1_000_000).alias("offset"),
+        F.to_json(F.struct(F.transform(lines, item).alias("items"))).alias("body"),
+    )
