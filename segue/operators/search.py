@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text
+from ..session import materialise
 
 WEIGHT_SCALE = 1_000_000_000_000
 
@@ -28,6 +29,10 @@ def _weight(df: Column) -> Column:
     return F.call_function("div", F.lit(WEIGHT_SCALE), df)
 
 
+def _total(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda s, w: s + _weight(w["df"]))
+
+
 def _set_id(words: Column) -> Column:
     return F.md5(F.array_join(words, " "))
 
@@ -105,7 +110,8 @@ def search(tracks: DataFrame, catalog: DataFrame, limit: int = fv.SEARCH_LIMIT)
         .groupBy("key")
         .agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("all_known"))
     )
-    searches = (
+    # read twice below: whole for the distinct searches, narrow for the way back
+    searches = materialise(
         tracks.select("key", "terms", "asked")
         .join(known, "key")
         .withColumn("missing", F.transform("asked", lambda q: F.array_except("terms", q["terms"])))
@@ -115,29 +121,34 @@ def search(tracks: DataFrame, catalog: DataFrame, limit: int = fv.SEARCH_LIMIT)
         .select("key", "query_no", "known", _set_id(F.transform("known", lambda w: w["term"])).alias("search_id"))
     )
 
-    per_search = Window.partitionBy("search_id")
-    before = per_search.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    # words are looked up while those before them weigh at most half
+    start = F.struct(F.lit(0).cast("bigint").alias("before"), F.lit(0).alias("n"))
+    prefix = F.aggregate(
+        "known",
+        start,
+        lambda s, w: F.when(
+            2 * s["before"] <= F.col("total"),
+            F.struct((s["before"] + _weight(w["df"])).alias("before"), (s["n"] + 1).alias("n")),
+        ).otherwise(s),
+        lambda s: s["n"],
+    )
     lookups = (
         searches.groupBy("search_id")
         .agg(F.any_value("known").alias("known"))
-        .select("search_id", "known", F.posexplode("known").alias("at", "_w"))
+        .withColumn("total", _total(F.col("known")))
+        .select("search_id", "known", "total", F.posexplode(F.slice("known", F.lit(1), prefix)).alias("at", "_w"))
         .withColumn("term", F.col("_w.term"))
-        .withColumn("_weight", _weight(F.col("_w.df")))
-        .withColumn("total", F.sum("_weight").over(per_search))
-        .withColumn("_before", F.coalesce(F.sum("_weight").over(before), F.lit(0)))
-        .filter(2 * F.col("_before") <= F.col("total"))
-        .drop("_w", "_weight", "_before")
+        .drop("_w")
     )
 
     postings = index.select(F.explode("entry_terms").alias("term"), "entry_terms", "cand_ids")
     rarer = F.slice(F.transform("known", lambda w: w["term"]), F.lit(1), F.col("at"))
     shared = F.filter("known", lambda w: F.array_contains("entry_terms", w["term"]))
-    weight = F.aggregate(shared, F.lit(0).cast("bigint"), lambda s, w: s + _weight(w["df"]))
     ranking = Window.partitionBy("search_id").orderBy(F.desc("weight"), "cand_id")
     answers = (
         lookups.join(postings, "term")
         .filter(~F.arrays_overlap(rarer, "entry_terms"))  # each pair once, by its rarest word
-        .withColumn("weight", weight)
+        .withColumn("weight", _total(shared))
         .filter(2 * F.col("weight") >= F.col("total"))
         .select("search_id", "weight", F.explode("cand_ids").alias("cand_id"))
         .withColumn("rank", F.row_number().over(ranking))
