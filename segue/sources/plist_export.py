@@ -10,7 +10,7 @@ from __future__ import annotations
 import plistlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,15 +22,18 @@ _TRACK = {
     "Total Time": "bigint", "Loved": "boolean", "Year": "int", "Kind": "string",
     "Has Video": "boolean", "Podcast": "boolean", "Movie": "boolean", "TV Show": "boolean",
 }
-_ROWS = (
-    "library_id string, what string, pos bigint, id string, item bigint, `Smart Info` boolean, "
-    + ", ".join(f"`{f}` boolean" for f in fv.SYSTEM_PLAYLIST_FLAGS)
-    + ", "
-    + ", ".join(f"`{name}` {kind}" for name, kind in _TRACK.items())
-)
-_COLUMNS = (
-    ["library_id", "what", "pos", "id", "item", "Smart Info"] + fv.SYSTEM_PLAYLIST_FLAGS + list(_TRACK)
+_KINDS = {
+    "library_id": "string", "what": "string", "pos": "bigint", "id": "string", "item": "bigint",
+    "Smart Info": "boolean", **{flag: "boolean" for flag in fv.SYSTEM_PLAYLIST_FLAGS}, **_TRACK,
+}
+_ROWS = ", ".join(f"`{name}` {kind}" for name, kind in _KINDS.items())
+_ARROW = pa.schema(
+    [
+        (name, {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[kind])
+        for name, kind in _KINDS.items()
+    ]
 )
+_ROWS_PER_BATCH = 20_000
 
 
 def _cast(name: str, value):
@@ -53,12 +56,17 @@ def _file_rows(library_id: str, content: bytes) -> Iterator[dict]:
             yield {"library_id": library_id, "what": "item", "pos": pos, "item": item, "id": str(entry.get("Track ID"))}
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[dict] = []
     for batch in batches:
-        for library_id, content in zip(batch["library_id"], batch["content"]):
-            rows = list(_file_rows(library_id, bytes(content)))
-            if rows:
-                yield pd.DataFrame(rows).reindex(columns=_COLUMNS).astype(object).where(lambda d: d.notna(), None)
+        for library_id, content in zip(batch["library_id"].to_pylist(), batch["content"].to_pylist()):
+            for row in _file_rows(library_id, content):
+                rows.append(row)
+                if len(rows) == _ROWS_PER_BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                    rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +76,7 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_exports(files: DataFrame) -> DataFrame:
     """All rows of the exports; ``what`` tells tracks, playlists and playlist items."""
-    return files.select("library_id", "content").mapInPandas(_parse, _ROWS)
+    return files.select("library_id", "content").mapInArrow(_parse, _ROWS)
 
 
 def tracks(rows: DataFrame) -> DataFrame:
