@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.prepare import with_key
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -111,10 +113,8 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     return lines.join(playlists(spark, sf).select("library_id", "playlist_id"), "playlist_id")
 
 
-def lib_tracks(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts as tracks of every library that lists them."""
-    listed = items(spark, sf).select("library_id", "track_id").distinct()
-    parts = table(spark, sf, "part").select(
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(
         F.col("p_partkey").cast("string").alias("track_id"),
         F.col("p_partkey").alias("pos"),
         F.col("p_name").alias("name"),
@@ -125,13 +125,22 @@ def lib_tracks(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("p_size") > 40).alias("loved"),
         F.lit(None).cast("string").alias("isrc"),
     )
-    return listed.join(parts, "track_id")
+
+
+def lib_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as tracks of every library that lists them."""
+    listed = items(spark, sf).select("library_id", "track_id").distinct()
+    return listed.join(_parts(spark, sf), "track_id")
+
+
+def keyed_lib_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with identity keys, computed once per part instead of once per listing."""
+    listed = items(spark, sf).select("library_id", "track_id").distinct()
+    return listed.join(with_key(_parts(spark, sf)), "track_id")
 
 
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Earlier decisions on the identity keys of the parts of most types."""
-    from .operators.prepare import with_key
-
     parts = with_key(
         table(spark, sf, "part")
         .filter("p_type <> 'SMALL'")

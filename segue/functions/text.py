@@ -3,8 +3,8 @@
 Everything stays in the JVM.  Spark has no Unicode decomposition, so ``norm``
 folds characters with ``translate`` and a table derived from ``unicodedata``;
 only strings holding a character that table cannot express (one that decomposes
-into several, or lies outside the covered blocks) visit an Arrow UDF, and all
-other rows hand that UDF a null.
+into several, or lies outside the covered blocks) are normalised by an Arrow UDF,
+and all other rows hand that UDF a null.
 """
 
 from __future__ import annotations
@@ -65,30 +65,28 @@ _MARKS = {c: None for c in range(sys.maxunicode + 1) if unicodedata.combining(ch
 
 
 @F.pandas_udf(T.StringType())
-def _fold_exact(s: pd.Series) -> pd.Series:
+def _norm_exact(s: pd.Series) -> pd.Series:
     out = s.copy()
     held = s.notna()
     if held.any():
-        out[held] = s[held].str.normalize("NFKD").str.translate(_MARKS)
+        folded = s[held].str.normalize("NFKD").str.translate(_MARKS).str.lower()
+        spelt = folded.str.replace("&", "and").str.replace("’", "'")
+        out[held] = spelt.str.replace(r"[^\w']+", " ", regex=True).str.strip()
     return out
 
 
-def fold(c) -> Column:
-    """Compatibility decomposition without combining marks."""
-    c = as_column(c)
-    exact = c.rlike(_NOT_ASCII) & c.rlike(_NEEDS_EXACT)
-    return F.when(~c.rlike(_NOT_ASCII), c).otherwise(
-        F.coalesce(F.when(~exact, F.translate(c, _FROM, _TO)), _fold_exact(F.when(exact, c)))
-    )
-
-
 def norm(c) -> Column:
-    """Comparable form of a name: folded, lower case, words and apostrophes only."""
-    s = F.lower(fold(c))
-    s = F.replace(s, F.lit("&"), F.lit("and"))
+    """Comparable form of a name: compatibility decomposition without combining marks,
+    lower case, words and apostrophes only, single blanks."""
+    c = as_column(c)
+    ascii_only = ~c.rlike(_NOT_ASCII)
+    exact = ~ascii_only & c.rlike(_NEEDS_EXACT)
+    folded = F.when(ascii_only, c).when(~exact, F.translate(c, _FROM, _TO))
+    s = F.replace(F.lower(folded), F.lit("&"), F.lit("and"))
     s = F.translate(s, "’", "'")
-    # one pass: whatever is no word character or apostrophe becomes a single space
-    return F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}_']+", " "))
+    # one pass: whatever is no word character or apostrophe becomes a single blank
+    native = F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}_']+", " "))
+    return F.coalesce(native, _norm_exact(F.when(exact, c)))
 
 
 def strip(c) -> Column:

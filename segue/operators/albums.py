@@ -15,27 +15,41 @@ def with_album_key(tracks: DataFrame, artist: str = "album_artist", album: str =
     return tracks.withColumn("album_artist_key", text.norm(artist)).withColumn("album_key", text.norm(album))
 
 
-def decided(keyed_tracks: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Tracks with an album name, joined to the album id their decision found."""
-    named = with_album_key(keyed_tracks.filter(F.col("album") != ""))
-    found = decisions.select("key", F.nullif("album_id", F.lit("")).alias("album_id"))
-    return named.join(found, "key", "left")
+def _first_track():
+    return F.min(F.struct("pos", "album", "album_artist"))
 
 
 def tracks_by_album(keyed_tracks: DataFrame) -> DataFrame:
-    """Album groups of a library: size, and name and artist of the first track."""
+    """Album groups of a library: size, and name and artist of the first track.
+
+    Counted by the names as written first: only distinct names are normalised.
+    """
+    written = (
+        keyed_tracks.filter(F.col("album") != "")
+        .groupBy("library_id", "album_artist", "album")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
+    )
     return (
-        with_album_key(keyed_tracks.filter(F.col("album") != ""))
+        with_album_key(written)
         .groupBy(*ALBUM_KEY)
-        .agg(F.count(F.lit(1)).alias("n_tracks"), F.min(F.struct("pos", "album", "album_artist")).alias("_first"))
+        .agg(F.sum("n").alias("n_tracks"), _first_track().alias("_first"))
         .select(*ALBUM_KEY, "n_tracks", F.col("_first.album").alias("album"), F.col("_first.album_artist").alias("album_artist"))
     )
 
 
-def _votes(tracks: DataFrame) -> DataFrame:
-    """Per group and album id: tracks, with the group's first track carried along."""
-    return tracks.groupBy(*ALBUM_KEY, "album_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "album", "album_artist")).alias("first")
+def _votes(keyed_tracks: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Per group and album id found: tracks, with the group's first track carried along."""
+    found = decisions.select("key", F.nullif("album_id", F.lit("")).alias("album_id"))
+    written = (
+        keyed_tracks.filter(F.col("album") != "")
+        .join(found, "key", "left")
+        .groupBy("library_id", "album_artist", "album", "album_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
+    )
+    return (
+        with_album_key(written)
+        .groupBy(*ALBUM_KEY, "album_id")
+        .agg(F.sum("n").alias("n"), _first_track().alias("first"))
     )
 
 
@@ -64,7 +78,7 @@ def _majority(votes: DataFrame) -> DataFrame:
 
 def album_majority(keyed_tracks: DataFrame, decisions: DataFrame) -> DataFrame:
     """Strict majority album id of every group, null without one."""
-    return _majority(_votes(decided(keyed_tracks, decisions)))
+    return _majority(_votes(keyed_tracks, decisions))
 
 
 def _first_per_album(albums: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import fixed_values as fv
-from ..schemas import DECISIONS, UPC_DECISIONS
+from ..schemas import DECISIONS
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -49,26 +52,21 @@ def merge(old: DataFrame, new: DataFrame) -> DataFrame:
 def rekey(decisions: DataFrame, keyed_tracks: DataFrame) -> DataFrame:
     """Bring a table keyed by track id to identity keys.
 
-    Only a table without any identity key is rekeyed; of the tracks sharing a key the
-    first in track order gives the decision, unknown track ids are dropped.  ``pos``
-    orders the stored decisions.
+    Only a table without any identity key is rekeyed.  Where several stored decisions
+    reach the same key the first by ``pos`` stays; unknown track ids are dropped.
     """
     prefixes = [fv.CODE_KEY_PREFIX, fv.NAME_KEY_PREFIX, fv.ALBUM_CODE_KEY_PREFIX]
-    current = F.lit(False)
-    for prefix in prefixes:
-        current = current | F.col("key").startswith(prefix)
-    is_current = decisions.agg(F.coalesce(F.bool_or(current), F.lit(False)).alias("_current"))
-    flagged = decisions.join(F.broadcast(is_current))  # one row by construction
+    is_current = reduce(or_, [F.col("key").startswith(prefix) for prefix in prefixes])
     values = [c for c in decisions.columns if c not in ("key", "pos")]
-    rekeyed = (
-        flagged.filter("not _current")
-        .withColumnRenamed("key", "track_id")
-        .join(keyed_tracks.select("track_id", F.col("key")).distinct(), "track_id")
+    if not decisions.filter(is_current).isEmpty():
+        return decisions.select("key", *values)
+    return (
+        decisions.withColumnRenamed("key", "track_id")
+        .join(keyed_tracks.select("track_id", "key").distinct(), "track_id")
         .groupBy("key")
         .agg(F.min(F.struct("pos", *values)).alias("_first"))
         .select("key", *[F.col(f"_first.{c}").alias(c) for c in values])
     )
-    return flagged.filter("_current").select("key", *values).unionByName(rekeyed)
 
 
 def rename_legacy(decisions: DataFrame, prefix: str) -> DataFrame:

@@ -64,7 +64,7 @@ def _sides(spark, sf):
 
 
 def dedup_groups_query(spark, sf):
-    return dedup_groups(with_key(fx.lib_tracks(spark, sf))).select("key", "n_tracks", "library_id", "track_id")
+    return dedup_groups(fx.keyed_lib_tracks(spark, sf)).select("key", "n_tracks", "library_id", "track_id")
 
 
 def token_set_ratio_pairs(spark, sf):
@@ -146,7 +146,7 @@ def transfer_summary(spark, sf):
 
 # --------------------------------------------------------------------------- decisions
 def _keyed(spark, sf):
-    return with_key(fx.lib_tracks(spark, sf))
+    return fx.keyed_lib_tracks(spark, sf)
 
 
 def decisions_stale(spark, sf):

@@ -34,7 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = tempfile.mkdtemp(prefix="segue-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    # one folder per application, so it can be removed as a whole afterwards
+    return f"{folder.rstrip('/')}/segue-{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
