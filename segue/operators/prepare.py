@@ -43,14 +43,17 @@ def prepare_tracks(representatives: DataFrame) -> DataFrame:
     """Score-side columns of the tracks to look up."""
     return (
         representatives.withColumn("_album", text.clean_title("album"))
+        # most names are their own title, already normalised for the key
+        .withColumn("_whole", F.col("name") == text.clean_title("name"))
+        .withColumn("_cut", F.when(~F.col("_whole"), F.col("name")))
         .select(
             "*",
-            text.norm("name").alias("t_name"),
+            F.when(F.col("_whole"), F.col("t_title")).otherwise(text.norm("_cut")).alias("t_name"),
             text.norm("artist").alias("t_artist"),
             text.norm("_album").alias("t_album"),
             F.col("duration_ms").alias("t_duration_ms"),
         )
-        .drop("_album")
+        .drop("_album", "_whole", "_cut")
     )
 
 

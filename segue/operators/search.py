@@ -38,8 +38,10 @@ def _set_id(words: Column) -> Column:
 
 
 def with_queries(tracks: DataFrame) -> DataFrame:
-    """Add ``asked``, the distinct non-empty queries of a track in order, and ``terms``,
-    all their words.  Heavy per row: write the result before searching with it.
+    """Add ``terms``, the distinct words of all queries of a track, and ``asked``: the
+    distinct non-empty queries in order, each with the few of those words it lacks.
+
+    Heavy per row: write the result before searching with it.
     """
     prepared = (
         tracks.withColumn("_lead", text.clean_artist("artist"))
@@ -47,12 +49,23 @@ def with_queries(tracks: DataFrame) -> DataFrame:
         .withColumn("_album_lead", text.clean_artist("album_artist"))
         .withColumn("_n_album_lead", text.norm("_album_lead"))
     )
-
-    def query(parts: list[str], normal: list[str]) -> Column:
-        # the words of a concatenation are the words of its parts
+    fields = ["t_lead", "t_title", "t_artist", "t_name", "_n_album_lead"]
+
+    def split_words(parts: list) -> Column:
+        return F.split(F.concat_ws(" ", *parts), " ")
+
+    def query(parts: list[str], used: list[str]) -> Column:
+        # the words of a concatenation are the words of its parts; a name equal to its
+        # title brings no words of its own, and only short fields are left to compare
+        other = [f for f in fields if f not in used]
+        twin = {"t_name": "t_title", "t_title": "t_name"}
+        spare = [
+            F.when(F.col(f) != F.col(twin[f]), F.col(f)) if twin.get(f) in used else F.col(f) for f in other
+        ]
+        lacking = F.array_except(split_words(spare), split_words([F.col(f) for f in used]))
         return F.struct(
             text.strip(F.concat_ws(" ", *[F.coalesce(F.col(p), F.lit("")) for p in parts])).alias("query"),
-            F.sort_array(text.words(F.concat_ws(" ", *normal))).alias("terms"),
+            F.sort_array(F.array_remove(lacking, "")).alias("missing"),
         )
 
     asked = F.array(
@@ -63,16 +76,21 @@ def with_queries(tracks: DataFrame) -> DataFrame:
     )
     return (
         prepared.withColumn("asked", F.array_distinct(F.filter(asked, lambda q: q["query"] != "")))
-        .withColumn("terms", F.array_distinct(F.flatten(F.transform("asked", lambda q: q["terms"]))))
-        .drop("_lead", "_title", "_album_lead", "_n_album_lead")
+        .withColumn("_words", F.sort_array(split_words([F.col(f) for f in fields])))
+        # sorted, so a repeated word follows itself: linear in the length of the text
+        .withColumn(
+            "terms",
+            F.filter("_words", lambda w, i: (w != "") & ((i == 0) | (F.get("_words", i - 1) != w))),
+        )
+        .drop("_lead", "_title", "_album_lead", "_n_album_lead", "_words")
     )
 
 
 def search_queries(tracks: DataFrame) -> DataFrame:
     """Up to four distinct queries per key, in the order they are to be tried."""
     return (
-        tracks.select("key", F.posexplode("asked").alias("query_no", "_q"))
-        .select("key", "query_no", "_q.query", "_q.terms")
+        tracks.select("key", "terms", F.posexplode("asked").alias("query_no", "_q"))
+        .select("key", "query_no", "_q.query", F.array_except("terms", "_q.missing").alias("terms"))
     )
 
 
@@ -112,9 +130,8 @@ def search(tracks: DataFrame, catalog: DataFrame, limit: int = fv.SEARCH_LIMIT)
     )
     # read twice below: whole for the distinct searches, narrow for the way back
     searches = materialise(
-        tracks.select("key", "terms", "asked")
+        tracks.select("key", F.transform("asked", lambda q: q["missing"]).alias("missing"))
         .join(known, "key")
-        .withColumn("missing", F.transform("asked", lambda q: F.array_except("terms", q["terms"])))
         .select("key", "all_known", F.posexplode("missing").alias("query_no", "missing"))
         .withColumn("known", F.filter("all_known", lambda w: ~F.array_contains("missing", w["term"])))
         .filter(F.size("known") > 0)
