@@ -381,6 +381,15 @@ ORACLE = {
         "playlist_entries": """select library_id, playlist_id, id,
             row_number() over (partition by library_id, playlist_id order by min(pos)) as rank
             from matched where id is not null group by library_id, playlist_id, id""",
+        "playlist_writes": """select library_id, playlist_id, (rank - 1) // 3 as chunk,
+            case when n = 1 and (rank - 1) // 3 = 0 then 'replace' else 'append' end as mode,
+            string_agg(id, ',' order by rank) as ids
+            from (select library_id, playlist_id, id,
+                    row_number() over (partition by library_id, playlist_id order by min(pos)) as rank
+                  from matched where id is not null group by library_id, playlist_id, id)
+            join playlists using (library_id, playlist_id)
+            left join (select library_id, name, count(*) as n from playlists where smart group by all) using (library_id, name)
+            where coalesce(n, 0) <= 1 group by library_id, playlist_id, n, (rank - 1) // 3""",
         "playlist_actions": """select library_id, playlist_id, name, case when skip then 'skip_no_match'
             when n > 1 then 'skip_ambiguous' when n = 1 then 'replace' else 'create' end as action
             from plan left join (select library_id, name, count(*) as n from playlists where smart group by all)

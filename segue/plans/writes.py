@@ -66,6 +66,17 @@ def playlist_chunks(entries: DataFrame, size: int = fv.PLAYLIST_CHUNK) -> DataFr
     return chunked(entries, PLAYLIST, "id", size)
 
 
+def playlist_writes(chunks: DataFrame, actions: DataFrame) -> DataFrame:
+    """Batches of the playlists to write: the first one of a replaced playlist replaces."""
+    written = actions.filter(F.col("action").isin("create", "replace")).select(*PLAYLIST, "action")
+    replaces = (F.col("action") == "replace") & (F.col("chunk") == 0)
+    return (
+        chunks.join(written, PLAYLIST)
+        .withColumn("mode", F.when(replaces, "replace").otherwise("append"))
+        .drop("action")
+    )
+
+
 def favorites_plan(
     tracks: DataFrame, ids: DataFrame, all_tracks: bool, existing: DataFrame | None = None
 ) -> DataFrame:

@@ -284,6 +284,13 @@ def playlist_actions(spark, sf):
     )
 
 
+def playlist_writes(spark, sf):
+    chunks = writes.playlist_chunks(writes.playlist_entries(_matched(spark, sf)), 3)
+    return writes.playlist_writes(chunks, playlist_actions(spark, sf)).select(
+        "library_id", "playlist_id", "chunk", "mode", F.array_join("ids", ",").alias("ids")
+    )
+
+
 def _favorites(spark, sf, existing=None):
     tracks = fx.lib_tracks(spark, sf)
     ids = writes.track_ids(_keyed(spark, sf), fx.decisions(spark, sf))
@@ -560,7 +567,7 @@ QUERIES = {
         upc_todo, upc_lookup, upc_memo,
         tracks_by_album, album_majority, resolve_albums, guess_albums, favorite_albums_plan,
         filter_skip_smart, filter_only_names, select_needed_tracks, reset_scope_plan, ambiguous_names,
-        playlist_plan, playlist_entries, playlist_actions, favorites_plan, favorites_new_only,
+        playlist_plan, playlist_entries, playlist_actions, playlist_writes, favorites_plan, favorites_new_only,
         chunk_plan, unmatched_report,
         account_summary, account_snapshot, wipe_plan, verify_deletions, reset_gate,
         ingest_json_props, ingest_json_playlists, ingest_declared_albums, track_union_first_wins,
