@@ -1,7 +1,7 @@
 """Library linkage on Spark: ingest, normalise, link, plan, reconcile and report.
 
 Every public operator takes DataFrames and returns a DataFrame (or a Column);
-nothing is collected on the driver.  Tables carry ``library_id`` so one job
+no table is collected on the driver.  Tables carry ``library_id`` so one job
 serves a fleet of libraries against one catalog.
 """
 
