@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, quality, secrets
+from . import bpe, chat, packing, pii, quality, secrets
 
 
 def _table(spark, sf, name):
@@ -20,6 +21,26 @@ def op1_chat_format(spark, sf):
     return chat.read_back(chat.format_conversations(conversations.unionByName(extra)))
 
 
+def op3_packing(spark, sf):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(_table(spark, sf, "documents"), path, keep_ids=False)
+
+
+def op4_personal_data(spark, sf):
+    docs = _table(spark, sf, "documents")
+    found = pii.find_personal_data(docs, pii.train(docs))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(k) for k in pii.KINDS],
+        F.sha2(pii.joined("base"), 256).alias("base_sha256"),
+        pii.joined("spans").alias("spans"),
+    )
+
+
 def op6_quality_cascade(spark, sf):
     judged = quality.quality_cascade(_table(spark, sf, "documents"))
     return judged.select(
@@ -27,6 +48,17 @@ def op6_quality_cascade(spark, sf):
     )
 
 
+def op8_byte_bpe(spark, sf):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(_table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, path).select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_secret_ledger(spark, sf):
     found = secrets.scan_paths(_table(spark, sf, "documents"))
     kinds = [r.kind for r in secrets.RULES]
@@ -46,5 +78,5 @@ def op10_secret_ledger(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in [op1_chat_format, op6_quality_cascade, op10_secret_ledger]
+    for f in [op1_chat_format, op3_packing, op4_personal_data, op6_quality_cascade, op8_byte_bpe, op10_secret_ledger]
 }
