@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, pii, quality, secrets
+from . import bpe, chat, neardup, packing, pii, quality, secrets, substring
 
 
 def _table(spark, sf, name):
@@ -21,6 +21,10 @@ def op1_chat_format(spark, sf):
     return chat.read_back(chat.format_conversations(conversations.unionByName(extra)))
 
 
+def op2_repeated_passages(spark, sf):
+    return substring.repeats(_table(spark, sf, "documents"))
+
+
 def op3_packing(spark, sf):
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(_table(spark, sf, "documents"), path, keep_ids=False)
@@ -41,6 +45,10 @@ def op4_personal_data(spark, sf):
     )
 
 
+def op5_jaccard_join(spark, sf):
+    return neardup.near_duplicates(_table(spark, sf, "documents"))
+
+
 def op6_quality_cascade(spark, sf):
     judged = quality.quality_cascade(_table(spark, sf, "documents"))
     return judged.select(
@@ -78,5 +86,5 @@ def op10_secret_ledger(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in [op1_chat_format, op3_packing, op4_personal_data, op6_quality_cascade, op8_byte_bpe, op10_secret_ledger]
+    for f in [op1_chat_format, op2_repeated_passages, op3_packing, op4_personal_data, op5_jaccard_join, op6_quality_cascade, op8_byte_bpe, op10_secret_ledger]
 }
