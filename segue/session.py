@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, cores: int | None = None, app: str = "segue") -> SparkSession:
@@ -52,6 +53,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, marked for broadcast when counting shows at most so many rows.
+
+    For a written table; a larger one meets the other side by a shuffle.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per application."""
     context = spark.sparkContext
