@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise, ship_package
+from ..session import broadcast_if_small, materialise, ship_package
 from .components import components
 from .words import Words, mixed, runs
 
@@ -144,9 +144,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     pairs = materialise(pairs)
     need = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    picked = docs.select("doc_id", "text").join(
-        F.broadcast(need) if need.count() <= BROADCAST_IDS else need, "doc_id", "left_semi"
-    )
+    picked = docs.select("doc_id", "text").join(broadcast_if_small(need, BROADCAST_IDS), "doc_id", "left_semi")
     sets = materialise(_whole_sets(picked))
     both = (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
