@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, neardup, packing, pii, quality, secrets, substring
+from . import ann, bpe, chat, neardup, packing, pii, quality, secrets, substring, suffixes
 
 
 def _table(spark, sf, name):
@@ -56,6 +56,11 @@ def op6_quality_cascade(spark, sf):
     )
 
 
+def op7_suffix_dedup(spark, sf):
+    left = suffixes.remove_repeats(_table(spark, sf, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_byte_bpe(spark, sf):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(_table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
@@ -67,6 +72,11 @@ def op8_byte_bpe(spark, sf):
     )
 
 
+def op9_hilbert_neighbours(spark, sf):
+    found = ann.nearest(_table(spark, sf, "embeddings"), lambda ident: ident % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op10_secret_ledger(spark, sf):
     found = secrets.scan_paths(_table(spark, sf, "documents"))
     kinds = [r.kind for r in secrets.RULES]
@@ -86,5 +96,5 @@ def op10_secret_ledger(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in [op1_chat_format, op2_repeated_passages, op3_packing, op4_personal_data, op5_jaccard_join, op6_quality_cascade, op8_byte_bpe, op10_secret_ledger]
+    for f in [op1_chat_format, op2_repeated_passages, op3_packing, op4_personal_data, op5_jaccard_join, op6_quality_cascade, op7_suffix_dedup, op8_byte_bpe, op9_hilbert_neighbours, op10_secret_ledger]
 }
