@@ -82,15 +82,15 @@ STEPS["frequency"] = """
 select term, 1000000000000 // count(*) as w
 from (select unnest(terms) as term from (select distinct terms from entry_words)) group by term"""
 STEPS["asked_words"] = """
-select key, query_no, term, w, sum(w) over (partition by key, query_no) as total
+select key, query_no, term, w
 from (select key, query_no, unnest(terms) as term from asked) join frequency using (term)"""
 STEPS["found"] = """
 select key, query_no, cand_id, weight::bigint as weight,
-       row_number() over (partition by key, query_no order by weight desc, cand_id) as rank
-from (select key, query_no, cand_id, sum(w) as weight, any_value(total) as total
+       row_number() over (partition by key, query_no order by weight desc, popularity desc, cand_id) as rank
+from (select key, query_no, cand_id, sum(w) as weight
       from asked_words join (select cand_id, unnest(terms) as term from entry_words) using (term)
-      group by key, query_no, cand_id)
-where 2 * weight >= total qualify rank <= 12"""
+      group by key, query_no, cand_id) join (select cand_id, popularity from catalog) using (cand_id)
+qualify rank <= 12"""
 STEPS["firsts"] = """
 select key, cand_id, query_no, rank from found
 qualify row_number() over (partition by key, cand_id order by query_no, rank) = 1"""

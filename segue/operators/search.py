@@ -1,16 +1,16 @@
 """Candidate search: a ranked word search of the catalog as equi-joins.
 
-A word found in ``df`` distinct entries weighs ``10^12 div df``.  An entry answers
-a query when the words they share carry at least half of the weight of the query's
-known words; the best twelve by weight answer, ties by entry id.
-
-That condition is what keeps the join narrow without losing an answer.  With a
-query's words ordered from rare to frequent, an entry that shares none of the first
-words can only reach the weight of the remaining ones, so a word whose remaining
-weight is below half never has to be looked up (prefix filtering, Chaudhuri et al.
-2006).  Frequent words are looked up only for queries made of nothing else, and
-those collapse: equal sets of known words are searched once, equal catalog entries
-are indexed once.
+A word found in ``df`` distinct entries weighs ``10^12 div df``.  Every entry that shares a
+known word with a query may answer; the best twelve by weight answer, ties by popularity,
+then by entry id.
+
+What keeps the join narrow without losing an answer: a query's words are looked up from
+rare to frequent.  A word that ``limit`` distinct entries hold brings that many answers of
+its weight at least.  Once such a word outweighs all words not yet looked up together, an
+entry that shares none of the words looked up so far is outranked by those answers, and the
+rest need not be looked up.  Frequent words are looked up only for queries made of hardly
+anything else, and those collapse: equal sets of known words are searched once, equal
+catalog entries are indexed once.
 """
 
 from __future__ import annotations
@@ -97,29 +97,45 @@ def search_queries(tracks: DataFrame) -> DataFrame:
 def catalog_index(catalog: DataFrame, limit: int = fv.SEARCH_LIMIT) -> DataFrame:
     """Distinct word sets of the catalog with the entries that answer for them.
 
-    Entries with the same words tie on weight, so the ``limit`` lowest ids are all a
-    search can return of them: the window keeps them map-side before the shuffle.
+    Entries with the same words tie on weight, so the ``limit`` most popular of them, then
+    of the lowest ids, are all a search can return: the window keeps them map-side before
+    the shuffle.
     """
     entries = catalog.select(
-        "cand_id", F.sort_array(text.words(F.concat_ws(" ", "c_name", "c_artist"))).alias("entry_terms")
+        "cand_id",
+        F.coalesce("popularity", F.lit(0)).cast("bigint").alias("popularity"),
+        F.sort_array(text.words(F.concat_ws(" ", "c_name", "c_artist"))).alias("entry_terms"),
     )
-    order = Window.partitionBy("entry_terms").orderBy("cand_id")
+    order = Window.partitionBy("entry_terms").orderBy(F.desc("popularity"), "cand_id")
     return (
         entries.withColumn("_n", F.row_number().over(order))
         .filter(F.col("_n") <= limit)
         .groupBy("entry_terms")
-        .agg(F.collect_list("cand_id").alias("cand_ids"))
+        .agg(F.collect_list(F.struct("cand_id", "popularity")).alias("cands"))
     )
 
 
-def search(tracks: DataFrame, catalog: DataFrame, limit: int = fv.SEARCH_LIMIT) -> DataFrame:
-    """Ranked answers to the queries of each track: (key, query_no, cand_id, weight, rank)."""
-    index = catalog_index(catalog, limit)
-    frequency = (
-        index.select(F.explode("entry_terms").alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
+def index_and_frequency(catalog: DataFrame, limit: int = fv.SEARCH_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """The index, and how many distinct entries hold each word; both written once.
+
+    Their true sizes then let Spark choose between a broadcast and a shuffle.
+    """
+    index = materialise(catalog_index(catalog, limit))
+    frequency = index.select(F.explode("entry_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return index, materialise(frequency)
+
+
+def search(
+    tracks: DataFrame,
+    catalog: DataFrame,
+    limit: int = fv.SEARCH_LIMIT,
+    indexed: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """Ranked answers to the queries of each track: (key, query_no, cand_id, weight, rank).
+
+    ``indexed`` is what ``index_and_frequency`` gave for this catalog, where it is used often.
+    """
+    index, frequency = indexed or index_and_frequency(catalog, limit)
 
     # the words of all queries of a track are looked up together, once
     known = (
@@ -138,15 +154,18 @@ def search(tracks: DataFrame, catalog: DataFrame, limit: int = fv.SEARCH_LIMIT)
         .select("key", "query_no", "known", _set_id(F.transform("known", lambda w: w["term"])).alias("search_id"))
     )
 
-    # words are looked up while those before them weigh at most half
-    start = F.struct(F.lit(0).cast("bigint").alias("before"), F.lit(0).alias("n"))
+    # words are looked up until one that enough entries hold outweighs all that follow
+    start = F.struct(F.lit(0).cast("bigint").alias("before"), F.lit(0).cast("bigint").alias("sure"), F.lit(0).alias("n"))
     prefix = F.aggregate(
         "known",
         start,
-        lambda s, w: F.when(
-            2 * s["before"] <= F.col("total"),
-            F.struct((s["before"] + _weight(w["df"])).alias("before"), (s["n"] + 1).alias("n")),
-        ).otherwise(s),
+        lambda s, w: F.when(s["sure"] > F.col("total") - s["before"], s).otherwise(
+            F.struct(
+                (s["before"] + _weight(w["df"])).alias("before"),
+                F.greatest(s["sure"], F.when(w["df"] >= limit, _weight(w["df"])).otherwise(0)).alias("sure"),
+                (s["n"] + 1).alias("n"),
+            )
+        ),
         lambda s: s["n"],
     )
     lookups = (
@@ -158,16 +177,15 @@ def search(tracks: DataFrame, catalog: DataFrame, limit: int = fv.SEARCH_LIMIT)
         .drop("_w")
     )
 
-    postings = index.select(F.explode("entry_terms").alias("term"), "entry_terms", "cand_ids")
+    postings = index.select(F.explode("entry_terms").alias("term"), "entry_terms", "cands")
     rarer = F.slice(F.transform("known", lambda w: w["term"]), F.lit(1), F.col("at"))
     shared = F.filter("known", lambda w: F.array_contains("entry_terms", w["term"]))
-    ranking = Window.partitionBy("search_id").orderBy(F.desc("weight"), "cand_id")
+    ranking = Window.partitionBy("search_id").orderBy(F.desc("weight"), F.desc("popularity"), "cand_id")
     answers = (
         lookups.join(postings, "term")
         .filter(~F.arrays_overlap(rarer, "entry_terms"))  # each pair once, by its rarest word
         .withColumn("weight", _total(shared))
-        .filter(2 * F.col("weight") >= F.col("total"))
-        .select("search_id", "weight", F.explode("cand_ids").alias("cand_id"))
+        .select("search_id", "weight", F.inline("cands"))
         .withColumn("rank", F.row_number().over(ranking))
         .filter(F.col("rank") <= limit)
     )

@@ -25,20 +25,19 @@ def entry(i, name, artist, isrc=None, popularity=0, seconds=None, album="Al"):
 def brute_search(asked, entries, limit=12):
     """The definition, word for word: {(key, query_no): [(cand_id, weight)]}."""
     df = {}
-    for words in {frozenset(w) for _, w in entries}:
+    for words in {frozenset(w) for *_, w in entries}:
         for w in words:
             df[w] = df.get(w, 0) + 1
     weight = {w: 10**12 // n for w, n in df.items()}
     out = {}
     for key, query_no, terms in asked:
         known = [t for t in terms if t in weight]
-        total = sum(weight[t] for t in known)
         hits = []
-        for cand, words in entries:
+        for cand, popularity, words in entries:
             got = sum(weight[t] for t in known if t in words)
-            if got and 2 * got >= total:
-                hits.append((-got, cand))
-        out[key, query_no] = [(c, -g) for g, c in sorted(hits)[:limit]]
+            if got:
+                hits.append((-got, -popularity, cand))
+        out[key, query_no] = [(c, -g) for g, _, c in sorted(hits)[:limit]]
     return {k: v for k, v in out.items() if v}
 
 
@@ -55,13 +54,27 @@ def test_search_equals_brute_force_under_skew(spark):
     entries += [entry(1000 + i, "Love You", "artist1") for i in range(80)]
     t, c = sides(spark, tracks, entries)
     asked = [(r.key, r.query_no, r.terms) for r in search.search_queries(t).collect()]
-    words_of = [(r.cand_id, set(f"{r.c_name} {r.c_artist}".split())) for r in c.collect()]
+    words_of = [(r.cand_id, r.popularity, set(f"{r.c_name} {r.c_artist}".split())) for r in c.collect()]
     got = {}
     for r in search.search(t, c).orderBy("rank").collect():
         got.setdefault((r.key, r.query_no), []).append((r.cand_id, r.weight))
     assert got == brute_search(asked, words_of)
 
 
+def test_a_rare_word_does_not_hide_a_perfect_entry(spark):
+    entries = [entry(1, "Blue Moon", "Elvis"), entry(2, "Zanzibar Nights", "Someone")]
+    entries += [entry(10 + i, f"Blue Moon v{i}", "Elvis") for i in range(60)]
+    found = link.link_tracks(*sides(spark, [track(1, "Blue Moon Zanzibar", "Elvis")], entries)).collect()
+    assert [(r.id, r.score >= 78) for r in found] == [("c0001", True)]
+
+
+def test_equal_answers_go_by_popularity_then_id(spark):
+    entries = [entry(i, "Same Title", "Same", popularity=i % 7) for i in range(30)]
+    t, c = sides(spark, [track(1, "Same Title", "Same")], entries)
+    ranked = [r.cand_id for r in search.search(t, c).filter("query_no = 0").orderBy("rank").collect()]
+    assert ranked == [e[0] for e in sorted(entries, key=lambda e: (-e[6], e[0]))[:12]]
+
+
 def test_code_link_prefers_score_then_popularity_then_id(spark):
     t, c = sides(
         spark,
