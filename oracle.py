@@ -180,8 +180,8 @@ select 'n' || c_nationkey as library_id, o_orderkey::varchar as playlist_id, o_o
        o_orderstatus <> 'F' as own, o_orderstatus
 from orders join customer on o_custkey = c_custkey"""
 STEPS["items"] = """
-select library_id, l_orderkey::varchar as playlist_id, l_linenumber::bigint * 1000000000 + l_partkey as pos,
-       l_partkey::varchar as track_id
+select library_id, l_orderkey::varchar as playlist_id,
+       row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as pos, l_partkey::varchar as track_id
 from lineitem join playlists on playlist_id = l_orderkey::varchar"""
 STEPS["lib_tracks"] = f"""
 select library_id, p_partkey::varchar as track_id, p_partkey as pos, p_name as name, p_brand as artist, p_type as album,
@@ -276,14 +276,17 @@ STEPS["all_lines"] = """
 select doc_id, lang, source, n_chars, unnest(string_split(text, chr(10))) as line,
        unnest(range(len(string_split(text, chr(10))))) as line_no from documents"""
 STEPS["song_list"] = """
-select doc_id, lang, source, line, row_number() over (partition by doc_id order by line_no) - 1 as pos
-from all_lines where length(line) >= 100"""
+select doc_id, lang, source, line, line_no as pos from all_lines"""
+STEPS["play_list"] = """
+select doc_id, lang, source, line, line_no from all_lines
+union all
+select doc_id, lang, source, line || ' - Live', line_no + count(*) over (partition by doc_id) from all_lines"""
 STEPS["songs"] = """
 select doc_id::varchar as library_id, md5(line) as track_id, pos, line as name, lang as artist, source as album,
        lang as album_artist, length(line) as duration_ms, false as loved from song_list where line <> ''"""
 STEPS["listed"] = """
 select doc_id::varchar as library_id, md5(line) as track_id, line_no as pos, line as name, lang as artist, lang as album,
-       lang as album_artist, length(line) as duration_ms, false as loved, source from all_lines where line <> ''"""
+       lang as album_artist, length(line) as duration_ms, false as loved, source from play_list where line <> ''"""
 STEPS["plist_tracks"] = """
 select doc_id::varchar as library_id, line_no::varchar as track_id, line_no as pos, line as name, lang as artist, '' as album,
        lang as album_artist, length(line) as duration_ms, false as loved, source
@@ -415,7 +418,7 @@ ORACLE = {
         "account_snapshot": """select library_id, 'playlist' as kind, playlist_id as id, name, own, 0::bigint as part,
             count(track_id) as n_items, coalesce(string_agg(track_id || '=' || p_name, ',' order by i.pos), '') as tracks,
             '2024-01-01 00:00:00' as saved_at
-            from playlists left join (select distinct library_id, playlist_id, pos, track_id, p_name
+            from playlists left join (select library_id, playlist_id, pos, track_id, p_name
               from items join part on p_partkey::varchar = track_id) i using (library_id, playlist_id)
             group by all
             union all select library_id, kind, '', '', true, (n - 1) // 1000, count(*),

@@ -7,7 +7,7 @@ library whose playlists are its orders and whose tracks are the parts they list.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators.prepare import with_key
@@ -18,14 +18,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table with heavy work per row.
+    """A table with heavy work per row: spread over the cores, whatever files it lies in."""
+    return table(spark, sf, name).repartition(spark.sparkContext.defaultParallelism) if _is_local(spark) else table(spark, sf, name)
 
-    One delivered in fewer files than there are cores is spread over them; one of
-    many files is read as it lies.
-    """
-    df = table(spark, sf, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+def _is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local[")
 
 
 # --------------------------------------------------------------------------- texts
@@ -104,10 +102,11 @@ def playlists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines as playlist items."""
+    """Order lines as playlist items, numbered in their order."""
+    in_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     lines = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("playlist_id"),
-        (F.col("l_linenumber").cast("bigint") * 1_000_000_000 + F.col("l_partkey")).alias("pos"),
+        F.row_number().over(in_order).cast("bigint").alias("pos"),
         F.col("l_partkey").cast("string").alias("track_id"),
     )
     return lines.join(playlists(spark, sf).select("library_id", "playlist_id"), "playlist_id")
@@ -227,13 +226,18 @@ def _song(line, album: str):
 
 
 def json_exports(spark: SparkSession, sf: str) -> DataFrame:
-    """One export per document, as JSON text: its long lines are the song list, all its
-    lines a playlist, its source a declared album."""
+    """One export per document, as JSON text: its lines are the song list, its lines and a
+    live version of each a playlist, its source a declared album."""
     lines = F.split("text", "\n")
     export = F.struct(
-        F.transform(F.filter(lines, lambda s: F.length(s) >= 100), lambda s: _song(s, "source")).alias("songs"),
+        F.transform(lines, lambda s: _song(s, "source")).alias("songs"),
         F.array(
-            F.struct(F.col("source").alias("name"), F.transform(lines, lambda s: _song(s, "lang")).alias("tracks"))
+            F.struct(
+                F.col("source").alias("name"),
+                F.transform(
+                    F.concat(lines, F.transform(lines, lambda s: F.concat(s, F.lit(" - Live")))), lambda s: _song(s, "lang")
+                ).alias("tracks"),
+            )
         ).alias("playlists"),
         F.array(
             F.struct(

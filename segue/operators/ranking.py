@@ -2,45 +2,40 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 100_000
-
+from ..session import materialise
 
-def rank_by_position(
-    df: DataFrame, keys: list[str], pos: str, name: str = "rank", rows_per_bucket: int = ROWS_PER_BUCKET
-) -> DataFrame:
+def rank_by_position(df: DataFrame, keys: list[str], pos: str, name: str = "rank") -> DataFrame:
     """Add the 1-based rank of ``pos`` (integer, unique in its group) per group.
 
-    A group may hold a large share of all rows, so no task ever sees a whole one:
-    positions are cut into ranges of about ``rows_per_bucket`` rows, rows are numbered
-    inside their range and shifted by the size of the ranges before it.  Groups below
-    that size have a single range.
+    A group may hold a large share of all rows, so no task ever sees a whole one.  The rows
+    are written once, range-partitioned by group and position: most groups lie in one
+    partition, and large ones are cut by Spark's own sample of the positions, however those
+    are spread.  Rows are numbered inside their partition and shifted by the sizes of the
+    partitions before it.  Only a partition's first group can have begun earlier, so the
+    shifts are at most as many rows as partitions, which bounds their broadcast.
     """
-    spans = df.groupBy(*keys).agg(
-        F.min(pos).alias("_lo"), F.max(pos).alias("_hi"), F.count(F.lit(1)).alias("_n")
-    ).select(
-        *keys,
-        "_lo",
-        F.expr(f"(_hi - _lo) div ((_n - 1) div {rows_per_bucket}L + 1) + 1").alias("_width"),
-    )
-    ranged = df.join(spans, keys).withColumn(
-        "_range", F.expr(f"({pos} - _lo) div _width")
-    ).drop("_lo", "_width")
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = materialise(df.repartitionByRange(*keys, pos).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        ranged.groupBy(*keys, "_range")
+        placed.groupBy(*keys, "_part")
         .agg(F.count(F.lit(1)).alias("_size"))
-        .withColumn("_shift", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
-        .drop("_size")
+        .withColumn("_shift", F.sum("_size").over(earlier))
+        .filter(F.col("_shift").isNotNull())
+        .select("_shift", *[F.col(c).alias(f"_of_{c}") for c in [*keys, "_part"]])
     )
-    inside = Window.partitionBy(*keys, "_range").orderBy(pos)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*keys, "_part"]])
+    inside = Window.partitionBy("_part", *keys).orderBy(pos)
     return (
-        ranged.withColumn("_inside", F.row_number().over(inside))
-        .join(shifts, [*keys, "_range"])
-        .withColumn(name, F.col("_inside") + F.col("_shift"))
-        .drop("_range", "_inside", "_shift")
+        placed.withColumn("_inside", F.row_number().over(inside))
+        .join(F.broadcast(shifts), same, "left")
+        .withColumn(name, F.col("_inside") + F.coalesce("_shift", F.lit(0)))
+        .drop("_part", "_inside", "_shift", *[f"_of_{c}" for c in [*keys, "_part"]])
     )
 
 

@@ -327,7 +327,7 @@ def account_summary(spark, sf):
 def account_snapshot(spark, sf):
     lists = fx.playlists(spark, sf)
     names = fx.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("track_id"), F.col("p_name").alias("track_name"))
-    items = fx.items(spark, sf).dropDuplicates(["library_id", "playlist_id", "pos"]).join(names, "track_id")
+    items = fx.items(spark, sf).join(names, "track_id")
     backup = sinks.account_backup(lists, items, fx.favorites(spark, sf), F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return backup.select(
         "library_id", "kind", "id", "name", "own", "part", F.col("n_items").cast("bigint").alias("n_items"),
@@ -532,11 +532,8 @@ def loved_flag_join(spark, sf):
 # --------------------------------------------------------------------------- streaming
 def stream_link(spark, sf):
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    documents = (
-        spark.readStream.schema(fx.table(spark, sf, "documents").schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf)
-    )
+    # as a pattern, so that a folder of files and a single file stream alike
+    documents = spark.readStream.schema(fx.table(spark, sf, "documents").schema).parquet(f"{sf}/documents.parque[t]")
     arriving = (
         documents.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         .filter(F.trim("line") != "")
