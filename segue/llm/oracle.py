@@ -1,3 +1,82 @@
-"""The queries SQL can express, written from their contracts."""
+"""The queries SQL can express, written from their contracts.
 
-ORACLE: dict[str, str] = {}
+Left out: op2, op4 and op9 (chains, trained trees, approximate search), op3 and op8
+(tokenizers), op5 and op7 (SQL would hold every shingle or 200-byte string of the corpus at
+once).  Those are tested against brute force, libraries and round trips in tests/llm.
+"""
+
+from __future__ import annotations
+
+from . import chat, quality, secrets
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_OP1 = rf"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+counted as (
+  select *, (length(text) - length(replace(text, '{chat.TURN_END}', ''))) // {len(chat.TURN_END)} as ends,
+         (length(text) - length(replace(text, '{chat.HEADER}', ''))) // {len(chat.HEADER)} as heads,
+         length(role) - length(regexp_replace(role, '[\\:<#]', '', 'g')) as coded
+  from said)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = '{chat.LOSS_ROLE}'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = '{chat.LOSS_ROLE}'), '')) as loss_sha256,
+       sum({len(chat.HEADER) + 2 + len(chat.TURN_END) + 2} + length(role) + coded + length(text) + ends + heads)::bigint as formatted_chars
+from counted group by conv_id"""
+
+_OP6 = rf"""
+with texts as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
+split as (
+  select *, regexp_extract_all(text, '{_WORD}') as words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) as lines from texts),
+windows as (
+  select row, i, count(*) over (partition by row, run) as times from (
+    select row, i, array_to_string(words[i + 1 : i + {quality.WINDOW}], ' ') as run from (
+      select row, words, unnest(range(len(words) - {quality.WINDOW - 1})) as i from split where len(words) >= {quality.WINDOW}))),
+repeated as (
+  select row, count(distinct i + j) as n from windows, (select unnest(range({quality.WINDOW})) as j) where times > 1 group by row),
+measured as (
+  select row, doc_id, text, words, lines, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+         len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n, 0) as n_repeat_words
+  from split left join repeated using (row))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not (base_failed
+            or 4 * n_symbols > n_words
+            or 2 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g'))
+            or 5 * len(regexp_extract_all(text, '!+')) > n_words
+            or 2 * (length(text) - length(regexp_replace(text, '\p{{L}}', '', 'g'))) < word_chars
+            or 4 * len(list_filter(range(1, n_words), lambda i: words[i] = words[i + 1])) > n_words
+            or 2 * len(list_distinct(lines)) < len(lines)) as kept
+from (select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed from measured)"""
+
+
+def _found(rank: int, rule: secrets.Rule) -> str:
+    pattern = rule.pattern.replace("'", "''").replace("(?<![0-9a-f])", "")  # a run begins leftmost anyway
+    return f"""
+  select row, {rank} as rank, '{rule.kind}' as kind, gap[1] + coalesce(list_sum(list_slice(gap, 2, i)), 0) + coalesce(list_sum(list_slice(size, 1, i - 1)), 0) as start,
+         size[i] as size
+  from (select row, list_transform(string_split_regex(text, '{pattern}'), lambda x: length(x)) as gap,
+               list_transform(regexp_extract_all(text, '{pattern}'), lambda x: length(x)) as size,
+               list_transform(regexp_extract_all(text, '{pattern}', {rule.group}), lambda x: length(x)) as weighed,
+               unnest(range(1, 1 + len(regexp_extract_all(text, '{pattern}')))) as i
+        from texts) where weighed[i] >= {rule.least}"""
+
+
+_OP10 = f"""
+with texts as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
+found as ({" union all ".join(_found(i, r) for i, r in enumerate(secrets.RULES))}),
+joined as (
+  select row, {", ".join(f"count(*) filter (kind = '{r.kind}') as n_{r.kind}" for r in secrets.BASE_RULES)},
+         string_agg(kind || ':' || start || ':' || (start + size), ',' order by start, rank) as spans,
+         string_agg(kind || ':' || start || ':' || (start + size), ',' order by start, rank) filter (rank < {len(secrets.BASE_RULES)}) as base
+  from found group by row)
+select doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in secrets.BASE_RULES)},
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from texts left join joined using (row)"""
+
+ORACLE: dict[str, str] = {"op1_chat_format": _OP1, "op6_quality_cascade": _OP6, "op10_secret_ledger": _OP10}
