@@ -85,5 +85,6 @@ VIDEO_KIND_MARK = "vid"
 
 # Report columns and separators.
 REPORT_COLUMNS = ["artist", "title", "album", "best_score", "playlists"]
+REPORT_DECIMALS = 1
 REPORT_NAME_SEPARATOR = "; "
 SAVED_AT_FORMAT = "yyyy-MM-dd HH:mm:ss"

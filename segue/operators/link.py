@@ -89,9 +89,9 @@ def early_stop(scored: DataFrame, good_enough: float = fv.GOOD_ENOUGH_SCORE) ->
     )
 
 
-def candidate_pairs(tracks: DataFrame, catalog: DataFrame, limit: int = fv.SEARCH_LIMIT) -> DataFrame:
+def candidate_pairs(tracks: DataFrame, catalog: DataFrame, limit: int = fv.SEARCH_LIMIT, indexed=None) -> DataFrame:
     """Scored candidates of every track: (key, cand_id, query_no, rank, score)."""
-    found = search(tracks, catalog, limit)
+    found = search(tracks, catalog, limit, indexed)
     return score_pairs(tracks, catalog, first_query_pairs(found))
 
 
@@ -100,10 +100,11 @@ def link_fuzzy(
     catalog: DataFrame,
     threshold: float = fv.DEFAULT_THRESHOLD,
     limit: int = fv.SEARCH_LIMIT,
+    indexed=None,
 ) -> DataFrame:
     """Best scored candidate per key; id null below the threshold, score 0 without any."""
     best = (
-        early_stop(candidate_pairs(tracks, catalog, limit))
+        early_stop(candidate_pairs(tracks, catalog, limit, indexed))
         .groupBy("key")
         .agg(F.min(F.struct((-F.col("score")).alias("s"), "query_no", "rank", "cand_id")).alias("b"))
         .select("key", F.col("b.cand_id").alias("cand_id"), (-F.col("b.s")).alias("score"))
@@ -133,10 +134,14 @@ def link_tracks(
     catalog: DataFrame,
     threshold: float = fv.DEFAULT_THRESHOLD,
     limit: int = fv.SEARCH_LIMIT,
+    indexed=None,
 ) -> DataFrame:
-    """Decision per key: by code where the catalog has it, else by search."""
+    """Decision per key: by code where the catalog has it, else by search.
+
+    ``indexed`` is the catalog's index, where it is searched again and again.
+    """
     codes = catalog.filter(F.col("c_isrc").isNotNull()).select("c_isrc").distinct()
     uncoded = tracks.join(codes, F.upper("isrc") == F.col("c_isrc"), "left_anti")
     return link_isrc(tracks, catalog, threshold).unionByName(
-        link_fuzzy(uncoded, catalog, threshold, limit)
+        link_fuzzy(uncoded, catalog, threshold, limit, indexed)
     )

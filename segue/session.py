@@ -31,16 +31,25 @@ def build_session(master: str | None = None, cores: int | None = None, app: str
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors see: the cluster's checkpoint folder.
 
-    Only where the session names none, as in tests, a local one is made.
+    Only a session on one machine that names none, as in tests, gets a local one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors see")
         folder = tempfile.mkdtemp(prefix="segue-")
         spark.conf.set("spark.checkpoint.dir", folder)
     # one folder per application, so it can be removed as a whole afterwards
     return f"{folder.rstrip('/')}/segue-{spark.sparkContext.applicationId}"
 
 
+def remove_shared_folder(spark: SparkSession) -> None:
+    """Remove everything this application wrote with ``materialise``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a frame that several branches read to the shared folder, and read it back.
 

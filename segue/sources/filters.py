@@ -35,7 +35,7 @@ def valid_items(items: DataFrame, tracks: DataFrame) -> DataFrame:
 
 def non_empty(playlists: DataFrame, items: DataFrame) -> DataFrame:
     """Playlists that keep an item."""
-    return playlists.join(items.select("library_id", "playlist_id"), ["library_id", "playlist_id"], "left_semi")
+    return playlists.join(items.select("library_id", "playlist_id").distinct(), ["library_id", "playlist_id"], "left_semi")
 
 
 def real_tracks(items: DataFrame) -> DataFrame:
