@@ -1,10 +1,10 @@
 """The stages one after the other, and the registered queries on the smallest tables."""
 
-import sys
-
 import pytest
 
 import corpus_pipeline
+from check_oracle import compare, connect
+from segue.llm.oracle import ORACLE
 from segue.llm.queries import QUERIES
 from segue.session import materialise
 
@@ -34,5 +34,5 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run_on_the_smallest_tables(spark, name):
-    out = QUERIES[name](spark, SF)
-    assert out.count() > 0 and not sys.exc_info()[0]
+    verdict, n, _, _, note = compare(spark, connect(SF), SF, name)
+    assert verdict == ("equal" if name in ORACLE else "rows only") and n > 0, note
