@@ -199,7 +199,7 @@ class Boosted:
         return self.base + sum(self._tree(nodes, x) for nodes in self.trees)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.scale * self.raw(x) + self.shift)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(x) + self.shift, -40, 40)))
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, precision: float) -> Boosted:
         """Fit scale and shift to held-out labels, then the lowest threshold of the wanted precision."""
@@ -207,10 +207,12 @@ class Boosted:
         # targets away from 0 and 1, so that separable labels have a finite fit
         target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
         w, design = np.array([1.0, 0.0]), np.stack([raw, np.ones(len(raw))], 1)
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-design @ w))
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(design @ w, -40, 40)))
             hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
-            w = w - np.linalg.solve(hessian, design.T @ (p - target) + 1e-3 * (w - [1.0, 0.0]))
+            step = np.linalg.solve(hessian, design.T @ (p - target) + 1e-3 * (w - [1.0, 0.0]))
+            # short steps where the labels are separable and the curve is flat
+            w = w - step * min(1.0, 0.5 / (np.abs(step).max() + 1e-12))
         self.scale, self.shift = float(w[0]), float(w[1])
         p = self.probability(x)
         order = np.argsort(-p, kind="stable")
@@ -230,7 +232,16 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, precision: float = PREC
     ship_package(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     place = F.xxhash64(text)
-    sample = docs.select(place.alias("place"), text.alias("text")).distinct().orderBy("place", "text").limit(train_docs)
+    # texts of the lowest hashes: about twice as many as wanted pass, copies count once
+    share = min(1.0, 2 * train_docs / max(1, docs.count()))
+    bound = int((share - 0.5) * 2**64) if share < 1 else 2**63 - 1
+    sample = (
+        docs.select(place.alias("place"), text.alias("text"))
+        .filter(F.col("place") <= F.lit(bound))
+        .dropDuplicates(["place"])
+        .orderBy("place")
+        .limit(train_docs)
+    )
     schema = "place bigint, label int, x array<double>"
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
