@@ -45,7 +45,8 @@ CHUNK_BYTES = 8_000_000
 PLACE_BITS = 24
 #: Contexts merged in one task.
 BUCKET_CONTEXTS = 20_000
-BROADCAST_ROWS = 400_000
+#: Texts asked for contexts that may be broadcast; more meet the texts by a shuffle.
+BROADCAST_ROWS = 100_000
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64)
@@ -363,7 +364,7 @@ def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every text without its repeated bytes."""
     ship_package(docs.sparkSession)
-    spans = broadcast_if_small(covered(docs, length), BROADCAST_ROWS)
+    spans = covered(docs, length)
     text = F.coalesce("text", F.lit(""))
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
     read = docs.select("doc_id", text.alias("text"), key.alias("key")).join(spans, "key", "left").select("doc_id", "text", "spans")
