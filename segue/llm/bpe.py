@@ -28,12 +28,19 @@ from pyspark.sql import DataFrame
 from ..session import ship_package
 
 #: Pieces a task remembers, and the length up to which it does.
-CACHED_PIECES = 500_000
+CACHED_PIECES = 400_000
 CACHED_LENGTH = 64
-RUN_CHARS = 4_000_000
+RUN_CHARS = 2_000_000
+#: Pairs of tokens whose fit a task remembers.
+CACHED_PAIRS = 400_000
 NEVER = 1 << 62
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
 class Vocabulary:
     """Tokens by rank, and which of them may be neighbours."""
 
@@ -48,11 +55,6 @@ class Vocabulary:
         self._starts: dict[int, list[tuple[bytes, int]]] = {}
         self.fit: dict[tuple[int, int], bool] = {}
 
-    @classmethod
-    def load(cls, path: str) -> Vocabulary:
-        with open(path, "rb") as lines:
-            return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)})
-
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens that merge into this one; itself twice for a byte; None if merging never makes it."""
         if token not in self._splits:
@@ -89,7 +91,7 @@ class Vocabulary:
         """
         pair = (left, right)
         if pair not in self.fit:
-            if len(self.fit) > 500_000:
+            if len(self.fit) >= CACHED_PAIRS:
                 self.fit.clear()
             self.fit[pair] = self.split(right) is not None and (left < 0 or not self._crossed(left, right))
         return self.fit[pair]
@@ -212,57 +214,73 @@ class Pieces(dict):
         return [b"".join(map(self.__getitem__, pieces)) for pieces in split]
 
 
-def _slices(texts: list[str | None]) -> Iterator[list[str]]:
-    """Texts in runs of bounded length."""
-    run, chars = [], 0
-    for text in texts:
-        run.append(text or "")
+def _runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Texts in runs of bounded length, each with the place of its first; nulls are empty."""
+    first, run, chars = 0, [], 0
+    for i, text in enumerate(column):
+        run.append(text.as_py() or "")
         chars += len(run[-1])
         if chars > RUN_CHARS:
-            yield run
-            run, chars = [], 0
+            yield first, run
+            first, run, chars = i + 1, [], 0
     if run:
-        yield run
+        yield first, run
 
 
 @lru_cache(maxsize=4)
 def _pieces(path: str) -> Pieces:
-    return Pieces(Vocabulary.load(path))
+    return Pieces(Vocabulary(read_ranks(path)))
+
+
+@lru_cache(maxsize=4)
+def _tokens(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
+def _decoded(ids: bytes, token) -> bytes:
+    import numpy as np
 
+    return b"".join(map(token, np.frombuffer(ids, "<u4").tolist()))
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
     """(doc_id, ids): every text's ids, packed as little-endian unsigned 32-bit integers.
 
-    ``path`` is a rank file all executors have.
+    ``path`` is a rank file all executors have.  With ``decoded``, the bytes the ids stand for
+    come with them, so that a round trip needs one pass.
     """
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         pieces, find = _pieces(path), regex.compile(pattern).findall
+        token = pieces.vocabulary.tokens.__getitem__
         for batch in rows:
-            packed = [ids for run in _slices(batch.column(1).to_pylist()) for ids in pieces.encode(run, find)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "ids"])
+            for first, texts in _runs(batch.column(1)):
+                ids = pieces.encode(texts, find)
+                columns = [batch.column(0).slice(first, len(texts)), pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array([_decoded(i, token) for i in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
     ship_package(docs.sparkSession)
     read = docs.select("doc_id", "text")
-    return read.mapInArrow(batches, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, ids binary")
+    kind = read.schema["doc_id"].dataType.simpleString()
+    return read.mapInArrow(batches, f"doc_id {kind}, ids binary" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows with ``decoded``, the bytes the ids stand for."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        token = _pieces(path).vocabulary.tokens.__getitem__
+        token = _tokens(path).__getitem__
         for batch in rows:
-            texts = [
-                b"".join(map(token, np.frombuffer(ids, "<u4").tolist())) for ids in batch.column("ids").to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"]
-            )
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                texts = [_decoded(ids.as_py(), token) for ids in part.column("ids")]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"]
+                )
 
     ship_package(encoded.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)

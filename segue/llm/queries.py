@@ -63,8 +63,8 @@ def op7_suffix_dedup(spark, sf):
 
 def op8_byte_bpe(spark, sf):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(_table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, path).select(
+    encoded = bpe.encode(_table(spark, sf, "documents"), path, public_tokenizers.PATTERN, decoded=True)
+    return encoded.select(
         "doc_id",
         F.expr("octet_length(ids) div 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
