@@ -8,13 +8,14 @@ Sets are equal or linked when 100 * |both| >= 80 * |either|.
 2. Shingles are ordered by hash, the most frequent of the corpus last.  A link needs
    ceil(0.8 n) common shingles, so two linked sets share a shingle among the first
    ``n - ceil(0.8 n) + 1`` of each, and two among one more (prefix filtering, extended).
-3. A rare shingle of those prefixes joins all its classes.  Of a frequent one, every class
-   is first compared with the smallest and the largest class only; links make components.
-   Where a frequent shingle then still joins different components, combinations of two such
-   shingles of a prefix are joined, across components only.  Nothing is lost: linked sets
-   that share neither a rare shingle nor one whose classes are all in one component share
-   two of the remaining ones, that is a combination.
-4. Candidates are verified on the whole sets.
+3. Of every shingle of those prefixes that several classes have, each class is first compared
+   with the smallest one of about its size only; links make components.  Where a shingle then still joins
+   different components, a rare one joins all its classes across components, and of frequent
+   ones combinations of two of a prefix do.  Nothing is lost: linked sets of different
+   components share a rare such shingle, or else two frequent ones, that is a combination.
+4. Candidates are verified: by what their prefixes allow, then on the whole sets, with
+   shingles cut to 32 bits.  Only where that leaves the decision within a few shingles, which
+   accidental equality could turn, the 64-bit sets decide.
 
 Defined results: a null text is empty; an empty set is linked with nothing; rows whose
 doc_id is null stand for themselves with a null component; repeated rows are one class; an
@@ -24,6 +25,7 @@ empty table gives no rows; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +43,11 @@ PERCENT = 80
 RARE = 12
 #: Shingles ordered last: so many at most, which bounds what is broadcast.
 ORDERED_LAST = 200_000
+#: Common shingles by which a decision on 32 bits must be clear.
+DOUBT = 4
 #: Ids that may be broadcast to pick rows; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+BROADCAST_NAMES = 500_000
 _LOW = np.uint64(2**63 - 1)
 
 
@@ -125,33 +130,65 @@ def _prefixes(docs: DataFrame, last: np.ndarray, percent: int) -> DataFrame:
     return read.mapInArrow(batches, f"doc_id {kind}, n bigint, sig string, prefix array<bigint>")
 
 
-def _whole_sets(docs: DataFrame) -> DataFrame:
-    """(node, tokens) for every row of ``docs``, its id as node."""
+def _whole_sets(docs: DataFrame, wide: bool) -> DataFrame:
+    """(node, tokens) for every row of ``docs``, its id as node; narrow tokens are the upper 32 bits."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for first, texts in runs(batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.array(shingle_sets(texts), pa.list_(pa.int64()))],
-                    names=["node", "tokens"],
-                )
+                sets = shingle_sets(texts)
+                if not wide:
+                    sets = [(s >> 31).astype(np.uint32).view(np.int32) for s in sets]
+                tokens = pa.array(sets, pa.list_(pa.int64() if wide else pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), tokens], names=["node", "tokens"])
 
     read = docs.select("doc_id", "text")
-    return read.mapInArrow(batches, f"node {read.schema['doc_id'].dataType.simpleString()}, tokens array<bigint>")
+    kind = read.schema["doc_id"].dataType.simpleString()
+    return read.mapInArrow(batches, f"node {kind}, tokens array<{'bigint' if wide else 'int'}>")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough.
+
+    Prefixes come first: of two, that which ends earlier in the order has all its common
+    shingles in the other one, so the shingles both prefixes hold and the longer rest bound
+    what the sets can have in common.  Whole sets are made for the pairs that are left.
+    """
 
+    def picked(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+        need = materialise(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct())
+        return rows.join(broadcast_if_small(need, BROADCAST_IDS), key, "left_semi")
+
+    def side(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        return rows.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
     pairs = materialise(pairs)
-    need = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    picked = docs.select("doc_id", "text").join(broadcast_if_small(need, BROADCAST_IDS), "doc_id", "left_semi")
-    sets = materialise(_whole_sets(picked))
-    both = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-        .select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("common"))
+    heads = picked(classes, pairs, "node")
+    rest = F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
+    most = F.size(F.array_intersect("prefix_a", "prefix_b")) + rest
+    close = materialise(
+        pairs.join(side(heads, "a", "n", "prefix"), "a")
+        .join(side(heads, "b", "n", "prefix"), "b")
+        .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        .filter((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
+        .select("a", "b", "n_a", "n_b")
     )
-    return materialise(both.filter(100 * F.col("common") >= percent * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b"))
+
+    def compared(pairs: DataFrame, wide: bool) -> DataFrame:
+        """The pairs with the hundredfold number of common shingles they have above the bound."""
+        sets = _whole_sets(picked(docs.select("doc_id", "text"), pairs, "doc_id"), wide)
+        both = pairs.join(side(sets, "a", "tokens"), "a").join(side(sets, "b", "tokens"), "b")
+        common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+        above = (100 + percent) * common - percent * (F.col("n_a") + F.col("n_b"))
+        return materialise(both.select("a", "b", "n_a", "n_b", above.alias("above")))
+
+    narrow = compared(close, False)
+    doubt = (100 + percent) * DOUBT
+    sure = narrow.filter(F.col("above") > doubt)
+    unsure = materialise(narrow.filter(F.abs("above") <= doubt).drop("above"))
+    if unsure.isEmpty():
+        return sure.select("a", "b")
+    return sure.unionByName(compared(unsure, True).filter("above >= 0")).select("a", "b")
 
 
 def _alike(percent: int):
@@ -159,15 +196,11 @@ def _alike(percent: int):
     return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("a") < F.col("b"))
 
 
-def _pairs_within(rows: DataFrame, key: str, percent: int, more=None) -> DataFrame:
-    """Distinct pairs of the rows (key, node, n, ..) with equal keys and possible sizes."""
-    extra = more or []
-    left = rows.select(key, F.col("node").alias("a"), "n", *[F.col(c).alias(f"{c}_a") for c in extra])
-    right = rows.select(key, F.col("node").alias("b"), F.col("n").alias("m"), *[F.col(c).alias(f"{c}_b") for c in extra])
-    met = left.join(right, key).filter(_alike(percent))
-    for c in extra:
-        met = met.filter(F.col(f"{c}_a") != F.col(f"{c}_b"))
-    return met.select("a", "b").distinct()
+def _pairs_within(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of the rows (token, node, n, component) across components, of possible sizes."""
+    left = rows.select("token", F.col("node").alias("a"), "n", F.col("component").alias("of_a"))
+    right = rows.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("of_b"))
+    return left.join(right, "token").filter(_alike(percent)).filter("of_a <> of_b").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, rare: int = RARE, ordered_last: int = ORDERED_LAST) -> DataFrame:
@@ -182,44 +215,40 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rare: int = RARE, o
     named = sets.filter("n > 0 and doc_id is not null")
     names = materialise(named.groupBy("sig").agg(F.min("doc_id").alias("node")))
     classes = named.select("doc_id", "sig", "n", "prefix").join(
-        names.withColumnRenamed("node", "doc_id"), ["sig", "doc_id"], "left_semi"
+        broadcast_if_small(names.withColumnRenamed("node", "doc_id"), BROADCAST_NAMES), ["sig", "doc_id"], "left_semi"
     ).select(F.col("doc_id").alias("node"), "n", "prefix")
-    every = Window.partitionBy("token")
+    every, alike = Window.partitionBy("token"), Window.partitionBy("token", "band")
     shared = materialise(
-        classes.select("node", "n", F.explode("prefix").alias("token"))
-        .select("*", F.count(F.lit(1)).over(every).alias("times"), F.min("node").over(every).alias("low"), F.max("node").over(every).alias("high"))
+        classes.select("node", "n", F.floor(F.log(F.col("n")) / math.log(100 / percent)).alias("band"), F.explode("prefix").alias("token"))
+        .select("*", F.count(F.lit(1)).over(every).alias("times"), F.min("node").over(alike).alias("low"))
+        .drop("band")
         .filter("times > 1")
     )
-    often = shared.filter(F.col("times") > rare)
-    stars = (
-        often.select(F.explode(F.array(F.struct("node", F.col("low").alias("end")), F.struct("node", F.col("high").alias("end")))).alias("p"))
-        .select(F.least("p.node", "p.end").alias("a"), F.greatest("p.node", "p.end").alias("b"))
-        .filter("a < b")
-    )
-    candidates = _pairs_within(shared.filter(F.col("times") <= rare), "token", percent).unionByName(stars).distinct()
-    links = _verified(docs, candidates, percent)
+    stars = materialise(shared.filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+    links = _verified(docs, classes, stars, percent)
     found = materialise(components(links))
 
-    # frequent shingles that still join different components
+    # shingles that still join different components
     labelled = (
-        often.select("token", "node", "n")
-        .join(found, "node", "left")
-        .select("token", "node", "n", F.coalesce("component", "node").alias("component"))
-    )
-    mixed_tokens = (
-        labelled.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("token")
+        shared.drop("low")
+        .join(broadcast_if_small(found, BROADCAST_NAMES), "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
     )
-    open_rows = materialise(labelled.join(mixed_tokens, "token"))
+    torn = labelled.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    open_rows = materialise(labelled.join(torn.filter("least < most").select("token"), "token"))
     if not open_rows.isEmpty():
         combined = (
-            open_rows.groupBy("node", "n", "component")
+            open_rows.filter(F.col("times") > rare)
+            .groupBy("node", "n", "component")
             .agg(F.sort_array(F.collect_set("token")).alias("tokens"))
             .select("node", "n", "component", F.posexplode("tokens").alias("i", "first"), "tokens")
             .select("node", "n", "component", "first", F.explode(F.slice("tokens", F.col("i") + 2, F.greatest(F.size("tokens") - F.col("i") - 1, F.lit(0)))).alias("second"))
-            .select("node", "n", "component", F.xxhash64("first", "second").alias("both"))
+            .select("node", "n", "component", F.xxhash64("first", "second").alias("token"))
         )
-        crossing = _pairs_within(combined, "both", percent, ["component"]).join(candidates, ["a", "b"], "left_anti")
-        found = materialise(components(links.unionByName(_verified(docs, crossing, percent))))
+        few = open_rows.filter(F.col("times") <= rare).select("node", "n", "component", "token")
+        crossing = _pairs_within(few, percent).unionByName(_pairs_within(combined, percent)).distinct()
+        more = _verified(docs, classes, crossing.join(stars, ["a", "b"], "left_anti"), percent)
+        found = materialise(components(links.unionByName(more)))
     return (
         sets.select("doc_id", "n", "sig")
         .join(names, "sig", "left")
