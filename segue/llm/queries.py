@@ -22,7 +22,7 @@ def op1_chat_format(spark, sf):
 
 
 def op2_repeated_passages(spark, sf):
-    return substring.repeats(_table(spark, sf, "documents"))
+    return substring.repeats(_table(spark, sf, "documents")).drop("row", "copy")
 
 
 def op3_packing(spark, sf):

@@ -117,6 +117,23 @@ def test_a_text_in_circles_keeps_one_round(spark):
     assert 10 <= len(left.split()) < 120
 
 
+def test_rows_of_one_id_lose_only_their_own_repeats(spark):
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    shared, same = say(70), say(80)
+    rows = [(1, same)] * 3 + [(2, f"{say(30)} {shared}"), (2, f"{shared} {say(45)}"), (2, say(60)), (2, "short one"), (2, "short one"), (None, same), (3, say(90)), (2, None)]
+    docs = documents(spark, rows).repartition(4)
+    found = substring.repeats(docs)
+    assert sorted((r.doc_id, r.first_word, r.n_words, r.leader_id) for r in found.collect() if r.doc_id == 1) == [(1, 0, 80, 1)] * 2
+    left = sorted((str(r.doc_id), r.text or "") for r in substring.cut(docs, found).collect())
+    assert [t for i, t in left if i == "1"] == ["", "", same]
+    own = [t.strip() for i, t in left if i == "2"]
+    first, second = rows[3][1], rows[4][1]
+    # one of the two keeps the passage, the other loses it and nothing else
+    assert sorted(own) in (sorted(["", rows[5][1], "short one", "short one", a, b]) for a, b in ((first, second[len(shared) + 1 :]), (first[: -len(shared) - 1], second)))
+    assert ("None", same) in left and ("3", rows[9][1]) in left and len(left) == len(rows)
+
+
 def best_chain_score(matches, k, gap):
     """Quadratic definition."""
     best = [0.0] * len(matches)
