@@ -6,12 +6,14 @@ their format and of the text around them, and those above a calibrated threshold
 where they overlap nothing better.
 
 The trees are trained on a bounded sample of texts (``train_docs``, the least by hash of the
-whole table) whose labels are the base patterns' verdicts; a fixed part of the sample is held
-out, the scores are calibrated on it, and the threshold is the lowest that keeps the wanted
-precision there.  Everything else covers every whole text.
+whole table).  Labels come from evidence that does not ask the base patterns: check digits,
+formats, and cue words before the span.  Base spans are also shown with the marks that define
+them written otherwise ("at" and "dot", no country code, dots in a card), as positives.  A
+fixed part of the sample is held out, the scores are calibrated on it, and the threshold is
+the lowest that keeps the wanted precision there.  Everything else covers every whole text.
 
 Defined results: a null text is empty and has no span; repeated rows get the same spans each;
-a sample without both kinds of labels gives no model and no added spans; an empty table
+where a sample without both kinds of labels gives no model, the evidence decides; an empty table
 gives no rows; columns other than doc_id and text are ignored.
 """
 
@@ -50,6 +52,17 @@ GENERATORS = [
 _CUES = [re.compile(p, re.I) for p in (r"mail|contact|@", r"\bip\b|host|server", r"card|visa|pay|account", r"phone|tel|call|mobil|fax")]
 
 
+_AT = re.compile(r"[(\[]at[)\]]")
+_DOT = re.compile(r"[(\[]dot[)\]]| dot ")
+_TAIL = re.compile(r"(?:\.| dot |[(\[]dot[)\]]) ?[A-Za-z]{2,6}$")
+_GROUPED = re.compile(r"[(]?[0-9]{3}[)]?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}")
+_DATE = re.compile(r"[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}")
+_NUMBERED = re.compile(r"\b(?:order|invoice|serial|version|ref|isbn|issn|no|nr|id)\b\W*(?:\w*\W+)?$", re.I)
+_MAIL = re.compile(r"mail|contact|\bwrite\b|\breach\b", re.I)
+_HOST = re.compile(r"\bip\b|\bhost|\bserver|\baddress", re.I)
+_CALL = re.compile(r"phone|\btel\b|\bcall\b|\bmobile?\b|\bcell\b|\bfax\b", re.I)
+
+
 class Span(NamedTuple):
     kind: str
     start: int
@@ -106,6 +119,45 @@ def candidates(text: str) -> list[Span]:
     return list(dict.fromkeys(found))
 
 
+def evidence(text: str, span: Span) -> bool:
+    """Whether check digits, format and cue words speak for a proposal; the base patterns are not asked."""
+    kind, start, end = span
+    body, before = text[start:end], text[max(0, start - 30) : start]
+    digits = "".join(_DIGIT.findall(body))
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and luhn(digits)
+    if kind == "ip":
+        dotted = body.count(".") == 3 or bool(_HOST.search(before))
+        return dotted and all(int(p) <= 255 for p in re.split("[.,:]", body))
+    if kind == "email":
+        if not _TAIL.search(body):
+            return False
+        return "@" in body or bool(_AT.search(body) or _DOT.search(body)) or (". " not in body and bool(_MAIL.search(before)))
+    if not 7 <= len(digits) <= 15 or _DATE.search(body) or _NUMBERED.search(before) or (len(digits) > 12 and luhn(digits)):
+        return False
+    return bool(_CALL.search(before) or _GROUPED.fullmatch(body)) or (body[0] == "+" and len(digits) > 8)
+
+
+def rewritten(text: str, span: Span) -> list[tuple[str, Span]]:
+    """A base span with the marks that define it written otherwise."""
+    kind, start, end = span
+    body = text[start:end]
+    if kind == "email":
+        local, domain = body.rsplit("@", 1)
+        new = [f"{local} at {domain.replace('.', ' dot ')}", f"{local}[at]{domain.replace('.', '[dot]')}", f"{local} (at) {domain}"]
+    elif kind == "card":
+        digits = "".join(_DIGIT.findall(body))
+        new = [mark.join(digits[i : i + 4] for i in range(0, len(digits), 4)) for mark in ("./" if len(digits) % 4 == 0 else "")]
+    elif kind == "phone":
+        national = "".join(_DIGIT.findall(body))[-10:]
+        a, b, c = national[:3], national[3:6], national[6:]
+        new = [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"] if len(national) == 10 else []
+    else:
+        new = []
+    left, right = text[max(0, start - 40) : start], text[end : end + 40]
+    return [(left + n + right, Span(kind, len(left), len(left) + len(n))) for n in new]
+
+
 def features(text: str, span: Span) -> list[float]:
     """Format of the span and the text around it."""
     kind, start, end = span
@@ -135,6 +187,13 @@ def features(text: str, span: Span) -> list[float]:
         float(before.isalnum()),
         float(after.isalnum()),
         *[float(bool(c.search(around))) for c in _CUES],
+        len(_DOT.findall(body)),
+        float(bool(_AT.search(body))),
+        float(bool(_TAIL.search(body))),
+        body.count(". "),
+        float(bool(_GROUPED.fullmatch(body))),
+        float(bool(_DATE.search(body))),
+        *[float(bool(c.search(text[max(0, start - 30) : start]))) for c in (_NUMBERED, _MAIL, _HOST, _CALL)],
     ]
 
 
@@ -222,11 +281,6 @@ class Boosted:
         return self
 
 
-def _overlap(a: Span, b: Span) -> float:
-    both = min(a.end, b.end) - max(a.start, b.start)
-    return max(0, both) / (max(a.end, b.end) - min(a.start, b.start))
-
-
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, precision: float = PRECISION) -> Boosted | None:
     """Model for the added spans, or None without both kinds of labels in both parts."""
     ship_package(docs.sparkSession)
@@ -242,35 +296,35 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, precision: float = PREC
         .orderBy("place")
         .limit(train_docs)
     )
-    schema = "place bigint, label int, x array<double>"
+    schema = "place bigint, label int, made boolean, x array<double>"
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for where, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                base = base_spans(text)
                 for span in candidates(text):
-                    known = any(b.kind == span.kind and _overlap(b, span) >= 0.8 for b in base)
-                    rows.append({"place": where, "label": int(known), "x": features(text, span)})
+                    rows.append({"place": where, "label": int(evidence(text, span)), "made": False, "x": features(text, span)})
+                for base in base_spans(text):
+                    for other, span in rewritten(text, base):
+                        rows.append({"place": where, "label": 1, "made": True, "x": features(other, span)})
             yield pa.RecordBatch.from_pylist(
-                rows, pa.schema([("place", pa.int64()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))])
+                rows, pa.schema([("place", pa.int64()), ("label", pa.int32()), ("made", pa.bool_()), ("x", pa.list_(pa.float64()))])
             )
 
     rows = sample.repartition(8, "place").mapInArrow(labelled, schema).collect()
     rows.sort(key=lambda r: (r["place"], r["x"], r["label"]))
     held = np.array([r["place"] % 3 == 0 for r in rows], bool)
+    told = held & ~np.array([r["made"] for r in rows], bool)  # what was made is no measure of precision
     y = np.array([r["label"] for r in rows], float)
-    if not len(rows) or any(len(set(y[part])) < 2 for part in (held, ~held)):
+    if not len(rows) or any(len(set(y[part])) < 2 for part in (told, ~held)):
         return None
     x = np.array([r["x"] for r in rows])
-    return Boosted().fit(x[~held], y[~held]).calibrate(x[held], y[held], precision)
+    return Boosted().fit(x[~held], y[~held]).calibrate(x[told], y[told], precision)
 
 
 def select_spans(texts: list[str], model: Boosted | None) -> list[list[Span]]:
-    """Base spans of each text, and the candidates the model adds beside them."""
+    """Base spans of each text, and the candidates the model (without one, the evidence) adds beside them."""
     base = [base_spans(t) for t in texts]
-    if model is None:
-        return base
     open_spans = [
         (i, c)
         for i, t in enumerate(texts)
@@ -278,8 +332,11 @@ def select_spans(texts: list[str], model: Boosted | None) -> list[list[Span]]:
         if not any(c.start < b.end and b.start < c.end for b in base[i])
     ]
     if open_spans:
-        scores = model.probability(np.array([features(texts[i], c) for i, c in open_spans]))
-        for j in sorted(np.flatnonzero(scores >= model.threshold), key=lambda j: (-scores[j], open_spans[j][1])):
+        if model is None:
+            scores, threshold = np.array([float(evidence(texts[i], c)) for i, c in open_spans]), 0.5
+        else:
+            scores, threshold = model.probability(np.array([features(texts[i], c) for i, c in open_spans])), model.threshold
+        for j in sorted(np.flatnonzero(scores >= threshold), key=lambda j: (-scores[j], open_spans[j][1])):
             i, c = open_spans[j]
             if not any(c.start < b.end and b.start < c.end for b in base[i]):
                 base[i].append(c)

@@ -170,6 +170,41 @@ def test_added_spans_come_from_the_model_and_base_ones_stay(spark):
     assert pii.train(docs.filter("doc_id = 3")) is None and pii.find_personal_data(docs.limit(0), None).isEmpty()
 
 
+def personal_corpus(n):
+    """Base data in some texts, decoys in others."""
+    rng = random.Random(21)
+    say = lambda: " ".join(rng.choices(["the", "report", "was", "late", "again", "at", "noon."], k=8))
+    digits = lambda: "".join(rng.choices("123456789", k=15))
+    cards = [next(d + c for c in "0123456789" if pii.luhn(d + c)) for d in (digits() for _ in range(n))]
+    rows = [(100 + i, f"{say()} +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} {say()}") for i in range(n)]
+    rows += [(1000 + i, f"{say()} name{i}@mail.example.com {say()}") for i in range(n)]
+    rows += [(2000 + i, f"{say()} {c} {say()} {c[:-1]}{(int(c[-1]) + 5) % 10} {say()}") for i, c in enumerate(cards)]
+    return rows + [(3000 + i, f"{say()} order {rng.randint(10, 99)}-{rng.randint(100, 999)}-{rng.randint(100, 999)} {say()} at home. Then {say()}") for i in range(n)]
+
+
+PLANTED = [
+    (9000, "the report was late (555) 123-4567 again", "the report was late [phone] again"),
+    (9001, "the report jane at host dot com again", "[email]"),
+    (9002, "late again 4111.1111.1111.1111 the end", "late again [card] the end"),
+    (9003, "late again 4111.1111.1111.1112 the end", "late again 4111.1111.1111.1112 the end"),
+    (9004, "it was late at noon. Then we met", "it was late at noon. Then we met"),
+    (9005, "order 12-345-678 was late", "order 12-345-678 was late"),
+]
+
+
+def check_planted(spark, docs, model):
+    clean = {r.doc_id: r.text for r in pii.redact(docs.filter("doc_id >= 9000"), model).collect()}
+    assert all(want == clean[i] or want == "[email]" and want in clean[i] and "dot" not in clean[i] for i, _, want in PLANTED), clean
+
+
+def test_personal_data_beyond_the_base_patterns_is_added(spark):
+    docs = documents(spark, [*personal_corpus(120), *[(i, t) for i, t, _ in PLANTED]])
+    model = pii.train(docs)
+    assert model is not None
+    check_planted(spark, docs, model)
+    check_planted(spark, docs, None)
+
+
 def test_boosted_trees_learn_and_are_calibrated():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 5))
