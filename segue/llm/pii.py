@@ -5,15 +5,15 @@ propose further spans, which may overlap each other; boosted trees score them by
 their format and of the text around them, and those above a calibrated threshold are added
 where they overlap nothing better.
 
-The trees are trained on a bounded sample of texts (``train_docs``, the least by hash of the
-whole table).  Labels come from evidence that does not ask the base patterns: check digits,
+The generators run over all texts, and a bounded number of proposals of each kind and label
+(``train_docs``, the least by hash) train the trees, however rare they are.  Labels come from evidence that does not ask the base patterns: check digits,
 formats, and cue words before the span.  Base spans are also shown with the marks that define
 them written otherwise ("at" and "dot", no country code, dots in a card), as positives.  A
-fixed part of the sample is held out, the scores are calibrated on it, and the threshold is
-the lowest that keeps the wanted precision there.  Everything else covers every whole text.
+fixed part of all proposals is held out; a histogram of its scores over the whole table
+calibrates them, and the threshold is the lowest that keeps the wanted precision there.
 
 Defined results: a null text is empty and has no span; repeated rows get the same spans each;
-where a sample without both kinds of labels gives no model, the evidence decides; an empty table
+where a table without both kinds of labels gives no model, the evidence decides; an empty table
 gives no rows; columns other than doc_id and text are ignored.
 """
 
@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import materialise, ship_package
 
 TRAIN_DOCS = 4000
 PRECISION = 0.97
+#: Bins of the score histogram to one unit of the raw score.
+BINS = 100
 # fixed values: kinds in their order and the base patterns
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = "A-Za-z0-9._%+-"
@@ -262,64 +264,104 @@ class Boosted:
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, precision: float) -> Boosted:
         """Fit scale and shift to held-out labels, then the lowest threshold of the wanted precision."""
-        raw = self.raw(x)
+        return self.calibrate_counts(self.raw(x), (y > 0).astype(float), (y <= 0).astype(float), precision)
+
+    def calibrate_counts(self, raw: np.ndarray, yes: np.ndarray, no: np.ndarray, precision: float) -> Boosted:
+        """The same from raw scores with how many of either label have them."""
         # targets away from 0 and 1, so that separable labels have a finite fit
-        target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+        high, low, n = (yes.sum() + 1) / (yes.sum() + 2), 1 / (no.sum() + 2), yes + no
         w, design = np.array([1.0, 0.0]), np.stack([raw, np.ones(len(raw))], 1)
         for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(design @ w, -40, 40)))
-            hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
-            step = np.linalg.solve(hessian, design.T @ (p - target) + 1e-3 * (w - [1.0, 0.0]))
+            hessian = (design * (n * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+            step = np.linalg.solve(hessian, design.T @ (n * p - yes * high - no * low) + 1e-3 * (w - [1.0, 0.0]))
             # short steps where the labels are separable and the curve is flat
             w = w - step * min(1.0, 0.5 / (np.abs(step).max() + 1e-12))
         self.scale, self.shift = float(w[0]), float(w[1])
-        p = self.probability(x)
+        p = 1 / (1 + np.exp(-np.clip(self.scale * raw + self.shift, -40, 40)))
         order = np.argsort(-p, kind="stable")
-        exact = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+        exact = np.cumsum(yes[order]) / np.cumsum(n[order])
         good = np.flatnonzero(exact >= precision)
         self.threshold = max(0.5, float(p[order][good[-1]])) if len(good) else 2.0
         return self
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, precision: float = PRECISION) -> Boosted | None:
-    """Model for the added spans, or None without both kinds of labels in both parts."""
+    """Model for the added spans, or None without both kinds of labels in both parts.
+
+    At most ``train_docs`` different proposals of each kind and label are fitted.
+    """
     ship_package(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    place = F.xxhash64(text)
-    # texts of the lowest hashes: about twice as many as wanted pass, copies count once
-    share = min(1.0, 2 * train_docs / max(1, docs.count()))
-    bound = int((share - 0.5) * 2**64) if share < 1 else 2**63 - 1
-    sample = (
-        docs.select(place.alias("place"), text.alias("text"))
-        .filter(F.col("place") <= F.lit(bound))
-        .dropDuplicates(["place"])
-        .orderBy("place")
-        .limit(train_docs)
+    shape = pa.schema(
+        [("kind", pa.string()), ("label", pa.int32()), ("made", pa.bool_()), ("text", pa.int64()), ("place", pa.int64()), ("x", pa.list_(pa.float64()))]
     )
-    schema = "place bigint, label int, made boolean, x array<double>"
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
             for where, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for span in candidates(text):
-                    rows.append({"place": where, "label": int(evidence(text, span)), "made": False, "x": features(text, span)})
+                rows = [
+                    {"kind": c.kind, "label": int(evidence(text, c)), "made": False, "text": where, "place": c.start, "x": features(text, c)}
+                    for c in candidates(text)
+                ]
                 for base in base_spans(text):
-                    for other, span in rewritten(text, base):
-                        rows.append({"place": where, "label": 1, "made": True, "x": features(other, span)})
-            yield pa.RecordBatch.from_pylist(
-                rows, pa.schema([("place", pa.int64()), ("label", pa.int32()), ("made", pa.bool_()), ("x", pa.list_(pa.float64()))])
-            )
+                    for i, (other, span) in enumerate(rewritten(text, base)):
+                        rows.append({"kind": base.kind, "label": 1, "made": True, "text": where, "place": -1 - i - 8 * base.start, "x": features(other, span)})
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, shape)
+
+    # proposals are a small part of the text; held out are those of a third of the texts
+    told = "kind string, label int, made boolean, text bigint, place bigint, x array<double>"
+    every = materialise(
+        docs.select(F.xxhash64(text).alias("_where"), text.alias("text"))
+        .mapInArrow(labelled, told)
+        .withColumn("h", F.xxhash64("text", "place", "kind", "x"))
+        .withColumn("held", F.pmod("text", F.lit(3)) == 0)
+    )
+    sizes = every.filter("not held").groupBy("kind", "label").agg(F.approx_count_distinct("h").alias("n")).collect()
+    if not sizes:
+        return None
+    # about half as many again as wanted pass
+    share = {(r.kind, r.label): min(1.0, 1.5 * train_docs / max(1, r.n)) for r in sizes}
+    passes = F.lit(False)
+    for (kind, label), part in sorted(share.items()):
+        bound = F.lit(int((part - 0.5) * 2**64) if part < 1 else 2**63 - 1)
+        passes = passes | ((F.col("kind") == kind) & (F.col("label") == label) & (F.col("h") <= bound))
+    rows = every.filter(~F.col("held") & passes).dropDuplicates(["h", "kind", "label"]).select("kind", "label", "h", "x").collect()
+    rows.sort(key=lambda r: (r["kind"], r["label"], r["h"]))
+    taken: dict[tuple[str, int], list] = {}
+    for r in rows:
+        of = taken.setdefault((r["kind"], r["label"]), [])
+        if len(of) < train_docs:
+            of.append(r["x"])
+    x = np.array([v for of in taken.values() for v in of])
+    y = np.array([label for (_, label), of in taken.items() for _ in of], float)
+    if len(set(y)) < 2:
+        return None
+    model = Boosted().fit(x, y)
 
-    rows = sample.repartition(8, "place").mapInArrow(labelled, schema).collect()
-    rows.sort(key=lambda r: (r["place"], r["x"], r["label"]))
-    held = np.array([r["place"] % 3 == 0 for r in rows], bool)
-    told = held & ~np.array([r["made"] for r in rows], bool)  # what was made is no measure of precision
-    y = np.array([r["label"] for r in rows], float)
-    if not len(rows) or any(len(set(y[part])) < 2 for part in (told, ~held)):
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = model.raw(np.array(batch.column(1).to_pylist()))
+            # the lower edge of a bin stands for its scores
+            bins = np.floor(np.clip(raw, -30, 30) * BINS).astype(int)
+            for key in zip(bins.tolist(), batch.column(0).to_pylist(), strict=True):
+                total[key] = total.get(key, 0) + 1
+        columns = [[b for b, _ in total], [label for _, label in total], list(total.values())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["bin", "label", "n"])
+
+    # what was made is no measure of precision
+    histogram = every.filter("held and not made").select("label", "x").mapInArrow(scored, "bin bigint, label bigint, n bigint")
+    counts: dict[int, list[int]] = {}
+    for r in histogram.groupBy("bin", "label").agg(F.sum("n").alias("n")).collect():
+        counts.setdefault(r["bin"], [0, 0])[int(r["label"])] += r["n"]
+    no, yes = (np.array([counts[b][label] for b in sorted(counts)], float) for label in (0, 1))
+    if not yes.sum() or not no.sum():
         return None
-    x = np.array([r["x"] for r in rows])
-    return Boosted().fit(x[~held], y[~held]).calibrate(x[told], y[told], precision)
+    return model.calibrate_counts(np.array(sorted(counts)) / BINS - 1e-9, yes, no, precision)
 
 
 def select_spans(texts: list[str], model: Boosted | None) -> list[list[Span]]:
