@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, neardup, packing, pii, quality, secrets, substring, suffixes
+from . import ann, bpe, chat, merkle, neardup, negatives, packing, pii, quality, secrets, simhash, substring, suffixes
 
 
 def _table(spark, sf, name):
@@ -94,7 +94,28 @@ def op10_secret_ledger(spark, sf):
     )
 
 
+def op11_simhash_near_dedup(spark, sf):
+    return simhash.near_duplicates(_table(spark, sf, "documents"))
+
+
+def op12_merkle_manifest(spark, sf):
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = F.when(tampered, F.translate("text", capitals, capitals.lower())).otherwise(F.col("text"))
+    checked = merkle.manifest(_table(spark, sf, "documents"), changed={"text": found})
+    return checked.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_hard_negatives(spark, sf):
+    rows = negatives.valid(_table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
+    other = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", other), lambda ident: ident % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
-    for f in [op1_chat_format, op2_repeated_passages, op3_packing, op4_personal_data, op5_jaccard_join, op6_quality_cascade, op7_suffix_dedup, op8_byte_bpe, op9_hilbert_neighbours, op10_secret_ledger]
-}
+    for f in [
+        op1_chat_format, op2_repeated_passages, op3_packing, op4_personal_data, op5_jaccard_join, op6_quality_cascade, op7_suffix_dedup,
+        op8_byte_bpe, op9_hilbert_neighbours, op10_secret_ledger, op11_simhash_near_dedup, op12_merkle_manifest, op13_hard_negatives,
+    ]
+}
