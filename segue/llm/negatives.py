@@ -100,7 +100,8 @@ def codebooks(entries: DataFrame, sample: int = SAMPLE, most: int = CODEWORDS, c
     out = {}
     for row in entries.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n")).collect():
         dims, n = row["dims"], row["n"]
-        vectors = np.array(by_length.get(dims) or np.zeros((1, dims)), np.float64).reshape(-1, dims)
+        told = by_length.get(dims) or [[0] * dims]
+        vectors = np.array(told, np.float64).reshape(len(told), dims)
         size = int(min(most, max(1, round((n / cell) ** 0.5))))
         out[dims] = tuple(_codebook(h, size) for h in halves(vectors))
     return out
@@ -120,7 +121,7 @@ def _celled(entries: DataFrame, books: dict[int, tuple]) -> DataFrame:
             for i, v in enumerate(vectors):
                 by_length.setdefault(len(v), []).append(i)
             for dims, places in by_length.items():
-                both = halves(np.array([vectors[i] for i in places], np.float64).reshape(-1, dims))
+                both = halves(np.array([vectors[i] for i in places], np.float64).reshape(len(places), dims))
                 found, apart = [], []
                 for half, centres in zip(both, held.value[dims], strict=True):
                     near = nearest_centre(half, centres)
