@@ -12,7 +12,8 @@ r"""SimHash near-duplicates by the generalised pigeonhole principle.
    which follow from the counts of step 2, with a beta-binomial law.  It is made for a fixed
    large number of classes, so that tables of every size are treated alike.
 4. Probing: a part with u units masks u - 1 of its bits in every way.  Classes that agree on
-   what is left unmasked are candidates, and verified by counting differing bits.
+   what is left unmasked are candidates, and verified by counting differing bits; of a key's
+   links as many are kept as connect what they connect.
 5. A key that very many classes hold is extended: the bits outside it are cut in ``bound + 1``
    pieces, and two that differ in ``bound`` bits agree on one of them.  This goes on until a key
    is held by few, or covers all but ``bound`` bits; then all that hold it are linked with one
@@ -50,7 +51,7 @@ CANDIDATE_COST = 2.0
 #: Numbers of parts that are tried, and masked keys a class may have.
 PARTS = (2, 3, 4, 5, 6)
 MOST_KEYS = 400
-#: Classes of a key of which all pairs are compared; larger groups are extended.
+#: Classes of a key that are compared with each other; larger groups are extended.
 FEW = 128
 RUN_WORDS = 50_000
 
@@ -212,6 +213,37 @@ def _near(distance: int):
     return F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
 
 
+def forest(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Links that connect what is connected among a few fingerprints, one less than these at most."""
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= distance
+    out, left = [], np.ones(len(prints), bool)
+    for start in range(len(prints)):
+        reached = [start] if left[start] else []
+        left[start] = False
+        for at in reached:  # grows while it is gone through
+            new = np.flatnonzero(near[at] & left)
+            left[new] = False
+            reached += new.tolist()
+            out += [(at, int(b)) for b in new]
+    return out
+
+
+def _forests(groups: DataFrame, distance: int) -> DataFrame:
+    """Links (a, b) within each of the bounded lists ``held``."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            sides: tuple[list, list] = ([], [])
+            for held in batch.column(0):
+                prints = held.values.to_numpy()
+                for side, places in zip(sides, zip(*forest(prints.view(np.uint64), distance)), strict=False):
+                    side.append(prints[list(places)])
+            columns = [np.concatenate([np.zeros(0, np.int64), *side]) for side in sides]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b"])
+
+    return groups.select("held").mapInArrow(batches, "a bigint, b bigint")
+
+
 def links(classes: DataFrame, parts: list[tuple[list[int], int]], distance: int = DISTANCE, few: int = FEW) -> DataFrame:
     """Links (a, b) of classes, enough of them to connect whatever is connected."""
     every = F.array(*[F.lit(m) for m in masks(parts)])
@@ -222,14 +254,12 @@ def links(classes: DataFrame, parts: list[tuple[list[int], int]], distance: int
         star = F.bit_count("mask") >= BITS - distance
         pairs = groups.filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
         found.append(pairs.filter(_near(distance)))
-        rows = keyed.join(groups.filter("n > 2"), ["mask", "value"]).select("mask", "value", "fp", "low", "n")
+        # by a shuffle at every size: nothing bounds the number of shared keys
+        rows = keyed.join(groups.filter("n > 2").hint("merge"), ["mask", "value"]).select("mask", "value", "fp", "low", "n")
         rows = materialise(rows)
         found.append(rows.filter(star & (F.col("fp") > F.col("low"))).select(F.col("low").alias("a"), F.col("fp").alias("b")))
-        small = rows.filter(~star & (F.col("n") <= few))
-        left = small.select("mask", "value", F.col("fp").alias("a"))
-        right = small.select("mask", "value", F.col("fp").alias("b"))
-        near = (left["mask"] == right["mask"]) & (left["value"] == right["value"]) & (F.col("a") < F.col("b")) & _near(distance)
-        found.append(left.join(right, near).select("a", "b"))
+        small = rows.filter(~star & (F.col("n") <= few)).groupBy("mask", "value").agg(F.collect_list("fp").alias("held"))
+        found.append(_forests(small, distance))
         large = rows.filter(~star & (F.col("n") > few))
         if large.isEmpty():
             break
