@@ -333,6 +333,8 @@ ORACLE = {
         "token_set_ratio_pairs": "select key, cand_id, round(ratio, 6) as ratio from f_scored",
         "score_pairs": "select key, cand_id, query_no, rank, round(score, 6) as score from f_scored",
         "early_stop_window": "select key, cand_id, query_no, round(score, 6) as score from stopped",
+        "link_stages": """select query_no, count(distinct key) as n_keys, count(*) as n_pairs,
+            count(distinct key) filter (score >= 92) as n_settled from stopped group by query_no""",
         "link_isrc": _DECISION + "by_code",
         "link_fuzzy": _DECISION + "by_search",
         "link_tracks": _DECISION + "decided",

@@ -161,15 +161,8 @@ TRACK_SIDE = ["t_title", "t_name", "t_artist", "t_lead", "t_album", "t_duration_
 CATALOG_SIDE = ["c_title", "c_name", "c_artist", "c_lead", "c_album", "c_duration_s"]
 
 
-def with_score(pairs, name: str = "score"):
-    """Add the score of each pair; ``pairs`` holds both sides' prepared columns."""
-    rated = pairs.select(
-        "*",
-        token_set_ratio("t_title", "c_title").alias("_title"),
-        token_set_ratio("t_artist", "c_artist").alias("_artist"),
-        token_set_ratio("t_lead", "c_lead").alias("_lead"),
-        token_set_ratio("t_album", "c_album").alias("_album"),
-    )
+def combined_score(title, artist, lead, album, same_name) -> Column:
+    """Score of a pair from the similarities of its fields; durations are read from the row."""
     known = (F.coalesce("t_duration_ms", F.lit(0)) > 0) & (F.coalesce("c_duration_s", F.lit(0.0)) > 0)
     apart = F.abs(F.col("t_duration_ms") / 1000.0 - F.col("c_duration_s"))
     penalty = (
@@ -177,12 +170,24 @@ def with_score(pairs, name: str = "score"):
         .when(known & (apart > fv.NEAR_SECONDS), F.lit(fv.NEAR_PENALTY))
         .otherwise(F.lit(0.0))
     )
-    bonus = F.when(F.col("t_name") == F.col("c_name"), F.lit(fv.EXACT_TITLE_BONUS)).otherwise(0.0)
-    score = (
-        fv.TITLE_WEIGHT * F.col("_title")
-        + fv.ARTIST_WEIGHT * F.greatest("_artist", "_lead")
-        + fv.ALBUM_WEIGHT * F.col("_album")
+    bonus = F.when(same_name, F.lit(fv.EXACT_TITLE_BONUS)).otherwise(0.0)
+    return (
+        fv.TITLE_WEIGHT * as_column(title)
+        + fv.ARTIST_WEIGHT * F.greatest(as_column(artist), as_column(lead))
+        + fv.ALBUM_WEIGHT * as_column(album)
         - penalty
         + bonus
     )
+
+
+def with_score(pairs, name: str = "score"):
+    """Add the score of each pair; ``pairs`` holds both sides' prepared columns."""
+    rated = pairs.select(
+        "*",
+        token_set_ratio("t_title", "c_title").alias("_title"),
+        token_set_ratio("t_artist", "c_artist").alias("_artist"),
+        token_set_ratio("t_lead", "c_lead").alias("_lead"),
+        token_set_ratio("t_album", "c_album").alias("_album"),
+    )
+    score = combined_score("_title", "_artist", "_lead", "_album", F.col("t_name") == F.col("c_name"))
     return rated.withColumn(name, score).drop("_title", "_artist", "_lead", "_album")

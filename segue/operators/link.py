@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.similarity import CATALOG_SIDE, TRACK_SIDE, with_score
 from ..session import materialise
+from .pairs import PairScores
 from .prepare import prepare_catalog, prepare_tracks
-from .search import search, with_queries
+from .search import answer, build_index, known_words, search, with_queries
 
 DECISION_COLUMNS = ["key", "id", "score", "title", "artist", "album_id", "threshold"]
 
@@ -57,11 +58,7 @@ def link_isrc(tracks: DataFrame, catalog: DataFrame, threshold: float = fv.DEFAU
 
 def score_pairs(tracks: DataFrame, catalog: DataFrame, pairs: DataFrame) -> DataFrame:
     """Score (key, cand_id) pairs; other columns of ``pairs`` are kept."""
-    return with_score(
-        pairs.join(tracks.select("key", *TRACK_SIDE), "key").join(
-            catalog.select("cand_id", *CATALOG_SIDE), "cand_id"
-        )
-    ).drop(*TRACK_SIDE, *CATALOG_SIDE)
+    return PairScores(tracks, catalog).score(pairs)
 
 
 def first_query_pairs(found: DataFrame) -> DataFrame:
@@ -89,22 +86,82 @@ def early_stop(scored: DataFrame, good_enough: float = fv.GOOD_ENOUGH_SCORE) ->
     )
 
 
-def candidate_pairs(tracks: DataFrame, catalog: DataFrame, limit: int = fv.SEARCH_LIMIT, indexed=None) -> DataFrame:
+def candidate_pairs(tracks: DataFrame, catalog: DataFrame, limit: int = fv.SEARCH_LIMIT, index=None) -> DataFrame:
     """Scored candidates of every track: (key, cand_id, query_no, rank, score)."""
-    found = search(tracks, catalog, limit, indexed)
+    found = search(tracks, catalog, limit, index)
     return score_pairs(tracks, catalog, first_query_pairs(found))
 
 
+def staged_pairs(
+    tracks: DataFrame,
+    catalog: DataFrame,
+    limit: int = fv.SEARCH_LIMIT,
+    index=None,
+    good_enough: float = fv.GOOD_ENOUGH_SCORE,
+) -> DataFrame:
+    """What ``early_stop`` leaves of all candidates, without asking for the rest.
+
+    The first query is asked for all keys, each further one only for keys without a score of
+    ``good_enough`` so far.  A query that has the same known words as an earlier one of its
+    key, or as one asked for another key, is not searched again, and a pair is scored once.
+    Every stage is written.
+    """
+    index = index or build_index(catalog, limit)
+    scores = PairScores(tracks, catalog)
+    words = known_words(tracks, index)
+    first = words.groupBy("key", "search_id").agg(F.min("query_no").alias("query_no"), F.any_value("codes").alias("codes"))
+    asked = materialise(first)
+    last = asked.agg(F.max("query_no")).first()[0]
+    stages: list[DataFrame] = []
+    answers: list[DataFrame] = []
+    settled = None
+
+    def union(frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for frame in frames[1:]:
+            out = out.unionByName(frame)
+        return out
+
+    for number in range(0 if last is None else last + 1):
+        now = asked.filter(F.col("query_no") == number)
+        if settled is not None:
+            now = now.join(settled, "key", "left_anti")
+        now = materialise(now)
+        if now.isEmpty():
+            continue
+        searches = now.groupBy("search_id").agg(F.any_value("codes").alias("codes"))
+        if answers:
+            searches = searches.join(union([a.select("search_id") for a in answers]).distinct(), "search_id", "left_anti")
+        answers.append(materialise(answer(materialise(searches), index, limit)))
+        found = now.select("key", "query_no", "search_id").join(union(answers), "search_id").select("key", "cand_id", "query_no", "rank")
+        # equal known words are one query of a key, so a pair is met once in a stage
+        if stages:
+            found = found.join(union([s.select("key", "cand_id") for s in stages]), ["key", "cand_id"], "left_anti")
+        stages.append(materialise(scores.score(found)))
+        settled = union([s.filter(F.col("score") >= good_enough).select("key") for s in stages]).distinct()
+    if not stages:
+        return candidate_pairs(tracks, catalog, limit, index)
+    return union(stages)
+
+
+def stage_counts(staged: DataFrame, good_enough: float = fv.GOOD_ENOUGH_SCORE) -> DataFrame:
+    """Per query: keys with new candidates, pairs scored, keys settled by it."""
+    per_key = staged.groupBy("query_no", "key").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+    return per_key.groupBy("query_no").agg(
+        F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_pairs"), F.count_if(F.col("best") >= good_enough).alias("n_settled")
+    )
+
+
 def link_fuzzy(
     tracks: DataFrame,
     catalog: DataFrame,
     threshold: float = fv.DEFAULT_THRESHOLD,
     limit: int = fv.SEARCH_LIMIT,
-    indexed=None,
+    index=None,
 ) -> DataFrame:
     """Best scored candidate per key; id null below the threshold, score 0 without any."""
     best = (
-        early_stop(candidate_pairs(tracks, catalog, limit, indexed))
+        staged_pairs(tracks, catalog, limit, index)
         .groupBy("key")
         .agg(F.min(F.struct((-F.col("score")).alias("s"), "query_no", "rank", "cand_id")).alias("b"))
         .select("key", F.col("b.cand_id").alias("cand_id"), (-F.col("b.s")).alias("score"))
@@ -134,14 +191,14 @@ def link_tracks(
     catalog: DataFrame,
     threshold: float = fv.DEFAULT_THRESHOLD,
     limit: int = fv.SEARCH_LIMIT,
-    indexed=None,
+    index=None,
 ) -> DataFrame:
     """Decision per key: by code where the catalog has it, else by search.
 
-    ``indexed`` is the catalog's index, where it is searched again and again.
+    ``index`` is the catalog's index, where it is searched again and again.
     """
     codes = catalog.filter(F.col("c_isrc").isNotNull()).select("c_isrc").distinct()
     uncoded = tracks.join(codes, F.upper("isrc") == F.col("c_isrc"), "left_anti")
     return link_isrc(tracks, catalog, threshold).unionByName(
-        link_fuzzy(uncoded, catalog, threshold, limit, indexed)
+        link_fuzzy(uncoded, catalog, threshold, limit, index)
     )

@@ -10,6 +10,30 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
+_ROW_BITS = 33  # of monotonically_increasing_id: the row's place in its partition
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Add a number without gaps, from 0; the rows are written once, so that it stays.
+
+    Rows keep their place in their partition; what is broadcast is a row for each partition.
+    """
+    placed = materialise(df.withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", _ROW_BITS)
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy(part.alias("_p"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    )
+    return (
+        placed.withColumn("_p", part)
+        .join(F.broadcast(starts), "_p")
+        .withColumn(name, F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
+        .drop("_p", "_m", "_start")
+    )
+
+
 def rank_by_position(df: DataFrame, keys: list[str], pos: str, name: str = "rank") -> DataFrame:
     """Add the 1-based rank of ``pos`` (integer, unique in its group) per group.
 

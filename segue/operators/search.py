@@ -4,37 +4,46 @@ A word found in ``df`` distinct entries weighs ``10^12 div df``.  Every entry th
 known word with a query may answer; the best twelve by weight answer, ties by popularity,
 then by entry id.
 
-What keeps the join narrow without losing an answer: a query's words are looked up from
-rare to frequent.  A word that ``limit`` distinct entries hold brings that many answers of
-its weight at least.  Once such a word outweighs all words not yet looked up together, an
-entry that shares none of the words looked up so far is outranked by those answers, and the
-rest need not be looked up.  Frequent words are looked up only for queries made of hardly
-anything else, and those collapse: equal sets of known words are searched once, equal
-catalog entries are indexed once.
+Words are numbers that begin with ``df``, so a sorted set of them goes from rare to frequent
+and tells its weights; entries are numbers too.  Equal sets of known words are searched once,
+equal catalog entries are indexed once.  What keeps the join narrow without losing an answer:
+
+1. Seeds: a query's rarest words are looked up in short lists, the most popular entries of a
+   word.  A bounded number of rows for each query gives exact weights of some entries, and the
+   twelfth best of these is a floor: no answer weighs less.
+2. Words are then looked up in whole, from rare to frequent, only as long as this and all that
+   follow together reach the floor; an entry that shares none of them cannot.  Each pair is
+   judged once, at its rarest shared word, and pairs below the floor go no further.
+3. A query's most frequent word, where it is reached, needs its short list only: whatever shares
+   just that word weighs the same, and the most popular answer first.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text
 from ..session import materialise
+from .ranking import numbered
 
 WEIGHT_SCALE = 1_000_000_000_000
+#: A word's code is its number of entries, then so many bits of a number of its own.
+NUMBER_BITS = 33
+#: Most popular entries kept apart for each word; at least the number of answers.
+HEAD = 32
 
 
-def _weight(df: Column) -> Column:
-    return F.call_function("div", F.lit(WEIGHT_SCALE), df)
-
-
-def _total(words: Column) -> Column:
-    return F.aggregate(words, F.lit(0).cast("bigint"), lambda s, w: s + _weight(w["df"]))
+def _weight(code: Column) -> Column:
+    """Weight of a word: its code carries how many entries hold it."""
+    return F.call_function("div", F.lit(WEIGHT_SCALE), F.shiftright(code, NUMBER_BITS))
 
 
-def _set_id(words: Column) -> Column:
-    return F.md5(F.array_join(words, " "))
+def _total(codes: Column) -> Column:
+    return F.aggregate(codes, F.lit(0).cast("bigint"), lambda s, c: s + _weight(c))
 
 
 def with_queries(tracks: DataFrame) -> DataFrame:
@@ -94,6 +103,14 @@ def search_queries(tracks: DataFrame) -> DataFrame:
     )
 
 
+class Index(NamedTuple):
+    """A catalog ready to be searched; all tables written."""
+
+    entries: DataFrame  #: entry, codes (sorted), cands (best first)
+    terms: DataFrame  #: term, code
+    heads: DataFrame  #: code, entry, codes: the most popular entries of each word
+
+
 def catalog_index(catalog: DataFrame, limit: int = fv.SEARCH_LIMIT) -> DataFrame:
     """Distinct word sets of the catalog with the entries that answer for them.
 
@@ -111,86 +128,145 @@ def catalog_index(catalog: DataFrame, limit: int = fv.SEARCH_LIMIT) -> DataFrame
         entries.withColumn("_n", F.row_number().over(order))
         .filter(F.col("_n") <= limit)
         .groupBy("entry_terms")
-        .agg(F.collect_list(F.struct("cand_id", "popularity")).alias("cands"))
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("popularity")).alias("unpopular"), "cand_id"))).alias("cands"))
     )
 
 
-def index_and_frequency(catalog: DataFrame, limit: int = fv.SEARCH_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """The index, and how many distinct entries hold each word; both written once.
+def build_index(catalog: DataFrame, limit: int = fv.SEARCH_LIMIT) -> Index:
+    """Index of a prepared catalog.  True sizes then let Spark choose how to join."""
+    sets = numbered(catalog_index(catalog, limit), "entry")
+    held = sets.select("entry", F.explode("entry_terms").alias("term"))
+    terms = numbered(held.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "number")
+    terms = materialise(terms.select("term", F.shiftleft("df", NUMBER_BITS).bitwiseOR(F.col("number")).alias("code")))
+    coded = held.join(terms, "term").groupBy("entry").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+    entries = materialise(coded.join(sets.select("entry", "cands"), "entry"))
+    best = Window.partitionBy("code").orderBy("best", "entry")
+    heads = (
+        entries.select("entry", "codes", F.col("cands")[0].alias("best"), F.explode("codes").alias("code"))
+        .withColumn("_n", F.row_number().over(best))
+        .filter(F.col("_n") <= max(HEAD, limit))
+        .select("code", "entry", F.col("codes").alias("entry_codes"))
+    )
+    return Index(entries, terms, materialise(heads))
 
-    Their true sizes then let Spark choose between a broadcast and a shuffle.
-    """
-    index = materialise(catalog_index(catalog, limit))
-    frequency = index.select(F.explode("entry_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return index, materialise(frequency)
 
+def known_words(tracks: DataFrame, index: Index) -> DataFrame:
+    """(key, query_no, search_id, codes): the known words of each query, rare ones first.
 
-def search(
-    tracks: DataFrame,
-    catalog: DataFrame,
-    limit: int = fv.SEARCH_LIMIT,
-    indexed: tuple[DataFrame, DataFrame] | None = None,
-) -> DataFrame:
-    """Ranked answers to the queries of each track: (key, query_no, cand_id, weight, rank).
-
-    ``indexed`` is what ``index_and_frequency`` gave for this catalog, where it is used often.
+    Written: it is read whole for the distinct searches and narrow for the way back.
     """
-    index, frequency = indexed or index_and_frequency(catalog, limit)
-
     # the words of all queries of a track are looked up together, once
     known = (
         tracks.select("key", F.explode("terms").alias("term"))
-        .join(frequency, "term")
+        .join(index.terms, "term")
         .groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("all_known"))
+        .agg(F.sort_array(F.collect_list(F.struct("code", "term"))).alias("all_known"))
     )
-    # read twice below: whole for the distinct searches, narrow for the way back
-    searches = materialise(
+    return materialise(
         tracks.select("key", F.transform("asked", lambda q: q["missing"]).alias("missing"))
         .join(known, "key")
         .select("key", "all_known", F.posexplode("missing").alias("query_no", "missing"))
         .withColumn("known", F.filter("all_known", lambda w: ~F.array_contains("missing", w["term"])))
         .filter(F.size("known") > 0)
-        .select("key", "query_no", "known", _set_id(F.transform("known", lambda w: w["term"])).alias("search_id"))
+        .withColumn("codes", F.transform("known", lambda w: w["code"]))
+        .select("key", "query_no", F.md5(F.array_join("codes", " ")).alias("search_id"), "codes")
     )
 
-    # words are looked up until one that enough entries hold outweighs all that follow
-    start = F.struct(F.lit(0).cast("bigint").alias("before"), F.lit(0).cast("bigint").alias("sure"), F.lit(0).alias("n"))
-    prefix = F.aggregate(
-        "known",
+
+def _judged(lookups: DataFrame, lists: DataFrame) -> DataFrame:
+    """Each pair of a search and an entry at its rarest shared word only, with its exact weight.
+
+    The shared words of a pair are found once: what a generator makes is not computed again
+    for a filter behind it.
+    """
+    none = F.struct(F.lit(None).cast("bigint").alias("rarest"), F.lit(0).cast("bigint").alias("weight"))
+    found = F.aggregate(
+        F.array_intersect("codes", "entry_codes"),
+        none,
+        lambda s, c: F.struct(F.coalesce(s["rarest"], c).alias("rarest"), (s["weight"] + _weight(c)).alias("weight")),
+    )
+    return (
+        lookups.join(lists, "code")
+        .select("search_id", "entry", "floor", "code", F.inline(F.array(found)))
+        .filter("rarest = code and weight >= floor")
+        .select("search_id", "entry", "weight")
+    )
+
+
+def floors(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT) -> DataFrame:
+    """(search_id, floor): a weight that ``limit`` entries at least reach; absent where unknown.
+
+    Words are taken until their short lists hold twice as many entries as answers, so at most
+    2 * limit + HEAD rows meet for a search.
+    """
+    start = F.struct(F.lit(0).cast("bigint").alias("rows"), F.lit(0).alias("n"))
+    taken = F.aggregate(
+        "codes",
         start,
-        lambda s, w: F.when(s["sure"] > F.col("total") - s["before"], s).otherwise(
-            F.struct(
-                (s["before"] + _weight(w["df"])).alias("before"),
-                F.greatest(s["sure"], F.when(w["df"] >= limit, _weight(w["df"])).otherwise(0)).alias("sure"),
-                (s["n"] + 1).alias("n"),
-            )
+        lambda s, c: F.when(s["rows"] >= 2 * limit, s).otherwise(
+            F.struct((s["rows"] + F.least(F.shiftright(c, NUMBER_BITS), F.lit(HEAD))).alias("rows"), (s["n"] + 1).alias("n"))
         ),
         lambda s: s["n"],
     )
-    lookups = (
-        searches.groupBy("search_id")
-        .agg(F.any_value("known").alias("known"))
-        .withColumn("total", _total(F.col("known")))
-        .select("search_id", "known", "total", F.posexplode(F.slice("known", F.lit(1), prefix)).alias("at", "_w"))
-        .withColumn("term", F.col("_w.term"))
-        .drop("_w")
-    )
-
-    postings = index.select(F.explode("entry_terms").alias("term"), "entry_terms", "cands")
-    rarer = F.slice(F.transform("known", lambda w: w["term"]), F.lit(1), F.col("at"))
-    shared = F.filter("known", lambda w: F.array_contains("entry_terms", w["term"]))
-    ranking = Window.partitionBy("search_id").orderBy(F.desc("weight"), F.desc("popularity"), "cand_id")
-    answers = (
-        lookups.join(postings, "term")
-        .filter(~F.arrays_overlap(rarer, "entry_terms"))  # each pair once, by its rarest word
-        .withColumn("weight", _total(shared))
+    seeds = searches.select("search_id", "codes", F.lit(0).alias("floor"), F.explode(F.slice("codes", F.lit(1), taken)).alias("code"))
+    return (
+        _judged(seeds, index.heads)
+        .groupBy("search_id")
+        .agg(F.sort_array(F.collect_list("weight"), asc=False).alias("weights"))
+        .filter(F.size("weights") >= limit)
+        .select("search_id", F.col("weights")[limit - 1].alias("floor"))
+    )
+
+
+def lookups(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT) -> DataFrame:
+    """(search_id, codes, floor, code, at): the words of each search that are looked up in whole."""
+    start = F.struct(F.col("total").alias("left"), F.lit(0).alias("n"))
+    needed = F.aggregate(
+        "codes",
+        start,
+        lambda s, c: F.when(s["left"] < F.col("floor"), s).otherwise(
+            F.struct((s["left"] - _weight(c)).alias("left"), (s["n"] + 1).alias("n"))
+        ),
+        lambda s: s["n"],
+    )
+    return (
+        searches.join(floors(searches, index, limit), "search_id", "left")
+        .withColumn("floor", F.coalesce("floor", F.lit(0)))
+        .withColumn("total", _total(F.col("codes")))
+        .select("search_id", "codes", "floor", F.posexplode(F.slice("codes", F.lit(1), needed)).alias("at", "code"))
+    )
+
+
+def answer(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT) -> DataFrame:
+    """Ranked answers of distinct ``searches`` (search_id, codes): (search_id, cand_id, weight, rank)."""
+    asked = materialise(lookups(searches, index, limit))
+    at_end = F.col("at") == F.size("codes") - 1
+    postings = index.entries.select("entry", F.col("codes").alias("entry_codes"), F.explode("codes").alias("code"))
+    found = _judged(asked.filter(~at_end), postings).unionByName(_judged(asked.filter(at_end), index.heads))
+    ranking = Window.partitionBy("search_id").orderBy(F.desc("weight"), "unpopular", "cand_id")
+    return (
+        found.join(index.entries.select("entry", "cands"), "entry")
         .select("search_id", "weight", F.inline("cands"))
         .withColumn("rank", F.row_number().over(ranking))
         .filter(F.col("rank") <= limit)
+        .select("search_id", "cand_id", "weight", "rank")
     )
+
+
+def distinct_searches(words: DataFrame) -> DataFrame:
+    return materialise(words.groupBy("search_id").agg(F.any_value("codes").alias("codes")))
+
+
+def search(tracks: DataFrame, catalog: DataFrame, limit: int = fv.SEARCH_LIMIT, index: Index | None = None) -> DataFrame:
+    """Ranked answers to the queries of each track: (key, query_no, cand_id, weight, rank).
+
+    ``index`` is what ``build_index`` gave for this catalog, where it is used often.
+    """
+    index = index or build_index(catalog, limit)
+    words = known_words(tracks, index)
+    answers = answer(distinct_searches(words), index, limit)
     return (
-        searches.select("key", "query_no", "search_id")
+        words.select("key", "query_no", "search_id")
         .join(answers, "search_id")
         .select("key", "query_no", "cand_id", "weight", "rank")
     )

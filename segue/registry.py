@@ -89,6 +89,11 @@ def early_stop_window(spark, sf):
     )
 
 
+def link_stages(spark, sf):
+    counted = link.stage_counts(link.staged_pairs(*_sides(spark, sf)))
+    return counted.withColumn("query_no", F.col("query_no").cast("bigint"))
+
+
 def _decision_columns(df):
     return df.select("key", "id", _r6("score"), "title", "artist", "album_id", "threshold")
 
@@ -557,7 +562,7 @@ QUERIES = {
     f.__name__.replace("dedup_groups_query", "dedup_groups"): f
     for f in [
         norm_titles, clean_titles, clean_artists, identity_key, year_prefix,
-        token_set_ratio_pairs, score_pairs, early_stop_window,
+        token_set_ratio_pairs, score_pairs, early_stop_window, link_stages,
         link_isrc, link_fuzzy, link_tracks, search_queries, search_candidates,
         match_metrics, transfer_summary,
         dedup_groups_query, decisions_stale, decisions_merge, decisions_rekey,

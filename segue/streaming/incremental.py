@@ -14,7 +14,7 @@ from ..functions import fixed_values as fv
 from ..operators import decisions as dec
 from ..operators.link import link_tracks
 from ..operators.prepare import dedup_groups, prepare_catalog, prepare_tracks, with_key
-from ..operators.search import index_and_frequency, with_queries
+from ..operators.search import build_index, with_queries
 from ..session import materialise
 from ..sinks.tables import current_version, publish, save_decisions
 
@@ -31,14 +31,14 @@ def link_stream(
     A batch that is run again after a failure finds its keys decided and adds nothing.
     """
     entries = materialise(prepare_catalog(catalog))
-    indexed = index_and_frequency(entries)
+    index = build_index(entries)
 
     def handle(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
         version = current_version(spark, folder, service)
         known = dec.load(spark, version or f"{folder}/none")
         work = dec.work_list(dedup_groups(with_key(batch)), known, threshold).drop("stale")
-        new = link_tracks(materialise(with_queries(prepare_tracks(work))), entries, threshold, indexed=indexed)
+        new = link_tracks(materialise(with_queries(prepare_tracks(work))), entries, threshold, index=index)
         publish(spark, folder, service, save_decisions(dec.merge(known, materialise(new)), folder, service))
 
     return (

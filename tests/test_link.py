@@ -2,7 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from segue.functions.similarity import CATALOG_SIDE, TRACK_SIDE, with_score
 from segue.operators import link, search
+from segue.operators.pairs import FIELDS, PairScores
 from segue.operators.prepare import dedup_groups, prepare_catalog, with_key
 
 TRACK = "library_id string, pos bigint, track_id string, name string, artist string, album string, album_artist string, duration_ms bigint, isrc string"
@@ -125,3 +127,61 @@ def test_plan_has_no_cross_join(spark):
     plan = link.link_tracks(t, c)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert prepare_catalog(spark.createDataFrame([entry(1, "S", "A")], ENTRY)).select(F.col("c_title")).first()[0] == "s"
+
+
+def random_sides(spark, seed):
+    rng = random.Random(seed)
+    words = ["love", "you", "night"] + [f"w{i}" for i in range(40)]
+
+    def name():
+        return " ".join(rng.choices(words, weights=[20] * 3 + [1] * 40, k=rng.randint(1, 5)))
+
+    tracks = [track(i, name() + rng.choice(["", " (Live)"]), f"artist{rng.randint(0, 6)}", album=f"Al{i % 3}", ms=200_000) for i in range(150)]
+    entries = [entry(i, t[3], t[4], popularity=i % 5, seconds=200.0) for i, t in enumerate(tracks[::3])]
+    entries += [entry(500 + i, name(), f"artist{rng.randint(0, 6)}", seconds=180.0) for i in range(150)]
+    return sides(spark, tracks, entries)
+
+
+def test_stages_ask_for_no_more_than_needed(spark):
+    t, c = random_sides(spark, 3)
+    every = link.candidate_pairs(t, c)
+    wanted = sorted(map(tuple, link.early_stop(every).select("key", "cand_id", "query_no", "rank", "score").collect()))
+    staged = link.staged_pairs(t, c)
+    assert sorted(map(tuple, staged.select("key", "cand_id", "query_no", "rank", "score").collect())) == wanted
+    assert len(wanted) < every.count()
+    counted = {r.query_no: (r.n_keys, r.n_pairs, r.n_settled) for r in link.stage_counts(staged).collect()}
+    first = [w for w in wanted if w[2] == 0]
+    assert counted[0] == (len({w[0] for w in first}), len(first), len({w[0] for w in first if w[4] >= 92}))
+
+
+def test_strings_are_compared_once(spark):
+    t, c = random_sides(spark, 4)
+    scores = PairScores(t, c)
+    pairs = link.first_query_pairs(search.search(t, c)).select("key", "cand_id")
+    half = pairs.filter(F.crc32("key") % 2 == 0)
+    scores.score(half)
+    one = sorted(map(tuple, scores.score(pairs).collect()))
+    seen = [(r.a, r.b) for r in scores.ratios.select("a", "b").collect()]
+    texts = {r.string: r.text for r in scores.strings.collect()}
+    assert len(texts) == len(set(texts.values()))
+    sides_of = pairs.join(t, "key").join(c.withColumnsRenamed({"name": "c_own", "album": "c_of"}), "cand_id").collect()
+    wanted = {(r[a], r[b]) for r in sides_of for a, b in FIELDS.values()}
+    assert len(seen) == len(set(seen)) and {(texts[a], texts[b]) for a, b in seen} == wanted
+    rows = pairs.join(t.select("key", *TRACK_SIDE), "key").join(c.select("cand_id", *CATALOG_SIDE), "cand_id")
+    assert one == sorted(map(tuple, with_score(rows).select("key", "cand_id", "score").collect()))
+
+
+def test_lookups_stop_at_the_floor(spark):
+    """Words that half the catalog holds are looked up in whole for no query that has rarer ones enough."""
+    entries = [entry(i, f"common rare{i // 20}", "same") for i in range(400)]
+    t, c = sides(spark, [track(1, "common rare3", "same"), track(2, "common", "same"), track(3, "common rare3 rare4", "same")], entries)
+    index = search.build_index(c)
+    assert index.entries.count() == 20 and index.heads.groupBy("code").count().agg(F.max("count")).first()[0] <= search.HEAD
+    many = [entry(i, f"common r{i // 20} x{i}", "same") for i in range(400)]
+    t, c = sides(spark, [track(1, "common r3", "same")], many)
+    index = search.build_index(c)
+    asked = search.lookups(search.distinct_searches(search.known_words(t, index)), index)
+    whole = {r.code >> search.NUMBER_BITS for r in asked.filter(F.col("at") < F.size("codes") - 1).collect()}
+    assert whole == {20}
+    weights = [10**12 // 20 + 2 * (10**12 // 400)] * 12
+    assert [r.weight for r in search.search(t, c).filter("query_no = 0").collect()] == weights
