@@ -173,6 +173,12 @@ left join catalog c on c.cand_id = b.cand_id and b.score >= 78"""
 STEPS["decided"] = """
 select * from by_code union all select * from by_search where key not in (select key from by_code)"""
 
+# tracks as they arrive carry no code: the same steps over those
+_ARRIVING = ["keyed", "reps", "asked", "asked_words", "found", "firsts", "both_sides", "f_pairs", "f_parts", "f_lcs", "f_ratio", "f_scored", "stopped", "by_search"]
+for _name in _ARRIVING:
+    _text = re.sub(rf"\b(from|join)(\s+)({'|'.join(_ARRIVING)})\b", r"\1\2arriving_\3", STEPS[_name])
+    STEPS[f"arriving_{_name}"] = _text.replace("from doc_tracks", "from (select * replace (null::varchar as isrc) from doc_tracks)")
+
 # --------------------------------------------------------------------------- libraries
 STEPS["playlists"] = """
 select 'n' || c_nationkey as library_id, o_orderkey::varchar as playlist_id, o_orderkey as pos,
@@ -338,6 +344,7 @@ ORACLE = {
         "link_isrc": _DECISION + "by_code",
         "link_fuzzy": _DECISION + "by_search",
         "link_tracks": _DECISION + "decided",
+        "stream_link": _DECISION + "arriving_by_search",
         "search_queries": "select key, query_no, query from asked",
         "search_candidates": "select key, query_no, cand_id, weight, rank from found",
         "match_metrics": _METRICS,

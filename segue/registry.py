@@ -16,6 +16,7 @@ from .plans import report, transfer, writes
 from .schemas import TRACK_PAGE
 from .session import materialise, shared_folder
 from .sinks import tables as sinks
+from .sinks import versions
 from .sources import filters, json_export, page_dumps, plist_export
 from .streaming import incremental
 
@@ -172,9 +173,10 @@ def decisions_merge(spark, sf):
         F.lit(90.0).alias("threshold"),
     )
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    version = sinks.save_decisions(dec.merge(old, new), folder, "catalog")
-    sinks.publish(spark, folder, "catalog", version)
-    return dec.load(spark, sinks.current_version(spark, folder, "catalog"))
+    table = versions.decisions_table(spark, folder, "catalog")
+    table.merge(old)
+    table.merge(new)
+    return table.load()
 
 
 def decisions_rekey(spark, sf):
@@ -555,7 +557,7 @@ def stream_link(spark, sf):
         )
     )
     incremental.link_stream(arriving, fx.page_catalog(spark, sf), folder, "catalog").awaitTermination()
-    return _decision_columns(dec.load(spark, sinks.current_version(spark, folder, "catalog")))
+    return _decision_columns(versions.decisions_table(spark, folder, "catalog").load())
 
 
 QUERIES = {

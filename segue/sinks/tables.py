@@ -1,10 +1,8 @@
-"""Sinks: decision versions, account backups, the report file."""
+"""Sinks: account backups, the report file."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -14,41 +12,6 @@ from ..plans.report import report_order
 ITEMS_PER_ROW = 1000
 
 
-def save_decisions(decisions: DataFrame, folder: str, service: str) -> str:
-    """Write the next version of a service's decisions and return its path.
-
-    A version is never written over: readers of the one before stay undisturbed, and a
-    failed job leaves no half-written table behind.
-    """
-    path = f"{folder.rstrip('/')}/service={service}/version={uuid.uuid4().hex}"
-    decisions.write.parquet(path)
-    return path
-
-
-def publish(spark: SparkSession, folder: str, service: str, version: str) -> None:
-    """Record ``version`` as the current one, as a row of a small pointer table."""
-    (
-        spark.createDataFrame([(service, version)], "service string, version string")
-        .withColumn("published_at", F.current_timestamp())
-        .coalesce(1)
-        .write.mode("append")
-        .json(f"{folder.rstrip('/')}/pointer")
-    )
-
-
-def current_version(spark: SparkSession, folder: str, service: str) -> str | None:
-    """Path of the version published last."""
-    schema = "service string, version string, published_at timestamp"
-    try:
-        pointer = spark.read.schema(schema).json(f"{folder.rstrip('/')}/pointer")
-    except Exception as error:  # nothing published yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return None
-    latest = pointer.filter(F.col("service") == service).agg(F.max_by("version", "published_at"))
-    return latest.first()[0]
-
-
 def account_backup(
     playlists: DataFrame, playlist_items: DataFrame, items: DataFrame, saved_at, items_per_row: int = ITEMS_PER_ROW
 ) -> DataFrame:

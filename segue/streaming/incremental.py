@@ -1,7 +1,7 @@
 """Arriving tracks linked as they come.
 
 Each micro-batch is a small transfer: keys without a standing decision are searched,
-and the merged decisions become the next version.  The catalog is a table, prepared
+and their decisions are merged into the next version.  The catalog is a table, prepared
 and indexed once when the query starts.
 """
 
@@ -16,7 +16,7 @@ from ..operators.link import link_tracks
 from ..operators.prepare import dedup_groups, prepare_catalog, prepare_tracks, with_key
 from ..operators.search import build_index, with_queries
 from ..session import materialise
-from ..sinks.tables import current_version, publish, save_decisions
+from ..sinks.versions import decisions_table
 
 
 def link_stream(
@@ -28,22 +28,26 @@ def link_stream(
 ) -> StreamingQuery:
     """Start linking a stream of tracks; processes what is there, then stops.
 
-    A batch that is run again after a failure finds its keys decided and adds nothing.
+    A key is decided in the first batch that brings it.  Each version tells the last batch in
+    it, so a batch that is run again after a failure adds nothing, and only the buckets of
+    keys that a batch decides are written.
     """
     entries = materialise(prepare_catalog(catalog))
     index = build_index(entries)
+    progress = f"{folder.rstrip('/')}/progress"
 
-    def handle(batch: DataFrame, _batch_id: int) -> None:
-        spark = batch.sparkSession
-        version = current_version(spark, folder, service)
-        known = dec.load(spark, version or f"{folder}/none")
-        work = dec.work_list(dedup_groups(with_key(batch)), known, threshold).drop("stale")
-        new = link_tracks(materialise(with_queries(prepare_tracks(work))), entries, threshold, index=index)
-        publish(spark, folder, service, save_decisions(dec.merge(known, materialise(new)), folder, service))
+    def handle(batch: DataFrame, number: int) -> None:
+        table = decisions_table(batch.sparkSession, folder, service)
+        now = table.current()
+        if now and now.batches.get(progress, -1) >= number:
+            return
+        work = dec.work_list(dedup_groups(with_key(batch)), table.load(now), threshold).drop("stale")
+        ready = materialise(with_queries(prepare_tracks(work)))
+        table.merge(link_tracks(ready, entries, threshold, index=index), progress, number)
 
     return (
         arriving.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", f"{folder.rstrip('/')}/progress")
+        .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()
     )

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_registry_is_complete():
-    assert set(ORACLE) == set(QUERIES) - {"stream_link"}
+    assert set(ORACLE) == set(QUERIES)
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 

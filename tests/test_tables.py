@@ -76,16 +76,6 @@ def test_rekey_and_legacy_names(spark):
     assert tuples(dec.rekey(current, tracks), "key", "id") == [("q:a|x", "2"), ("t1", "1")]
 
 
-def test_versions(spark, tmp_path):
-    folder = str(tmp_path)
-    assert sinks.current_version(spark, folder, "s") is None
-    assert dec.load(spark, f"{folder}/none").count() == 0
-    for ident in ("1", "2"):
-        df = spark.createDataFrame([decision("q:a", ident, 90.0)], DECISIONS)
-        sinks.publish(spark, folder, "s", sinks.save_decisions(df, folder, "s"))
-    assert dec.load(spark, sinks.current_version(spark, folder, "s")).first()["id"] == "2"
-
-
 def test_upc_memo(spark):
     declared = spark.createDataFrame([("1",), ("2",), ("3",), ("",), (None,), ("1",)], "upc string")
     memo = spark.createDataFrame([("1", "a"), ("2", None)], "upc string, album_id string")
