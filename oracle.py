@@ -300,6 +300,34 @@ from all_lines where line <> '' and not (lang = 'fr' and length(line) < 40)"""
 STEPS["dumped"] = """
 select source as collection, doc_id * 1000000 + line_no as pos, md5(line) as id, line as name, lang, source, n_chars
 from all_lines where trim(line) <> ''"""
+STEPS["page_lists"] = """
+select source as library_id, doc_id as playlist_pos, doc_id::varchar as playlist_id, source || ' ' || lang as name, doc_id
+from documents where lang = 'en' or n_chars > 2000"""
+STEPS["page_listed"] = """
+select library_id, playlist_pos, playlist_id, l.name as list_name, pos, md5(i.name) as id, i.name, lang, source, n_chars
+from (select doc_id, line_no as pos, line as name, lang, source, n_chars from all_lines where trim(line) <> ''
+      union all
+      select doc_id, line_no + count(*) over (partition by doc_id), line || ' - Live', lang, source, n_chars from all_lines
+      qualify trim(line) <> '') i
+join page_lists l using (doc_id)
+where length(i.name) >= 20 and (i.name like '%.' or i.name not like '%,%')"""
+STEPS["reset_left"] = """
+select library_id, name from playlists where o_orderstatus <> 'P' and library_id < 'n2'
+and (library_id, name) in (select (library_id, name) from wipe where kind = 'playlist')
+union all select library_id, null from favorites where kind = 'album' and library_id < 'n2'"""
+STEPS["reset_planned"] = """
+select library_id, count(*) as n_deleted from wipe where kind in ('playlist', 'track', 'album') group by all"""
+STEPS["reset_gates"] = """
+select library_id, library_id not in (select library_id from reset_left) as may_import from reset_planned"""
+STEPS["reset_backed"] = """
+select library_id, sum(n)::bigint as n_backed_up from (
+select library_id, greatest(1, (count(track_id) + 999) // 1000) as n
+from playlists left join items using (library_id, playlist_id) group by library_id, playlist_id
+union all select library_id, (count(*) + 999) // 1000 from favorites group by library_id, kind) group by library_id"""
+STEPS["reset_entries"] = """
+select library_id, count(*) as n_entries from (select distinct library_id, playlist_id, id from matched where id is not null) group by all"""
+STEPS["reset_stars"] = """
+select library_id, count(*) as n_favorites from favorite_ids group by all"""
 
 
 def _sql(query: str) -> str:
@@ -464,6 +492,38 @@ ORACLE = {
             lang as album_artist, length(name) as duration_ms,
             try_cast(left(n_chars || '-01', 4) as bigint) as year from dumped
             where length(name) >= 20 and (name like '%.' or name not like '%,%')""",
+        "ingest_page_library": """
+            select library_id, id as track_id, part::bigint as part, pos, name, lang as artist, source as album, lang as album_artist,
+                   length(name) as duration_ms, try_cast(left(n_chars || '-01', 4) as bigint) as year,
+                   bool_or(part = 0) over (partition by library_id, id) as loved
+            from (select collection as library_id, id, 0 as part, 0 as playlist_pos, pos, name, lang, source, n_chars from dumped
+                  where length(name) >= 20 and (name like '%.' or name not like '%,%')
+                  union all
+                  select library_id, id, 1, playlist_pos, pos, name, lang, source, n_chars from page_listed)
+            qualify row_number() over (partition by library_id, id order by part, playlist_pos, pos) = 1""",
+        "ingest_page_playlists": """
+            select library_id, playlist_id, playlist_pos, list_name as name, count(*) as n_items, count(distinct id) as n_tracks
+            from page_listed group by all""",
+        "ingest_page_albums": """
+            select source as library_id, doc_id as pos, source || ' ' || lang as name, lang as artist,
+                   len(string_split(text, chr(10))) as track_count, md5(source) as upc from documents where lang <> 'fr'""",
+        "catalog_entries": """
+            select page_id::varchar as cand_id, title as name, host || '|' as artists, host as album, host || '/' || lang as album_id,
+                   case when lang = 'en' and title <> '' then length(title)::double end as duration_s, n_html as popularity,
+                   upper(md5(title)) as isrc
+            from page_titles where lang <> 'de' and not (lang = 'fr' and n_html >= 1000)""",
+        "ingest_quarantine": """
+            select 'json export' as reader, 'malformed' as reason, doc_id::varchar as source, 1::bigint as n from documents where lang = 'de'
+            union all select 'page', 'malformed', source, count(*) from documents where source = 'src1' group by source
+            union all select 'property list', 'malformed', doc_id::varchar, 1 from documents where lang = 'fr'
+            union all select 'decisions', case when album_id is null then 'no key' else 'no score' end,
+              case when album_id is not null then key end, count(*) from decisions where album_id is null or score = 20 group by all""",
+        "reset_import": """
+            select library_id, n_backed_up, may_import, coalesce(n_deleted, 0) as n_deleted,
+                   case when coalesce(may_import, true) then coalesce(n_entries, 0) else 0 end as n_entries,
+                   case when coalesce(may_import, true) then coalesce(n_favorites, 0) else 0 end as n_favorites
+            from reset_backed left join reset_gates using (library_id) left join reset_planned using (library_id)
+                 left join reset_entries using (library_id) left join reset_stars using (library_id)""",
         "song_projection": """select source as library_id, doc_id::varchar as track_id, md5(text) as name, lang as artist,
             coalesce(nullif(case when lang = 'en' then n_chars else 0 end, 0), nullif(quality * 1000, 0), 0) as duration_ms,
             case when quality is not null then md5(doc_id::varchar) end as isrc,

@@ -290,24 +290,80 @@ def plist_exports(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def page_dumps(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as stored pages of their source's collection; blank lines are null items."""
-    lines = F.split("text", "\n")
+def _page_item(line, field: str):
+    """A line as a track of a stored page; blank lines are null items."""
+    track = F.struct(
+        F.md5(line).alias("id"),
+        line.alias("name"),
+        F.when(line.endswith("."), "track").when(line.contains(","), "episode").alias("type"),
+        (F.length(line) < 20).alias("is_local"),
+        F.length(line).cast("bigint").alias("duration_ms"),
+        F.array(F.struct(F.col("lang").alias("name"))).alias("artists"),
+        F.struct(F.col("source").alias("name"), F.concat(F.col("n_chars"), F.lit("-01")).alias("release_date")).alias("album"),
+    )
+    return F.when(F.trim(line) != "", F.struct(track.alias(field)))
 
-    def item(line):
-        track = F.struct(
-            F.md5(line).alias("id"),
-            line.alias("name"),
-            F.when(line.endswith("."), "track").when(line.contains(","), "episode").alias("type"),
-            (F.length(line) < 20).alias("is_local"),
-            F.length(line).cast("bigint").alias("duration_ms"),
-            F.array(F.struct(F.col("lang").alias("name"))).alias("artists"),
-            F.struct(F.col("source").alias("name"), F.concat(F.col("n_chars"), F.lit("-01")).alias("release_date")).alias("album"),
-        )
-        return F.when(F.trim(line) != "", F.struct(track.alias("track")))
 
+def _page(items):
+    return F.to_json(F.struct(items.alias("items"))).alias("body")
+
+
+def page_dumps(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as stored pages of their source's collection."""
     return text_table(spark, sf, "documents").select(
         F.col("source").alias("collection"),
         (F.col("doc_id") * 1_000_000).alias("offset"),
-        F.to_json(F.struct(F.transform(lines, item).alias("items"))).alias("body"),
+        _page(F.transform(F.split("text", "\n"), lambda line: _page_item(line, "track"))),
+    )
+
+
+def playlist_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as playlists of their source, owned by their language, the long ones shared."""
+    listed = F.struct(
+        F.col("doc_id").cast("string").alias("id"),
+        F.concat_ws(" ", "source", "lang").alias("name"),
+        (F.col("n_chars") > 2000).alias("collaborative"),
+        F.struct(F.col("lang").alias("id")).alias("owner"),
+    )
+    return table(spark, sf, "documents").select(F.col("source").alias("collection"), F.col("doc_id").alias("offset"), _page(F.array(listed)))
+
+
+def playlist_item_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of each document as items of its playlist, then a live version of each."""
+    lines = F.split("text", "\n")
+    both = F.concat(lines, F.transform(lines, lambda s: F.when(F.trim(s) != "", F.concat(s, F.lit(" - Live"))).otherwise("")))
+    return text_table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("collection"),
+        F.lit(0).cast("bigint").alias("offset"),
+        _page(F.transform(both, lambda line: _page_item(line, "item"))),
+    )
+
+
+def album_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as saved albums of their source; French ones have no name."""
+    album = F.struct(
+        F.when(F.col("lang") != "fr", F.concat_ws(" ", "source", "lang")).alias("name"),
+        F.size(F.split("text", "\n")).alias("total_tracks"),
+        F.array(F.struct(F.col("lang").alias("name"))).alias("artists"),
+        F.struct(F.md5("source").alias("upc")).alias("external_ids"),
     )
+    return text_table(spark, sf, "documents").select(
+        F.col("source").alias("collection"), F.col("doc_id").alias("offset"), _page(F.array(F.struct(album.alias("album"))))
+    )
+
+
+def search_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as answers of a track search, one each; those without a language part have no id."""
+    item = F.struct(
+        F.when(F.col("lang") != "de", F.col("page_id").cast("string")).otherwise("").alias("id"),
+        F.col("title").alias("name"),
+        F.when(F.col("lang") == "fr", F.col("n_html") < 1000).alias("is_playable"),
+        F.array(F.struct(F.col("host").alias("name")), F.struct(F.lit(None).cast("string").alias("name"))).alias("artists"),
+        F.struct(F.concat_ws("/", "host", "lang").alias("id"), F.col("host").alias("name")).alias("album"),
+        F.when(F.col("lang") == "en", F.length("title") * 1000).otherwise(0).alias("duration_ms"),
+        F.col("n_html").alias("popularity"),
+        F.struct(F.upper(F.md5("title")).alias("isrc")).alias("external_ids"),
+    )
+    page = F.struct(F.struct(F.array(item).alias("items")).alias("tracks"))
+    return page_titles(spark, sf).select(F.col("host").alias("collection"), F.col("page_id").alias("offset"), F.to_json(page).alias("body"))
+

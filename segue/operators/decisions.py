@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions import fixed_values as fv
 from ..schemas import DECISIONS
+from ..sources import quarantine
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -23,6 +24,11 @@ def load(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], DECISIONS)
 
 
+def split_sound(decisions: DataFrame) -> quarantine.Split:
+    """Stored decisions, those without a key, a score or a threshold apart."""
+    return quarantine.split(decisions, "decisions", "key", quarantine.unsound_decision())
+
+
 def needs_match(threshold: float, rematch: bool = False):
     """Column: is the left-joined decision (id, score, known) absent or overturned?"""
     matched = F.col("id").isNotNull()

@@ -14,27 +14,22 @@ NAMES_PER_ROW = 1000
 def _names_of_tracks(items: DataFrame, playlists: DataFrame, names_per_row: int) -> DataFrame:
     """(library_id, track_id, part, playlists): joined playlist names in library order.
 
-    A track in more than ``names_per_row`` playlists continues in further parts, so no
-    cell grows with the library.
+    A track several times in a playlist repeats its name.  Names are counted one by one, so a
+    cell holds at most ``names_per_row`` of them, however often a track is listed anywhere;
+    what is more continues in further parts.
     """
     track = ["library_id", "track_id"]
-    uses = items.groupBy(*track, "playlist_id").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    named = uses.join(
+    named = items.select(*track, "playlist_id", F.col("pos").alias("item_pos")).join(
         playlists.select("library_id", "playlist_id", F.col("name").alias("playlist"), F.col("pos").alias("playlist_pos")),
         ["library_id", "playlist_id"],
     )
-    ranked = rank_by_position(named, track, "playlist_pos")
-    # a track several times in a playlist repeats the name
-    repeated = F.array_repeat("playlist", F.col("times"))
+    place = F.struct("playlist_pos", "playlist_id", "item_pos")
+    ranked = rank_by_position(named.select(*track, "playlist", place.alias("at")), track, "at")
     return (
         ranked.withColumn("part", F.expr(f"(rank - 1) div {names_per_row}"))
         .groupBy(*track, "part")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", repeated.alias("names")))).alias("_n"))
-        .select(
-            *track,
-            "part",
-            F.array_join(F.flatten(F.transform("_n", lambda n: n["names"])), fv.REPORT_NAME_SEPARATOR).alias("playlists"),
-        )
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "playlist"))).alias("_n"))
+        .select(*track, "part", F.array_join(F.transform("_n", lambda n: n["playlist"]), fv.REPORT_NAME_SEPARATOR).alias("playlists"))
     )
 
 

@@ -12,8 +12,8 @@ from .functions.similarity import token_set_ratio
 from .operators import account, albums, link, ranking, search, selection
 from .operators import decisions as dec
 from .operators.prepare import dedup_groups, with_key
-from .plans import report, transfer, writes
-from .schemas import TRACK_PAGE
+from .plans import report, reset, transfer, writes
+from .schemas import SEARCH_PAGE, TRACK_PAGE
 from .session import materialise, shared_folder
 from .sinks import tables as sinks
 from .sinks import versions
@@ -366,6 +366,26 @@ def reset_gate(spark, sf):
     return account.reset_gate(_verified(spark, sf))
 
 
+def reset_import(spark, sf):
+    """From snapshot to gated plans: what each library backs up, deletes and then brings in."""
+    lists, stars = fx.playlists(spark, sf), fx.favorites(spark, sf)
+    names = fx.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("track_id"), F.col("p_name").alias("track_name"))
+    items = fx.items(spark, sf).join(names, "track_id")
+    backup, deletions = reset.plan(lists, items, stars, lists.filter("smart"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    early = F.col("library_id") < "n2"
+    done = reset.verify(backup, deletions, lists.filter(early & (F.col("o_orderstatus") != "P")), stars.filter(early & (F.col("kind") == "album")))
+    entries = reset.gated(writes.playlist_entries(_matched(spark, sf)), done.gate)
+    favorites = reset.gated(_favorites(spark, sf), done.gate)
+
+    def counted(rows, name):
+        return rows.groupBy("library_id").agg(F.count(F.lit(1)).alias(name))
+
+    out = counted(done.backup, "n_backed_up").join(done.gate, "library_id", "left")
+    for rows, name in ((done.deletions, "n_deleted"), (entries, "n_entries"), (favorites, "n_favorites")):
+        out = out.join(counted(rows, name), "library_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
 # --------------------------------------------------------------------------- sources
 def _track_columns(df, *extra):
     return df.select(
@@ -389,7 +409,7 @@ def ingest_declared_albums(spark, sf):
 
 
 def track_union_first_wins(spark, sf):
-    exports = json_export.parse_exports(fx.json_exports(spark, sf))
+    exports = materialise(json_export.parse_exports(fx.json_exports(spark, sf)))  # two tables come from one parse
     return _track_columns(
         json_export.union_tracks(json_export.song_rows(exports), json_export.playlist_rows(exports)),
         F.col("part").cast("bigint").alias("part"),
@@ -450,6 +470,61 @@ def ingest_nested_tracks(spark, sf):
     )
 
 
+def _page_library(spark, sf):
+    pages = [make(spark, sf) for make in (fx.page_dumps, fx.playlist_pages, fx.playlist_item_pages, fx.album_pages)]
+    return page_dumps.page_library(*pages, me=F.lit("en"))
+
+
+def ingest_page_library(spark, sf):
+    return _track_columns(_page_library(spark, sf).tracks, F.col("part").cast("bigint").alias("part"), F.col("year").cast("bigint").alias("year"))
+
+
+def ingest_page_playlists(spark, sf):
+    library = _page_library(spark, sf)
+    distinct = library.items.groupBy("library_id", "playlist_id").agg(F.count_distinct("track_id").alias("n_tracks"))
+    return library.playlists.join(distinct, ["library_id", "playlist_id"]).select(
+        "library_id", "playlist_id", "playlist_pos", "name", "n_items", "n_tracks"
+    )
+
+
+def ingest_page_albums(spark, sf):
+    return _page_library(spark, sf).albums.select(
+        "library_id", "pos", "name", "artist", F.col("track_count").cast("bigint").alias("track_count"), "upc"
+    )
+
+
+def catalog_entries(spark, sf):
+    found = page_dumps.page_items(fx.search_pages(spark, sf), SEARCH_PAGE, "tracks")
+    return page_dumps.catalog_entries(found).select(
+        "cand_id", "name", F.array_join("artists", "|").alias("artists"), "album", "album_id", "duration_s",
+        F.col("popularity").cast("bigint").alias("popularity"), "isrc",
+    )
+
+
+def ingest_quarantine(spark, sf):
+    """Every reader over bodies some of which break off: what each rejects, and what it keeps."""
+    lang = fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("library_id"), "lang")
+
+    def cut(texts, body, where):
+        broken = F.expr(f"substring({body}, 1, length({body}) - 3)")
+        return texts.withColumn(body, F.when(where, broken).otherwise(F.col(body)))
+
+    exports = cut(fx.json_exports(spark, sf).join(lang, "library_id"), "body", F.col("lang") == "de")
+    pages = cut(fx.page_dumps(spark, sf), "body", F.col("collection") == "src1")
+    lists = cut(fx.plist_exports(spark, sf).join(lang, "library_id"), "content", F.col("lang") == "fr")
+    known = fx.decisions(spark, sf).select(
+        F.when(F.col("album_id").isNotNull(), F.col("key")).alias("key"), F.nullif("score", F.lit(20.0)).alias("score"), "threshold"
+    )
+    rejected = [
+        json_export.split_exports(exports).rejected,
+        page_dumps.split_pages(pages, TRACK_PAGE).rejected,
+        plist_export.rejected(plist_export.parse_exports(lists)),
+        dec.split_sound(known).rejected,
+    ]
+    told = [r.select("reader", "reason", "source") for r in rejected]
+    return told[0].unionByName(told[1]).unionByName(told[2]).unionByName(told[3]).groupBy("reader", "reason", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
 def song_projection(spark, sf):
     catalog = fx.table(spark, sf, "labels").select(
         F.col("doc_id").alias("_id"),
@@ -573,10 +648,11 @@ QUERIES = {
         filter_skip_smart, filter_only_names, select_needed_tracks, reset_scope_plan, ambiguous_names,
         playlist_plan, playlist_entries, playlist_actions, playlist_writes, favorites_plan, favorites_new_only,
         chunk_plan, unmatched_report,
-        account_summary, account_snapshot, wipe_plan, verify_deletions, reset_gate,
+        account_summary, account_snapshot, wipe_plan, verify_deletions, reset_gate, reset_import,
         ingest_json_props, ingest_json_playlists, ingest_declared_albums, track_union_first_wins,
         ingest_xml_udtf, ingest_xml_items, filter_media_kind, filter_system_playlists, semi_valid_items,
-        explode_pages, ingest_nested_tracks, song_projection, filter_non_tracks, filter_owned,
+        explode_pages, ingest_nested_tracks, ingest_page_library, ingest_page_playlists, ingest_page_albums, catalog_entries,
+        ingest_quarantine, song_projection, filter_non_tracks, filter_owned,
         catalog_projection, album_artist_unambiguous, loved_flag_join, stream_link,
     ]
 }

@@ -27,3 +27,4 @@ ALBUM_PAGE = (
     f"items array<struct<album: struct<id: string, name: string, total_tracks: int, {_ARTISTS}, "
     "external_ids: struct<upc: string>>>>"
 )
+PLAYLIST_PAGE = "items array<struct<id: string, name: string, collaborative: boolean, owner: struct<id: string>>>"

@@ -10,20 +10,20 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 
 
-def _any_flag(flags: list[str]) -> Column:
+def any_flag(flags: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.coalesce(F.col(f"`{f}`"), F.lit(False)) for f in flags])
 
 
 def music_only(tracks: DataFrame, flags: list[str] = fv.NON_MUSIC_FLAGS) -> DataFrame:
     """Drop videos, podcasts, films, shows and unnamed tracks."""
     video = F.lower(F.coalesce("Kind", F.lit(""))).contains(fv.VIDEO_KIND_MARK)
-    return tracks.filter(~(video | _any_flag(flags)) & F.nullif("Name", F.lit("")).isNotNull())
+    return tracks.filter(~(video | any_flag(flags)) & F.nullif("Name", F.lit("")).isNotNull())
 
 
 def user_playlists(playlists: DataFrame, flags: list[str] = fv.SYSTEM_PLAYLIST_FLAGS) -> DataFrame:
     """Drop system playlists by flag or reserved name; mark smart ones."""
     reserved = F.coalesce(F.col("Name").isin(fv.SYSTEM_PLAYLIST_NAMES), F.lit(False))
-    return playlists.filter(~_any_flag(flags) & ~reserved & F.col("Name").isNotNull()).withColumn(
+    return playlists.filter(~any_flag(flags) & ~reserved & F.col("Name").isNotNull()).withColumn(
         "smart", F.col("`Smart Info`").isNotNull()
     )
 

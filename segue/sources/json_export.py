@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import JSON_EXPORT
+from . import quarantine
 
 TRACK_FIELDS = [
     "name", "artist", "album", "album_artist", "duration_ms", "loved", "year", "isrc",
@@ -27,10 +28,16 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_exports(texts: DataFrame, column: str = "body") -> DataFrame:
-    """Exports held as JSON text in a column."""
-    return texts.withColumn("_export", F.from_json(column, JSON_EXPORT)).select(
-        "library_id", "_export.songs", "_export.playlists", "_export.albums"
-    )
+    """Exports held as JSON text in a column; malformed ones are left out, see ``split_exports``."""
+    return split_exports(texts, column).rows
+
+
+def split_exports(texts: DataFrame, column: str = "body") -> quarantine.Split:
+    """Exports held as JSON text, those that cannot be read apart."""
+    parsed = quarantine.parsed_json(texts, JSON_EXPORT, column)
+    split = quarantine.split(parsed, "json export", "library_id", quarantine.malformed(column), column)
+    rows = split.rows.select("library_id", "_parsed.songs", "_parsed.playlists", "_parsed.albums")
+    return split._replace(rows=rows)
 
 
 def _named(name):
@@ -111,10 +118,10 @@ def union_tracks(songs: DataFrame, playlist_tracks: DataFrame, loved_adds_up: bo
     ids = ["library_id", "track_id"]
     values = F.struct(*TRACK_FIELDS)
     listed = songs.select(
-        *ids, F.lit(0).alias("part"), F.lit(0).alias("playlist_pos"), "pos", values.alias("v")
+        *ids, F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("playlist_pos"), "pos", values.alias("v")
     )
     extra = playlist_tracks.select(
-        *ids, F.lit(1).alias("part"), F.col("playlist_pos").cast("int"), "pos", values.alias("v")
+        *ids, F.lit(1).alias("part"), F.col("playlist_pos").cast("bigint"), "pos", values.alias("v")
     )
     place = F.struct("part", "playlist_pos", "pos")
     merged = listed.unionByName(extra).groupBy(*ids).agg(

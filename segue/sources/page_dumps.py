@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.account import owned
+from ..schemas import ALBUM_PAGE, PLAYLIST_PAGE, TRACK_PAGE
+from . import quarantine
 from .filters import real_tracks
+from .json_export import union_tracks
 
 
 def page_items(dumps: DataFrame, schema: str, root: str | None = None) -> DataFrame:
@@ -25,6 +31,13 @@ def page_items(dumps: DataFrame, schema: str, root: str | None = None) -> DataFr
     )
 
 
+def split_pages(dumps: DataFrame, schema: str) -> quarantine.Split:
+    """Stored pages, those that cannot be read apart."""
+    parsed = quarantine.parsed_json(dumps, schema)
+    split = quarantine.split(parsed, "page", "collection", quarantine.malformed(), "body")
+    return split._replace(rows=split.rows.drop("_parsed"))
+
+
 def _first_name(artists):
     # present but unnamed is '', no artist at all is null
     return F.when(F.size(artists) > 0, F.coalesce(F.get(artists, F.lit(0))["name"], F.lit("")))
@@ -94,3 +107,41 @@ def flat_catalog_entries(items: DataFrame) -> DataFrame:
         F.coalesce("popularity", F.lit(0)).alias("popularity"),
         "isrc",
     )
+
+
+class PageLibrary(NamedTuple):
+    """A library put together from the pages of its collections."""
+
+    tracks: DataFrame
+    playlists: DataFrame
+    items: DataFrame
+    albums: DataFrame
+
+
+def page_library(saved: DataFrame, playlist_pages: DataFrame, item_pages: DataFrame, album_pages: DataFrame, me: Column) -> PageLibrary:
+    """Saved tracks, own playlists with their items, and saved albums of every library.
+
+    Pages hold (collection, offset, body); the collection is the library, that of
+    ``item_pages`` the playlist.  Of a track met several times the first place counts, saved
+    ones before those of playlists in their order, and it is loved if it was saved anywhere.
+    Only playlists that ``me`` owns or shares are read, and only those keep a place that hold
+    a track.
+    """
+    songs = saved_tracks(page_items(saved, TRACK_PAGE)).withColumnRenamed("collection", "library_id")
+    lists = page_items(playlist_pages, PLAYLIST_PAGE).select(
+        F.col("collection").alias("library_id"),
+        F.col("pos").alias("playlist_pos"),
+        F.col("item.id").alias("playlist_id"),
+        F.coalesce("item.name", F.lit("")).alias("playlist_name"),
+        F.col("item.owner.id").alias("owner_id"),
+        me.alias("me"),
+        F.col("item.collaborative").alias("collaborative"),
+    )
+    mine = owned(lists).select("library_id", "playlist_pos", "playlist_id", "playlist_name")
+    listed = saved_tracks(page_items(item_pages, TRACK_PAGE)).withColumnRenamed("collection", "playlist_id").join(mine, "playlist_id")
+    tracks = union_tracks(songs.withColumn("loved", F.lit(True)), listed.withColumn("loved", F.lit(False)), loved_adds_up=True)
+    held = listed.groupBy("library_id", "playlist_pos", "playlist_id").agg(
+        F.any_value("playlist_name").alias("name"), F.count(F.lit(1)).alias("n_items")
+    )
+    albums = saved_albums(page_items(album_pages, ALBUM_PAGE)).withColumnRenamed("collection", "library_id")
+    return PageLibrary(tracks, held, listed.select("library_id", "playlist_id", "pos", "track_id"), albums)

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import plistlib
 from collections.abc import Iterator
+from xml.parsers.expat import ExpatError
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from . import filters
+from . import filters, quarantine
 
 _TRACK = {
     "Name": "string", "Artist": "string", "Album": "string", "Album Artist": "string",
@@ -56,11 +57,19 @@ def _file_rows(library_id: str, content: bytes) -> Iterator[dict]:
             yield {"library_id": library_id, "what": "item", "pos": pos, "item": item, "id": str(entry.get("Track ID"))}
 
 
+def _readable(library_id: str, content: bytes | None) -> Iterator[dict]:
+    """Rows of a file; one of kind ``corrupt`` if it is no property list of a library."""
+    try:
+        yield from _file_rows(library_id, content or b"")
+    except (ExpatError, plistlib.InvalidFileException, ValueError, TypeError, AttributeError, KeyError, IndexError, OverflowError):
+        yield {"library_id": library_id, "what": "corrupt", "pos": 0}
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[dict] = []
     for batch in batches:
         for library_id, content in zip(batch["library_id"].to_pylist(), batch["content"].to_pylist()):
-            for row in _file_rows(library_id, content):
+            for row in _readable(library_id, content):
                 rows.append(row)
                 if len(rows) == _ROWS_PER_BATCH:
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)
@@ -75,10 +84,21 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_exports(files: DataFrame) -> DataFrame:
-    """All rows of the exports; ``what`` tells tracks, playlists and playlist items."""
+    """All rows of the exports; ``what`` tells tracks, playlists, playlist items and corrupt files.
+
+    A file that breaks off gives no other row, as its rows are told once it is read.
+    """
     return files.select("library_id", "content").mapInArrow(_parse, _ROWS)
 
 
+def rejected(rows: DataFrame) -> DataFrame:
+    """Files that are no property list, and playlists somebody made that have no name."""
+    corrupt = F.when(F.col("what") == "corrupt", "malformed")
+    made = (F.col("what") == "playlist") & ~filters.any_flag(fv.SYSTEM_PLAYLIST_FLAGS)
+    unnamed = F.when(made, quarantine.nameless_playlist())
+    return quarantine.split(rows, "property list", "library_id", F.coalesce(corrupt, unnamed)).rejected
+
+
 def tracks(rows: DataFrame) -> DataFrame:
     """Music tracks.  The album artist falls back to the artist only where it is absent."""
     artist = F.coalesce("Artist", F.lit(""))
