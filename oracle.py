@@ -357,6 +357,7 @@ ORACLE = {
     name: _sql(query)
     for name, query in {
         "norm_titles": f"select doc_id, line_no, {norm('line')} as normal from doc_lines",
+        "norm_dictionary": f"select doc_id, line_no, {norm('line')} as normal from doc_lines",
         "clean_titles": f"""select md5(title) as id, {clean_title('title')} as clean from (
             select line || ' (' || lang || ') - Live [Remix]' as title from doc_lines
             union all select title || ' – Remastered 2011' from page_titles union all select line from doc_lines)""",

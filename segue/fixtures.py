@@ -18,12 +18,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table with heavy work per row: spread over the cores, whatever files it lies in."""
-    return table(spark, sf, name).repartition(spark.sparkContext.defaultParallelism) if _is_local(spark) else table(spark, sf, name)
-
-
-def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local[")
+    """A table with heavy work per row: spread over the cores where its files make few tasks."""
+    rows = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() <= cores else rows
 
 
 # --------------------------------------------------------------------------- texts

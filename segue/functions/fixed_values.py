@@ -64,7 +64,6 @@ GUESS_MIN_SHARE = 0.8
 PLAYLIST_CHUNK = 100
 FAVORITES_CHUNK = 50
 LIBRARY_CHUNK = 40
-RATINGS_CHUNK = 100
 PREVIEW_NAMES = 5
 
 # Property-list exports: playlist flags and names that mark a system playlist.

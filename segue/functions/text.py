@@ -75,18 +75,33 @@ def _norm_exact(s: pd.Series) -> pd.Series:
     return out
 
 
+def needs_exact(c) -> Column:
+    """Does a name hold a character that the native form cannot express?"""
+    c = as_column(c)
+    return c.rlike(_NOT_ASCII) & c.rlike(_NEEDS_EXACT)
+
+
+def norm_exact(c) -> Column:
+    """``norm`` of any name, by Python; for the few that need it."""
+    return _norm_exact(as_column(c))
+
+
 def norm(c) -> Column:
     """Comparable form of a name: compatibility decomposition without combining marks,
     lower case, words and apostrophes only, single blanks."""
     c = as_column(c)
+    return F.coalesce(norm_native(c), _norm_exact(F.when(needs_exact(c), c)))
+
+
+def norm_native(c) -> Column:
+    """``norm`` without Python; null for names that need more."""
+    c = as_column(c)
     ascii_only = ~c.rlike(_NOT_ASCII)
-    exact = ~ascii_only & c.rlike(_NEEDS_EXACT)
-    folded = F.when(ascii_only, c).when(~exact, F.translate(c, _FROM, _TO))
+    folded = F.when(ascii_only, c).when(~needs_exact(c), F.translate(c, _FROM, _TO))
     s = F.replace(F.lower(folded), F.lit("&"), F.lit("and"))
     s = F.translate(s, "’", "'")
     # one pass: whatever is no word character or apostrophe becomes a single blank
-    native = F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}_']+", " "))
-    return F.coalesce(native, _norm_exact(F.when(exact, c)))
+    return F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}_']+", " "))
 
 
 def strip(c) -> Column:

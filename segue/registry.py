@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from .functions import fixed_values as fv
 from .functions import text
 from .functions.similarity import token_set_ratio
-from .operators import account, albums, link, ranking, search, selection
+from .operators import account, albums, forms, link, ranking, search, selection
 from .operators import decisions as dec
 from .operators.prepare import dedup_groups, with_key
 from .plans import report, reset, transfer, writes
@@ -32,6 +33,13 @@ def norm_titles(spark, sf):
     )
 
 
+def norm_dictionary(spark, sf):
+    table = forms.forms_table(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    forms.learn(fx.page_titles(spark, sf).select(F.col("title").alias("name")), table)
+    lines = materialise(fx.doc_lines(spark, sf))
+    return forms.with_normal(lines, "line", "normal", table).select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "normal")
+
+
 def clean_titles(spark, sf):
     # titles of documents and pages, with a trailing edition added where one is given
     lines = fx.doc_lines(spark, sf).select(F.concat("line", F.lit(" ("), "lang", F.lit(") - Live [Remix]")).alias("title"))
@@ -315,7 +323,7 @@ def favorites_new_only(spark, sf):
 
 def chunk_plan(spark, sf):
     ranked = _favorites(spark, sf).withColumn("uri", ranking.service_uri("catalog", "track", F.col("id")))
-    return ranking.chunked(ranked, ["library_id"], "uri", 50).select(
+    return ranking.chunked(ranked, ["library_id"], "uri", fv.FAVORITES_CHUNK).select(
         "library_id", "chunk", F.array_join("ids", ",").alias("uris")
     )
 
@@ -422,7 +430,7 @@ def ingest_xml_udtf(spark, sf):
 
 
 def ingest_xml_items(spark, sf):
-    rows = plist_export.parse_exports(fx.plist_exports(spark, sf))
+    rows = plist_export.parsed_once(fx.plist_exports(spark, sf))
     return plist_export.items(rows).select("library_id", "playlist_name", "smart", "pos", "track_id")
 
 
@@ -638,7 +646,7 @@ def stream_link(spark, sf):
 QUERIES = {
     f.__name__.replace("dedup_groups_query", "dedup_groups"): f
     for f in [
-        norm_titles, clean_titles, clean_artists, identity_key, year_prefix,
+        norm_titles, norm_dictionary, clean_titles, clean_artists, identity_key, year_prefix,
         token_set_ratio_pairs, score_pairs, early_stop_window, link_stages,
         link_isrc, link_fuzzy, link_tracks, search_queries, search_candidates,
         match_metrics, transfer_summary,

@@ -1,21 +1,24 @@
 """Property-list (XML) library exports.
 
 A property list alternates key and value siblings, which Spark's XML source cannot
-read, so each file is parsed by the standard library inside a task; everything after
-the parse is DataFrame work.
+read, so each file is parsed by the standard library inside a task, element by element;
+everything after the parse is DataFrame work.  The same parse is a table function for SQL.
 """
 
 from __future__ import annotations
 
+import io
 import plistlib
 from collections.abc import Iterator
-from xml.parsers.expat import ExpatError
+from xml.etree import ElementTree
+from xml.parsers.expat import ExpatError, ParserCreate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..session import materialise
 from . import filters, quarantine
 
 _TRACK = {
@@ -44,7 +47,73 @@ def _cast(name: str, value):
     return bool(value) if kind == "boolean" else int(value) if kind in ("int", "bigint") else str(value)
 
 
+def _value(element) -> object:
+    """A scalar of a property list; None for what holds others."""
+    text = element.text or ""
+    if element.tag in ("true", "false"):
+        return element.tag == "true"
+    if element.tag == "integer":
+        return int(text, 16 if text.lower().startswith("0x") else 10)
+    if element.tag == "real":
+        return float(text)
+    return None if element.tag in ("dict", "array") else text
+
+
+def _events(content: bytes) -> Iterator[tuple[tuple, object]]:
+    """(path, value) of every scalar, and (path, None) at the end of every dict and array.
+
+    A path is the keys and places that lead there.  Elements are dropped as they end, so the
+    memory held does not grow with the file.
+    """
+    path: list = []  # of each open dict its last key, of each open array its last place
+    for event, element in ElementTree.iterparse(io.BytesIO(content), ("start", "end")):
+        if event == "start":
+            if element.tag in ("plist", "key"):
+                continue
+            if path and isinstance(path[-1], int):
+                path[-1] += 1
+            if element.tag in ("dict", "array"):
+                path.append(None if element.tag == "dict" else -1)
+        elif element.tag == "key":
+            path[-1] = element.text or ""
+        elif element.tag != "plist":
+            if element.tag in ("dict", "array"):
+                path.pop()
+            yield tuple(path), _value(element)
+            element.clear()
+
+
 def _file_rows(library_id: str, content: bytes) -> Iterator[dict]:
+    """Rows of a file as they are read.  What an XML parser refuses is refused before the first row."""
+    if content.startswith(b"bplist"):
+        yield from _binary_rows(library_id, content)
+        return
+    ParserCreate().Parse(content, True)
+    n_tracks, held, head = 0, {}, {}
+    for path, value in _events(content):
+        match path:
+            case ("Tracks", _):
+                row = {name: _cast(name, held.get(name)) for name in _TRACK}
+                yield {"library_id": library_id, "what": "track", "pos": n_tracks, "id": str(path[1]), **row}
+                n_tracks, held = n_tracks + 1, {}
+            case ("Tracks", _, name):
+                held[name] = value
+            case ("Playlists", pos):
+                flags = {flag: bool(head.get(flag)) for flag in fv.SYSTEM_PLAYLIST_FLAGS}
+                flags["Smart Info"] = True if "Smart Info" in head else None
+                name = head.get("Name")
+                yield {"library_id": library_id, "what": "playlist", "pos": pos, "id": str(pos), "Name": None if name is None else str(name), **flags}
+                head = {}
+            case ("Playlists", _, name):
+                head[name] = value
+            case ("Playlists", pos, "Playlist Items", item):
+                yield {"library_id": library_id, "what": "item", "pos": pos, "item": item, "id": str(held.get("Track ID"))}
+                held = {}
+            case ("Playlists", _, "Playlist Items", _, name):
+                held[name] = value
+
+
+def _binary_rows(library_id: str, content: bytes) -> Iterator[dict]:
     root = plistlib.loads(content)
     for pos, (ident, raw) in enumerate(root.get("Tracks", {}).items()):
         row = {name: _cast(name, raw.get(name)) for name in _TRACK}
@@ -61,7 +130,7 @@ def _readable(library_id: str, content: bytes | None) -> Iterator[dict]:
     """Rows of a file; one of kind ``corrupt`` if it is no property list of a library."""
     try:
         yield from _file_rows(library_id, content or b"")
-    except (ExpatError, plistlib.InvalidFileException, ValueError, TypeError, AttributeError, KeyError, IndexError, OverflowError):
+    except (ExpatError, ElementTree.ParseError, plistlib.InvalidFileException, ValueError, TypeError, AttributeError, KeyError, IndexError, OverflowError):
         yield {"library_id": library_id, "what": "corrupt", "pos": 0}
 
 
@@ -91,6 +160,24 @@ def parse_exports(files: DataFrame) -> DataFrame:
     return files.select("library_id", "content").mapInArrow(_parse, _ROWS)
 
 
+def parsed_once(files: DataFrame) -> DataFrame:
+    """The rows of ``parse_exports``, written by kind: several tables come from one parse."""
+    return materialise(parse_exports(files), "what")
+
+
+class PropertyList:
+    """Table function: ``select ... from files, lateral property_list(library_id, content)``."""
+
+    def eval(self, library_id: str, content: bytes):
+        for row in _readable(library_id, content):
+            yield tuple(row.get(name) for name in _KINDS)
+
+
+def register(spark: SparkSession, name: str = "property_list") -> None:
+    """Make the parse callable from SQL."""
+    spark.udtf.register(name, F.udtf(PropertyList, returnType=_ROWS))
+
+
 def rejected(rows: DataFrame) -> DataFrame:
     """Files that are no property list, and playlists somebody made that have no name."""
     corrupt = F.when(F.col("what") == "corrupt", "malformed")
