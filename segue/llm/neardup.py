@@ -43,7 +43,7 @@ PERCENT = 80
 RARE = 12
 #: Shingles ordered last: so many at most, which bounds what is broadcast.
 ORDERED_LAST = 200_000
-#: Common shingles by which a decision on 32 bits must be clear.
+#: Common shingles by which a decision on 32 bits must be clear, beside those expected by accident.
 DOUBT = 4
 #: Ids that may be broadcast to pick rows; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -183,7 +183,9 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
         return materialise(both.select("a", "b", "n_a", "n_b", above.alias("above")))
 
     narrow = compared(close, False)
-    doubt = (100 + percent) * DOUBT
+    # shingles that 32 bits make equal by accident grow with both sizes
+    by_accident = (F.col("n_a") + F.col("n_b")) * (F.col("n_a") + F.col("n_b")) / float(2**33)
+    doubt = (100 + percent) * (DOUBT + 3 * by_accident)
     sure = narrow.filter(F.col("above") > doubt)
     unsure = materialise(narrow.filter(F.abs("above") <= doubt).drop("above"))
     if unsure.isEmpty():

@@ -147,6 +147,13 @@ def _rows(sequences: list[list], numbers: Iterator[int], left: bool, keep_ids: b
     return rows
 
 
+def _piece_batch(rows: list[tuple], doc_type: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    types = [doc_type, *[pa.int64()] * 6, pa.bool_(), pa.binary()]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "left", "ids"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
 def _numbers(high: int) -> Iterator[int]:
     at = high << 32
     while True:
@@ -181,10 +188,7 @@ def pack(
         doc_type = pa.int64()
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True))
-            types = [doc_type, *[pa.int64()] * 6, pa.bool_(), pa.binary()]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "left", "ids"]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            return _piece_batch(rows, doc_type)
 
         for batch in batches:
             doc_type = batch.column(0).type
@@ -202,13 +206,10 @@ def pack(
     left = placed.filter("left")
     groups = max(1, -(-left.select("sequence_id").distinct().count() // MERGED_WINDOWS))
 
-    def merged(key, rows):
-        import pandas as pd
-
+    def merged(key: tuple, table: pa.Table) -> pa.Table:
         packer = Packer(size, MERGED_WINDOWS * 4, spare)
-        rows = rows.sort_values(["length", "sequence_id", "offset"], ascending=[False, True, True])
-        for row in rows.itertuples():
-            packer.add(row.doc_id, row.start, np.frombuffer(row.ids, "<u4"), row.doc_tokens)
+        for row in sorted(table.to_pylist(), key=lambda r: (-r["length"], r["sequence_id"], r["offset"])):
+            packer.add(row["doc_id"], row["start"], np.frombuffer(row["ids"], "<u4"), row["doc_tokens"])
         # what is still open is joined by cutting, the emptiest windows into the fullest
         still = sorted(packer.open, key=lambda w: w[0])
         packer.open, loose = [w for w in still if w[0] <= spare], [p for w in still if w[0] > spare for p in w[1]]
@@ -217,13 +218,13 @@ def pack(
         for piece in loose:
             packer.add(*piece)
         sequences = packer.take_full() + [w[1] for w in packer.open]
-        rows = _rows(sequences, _numbers((1 << 30) + key[0]), False, keep_ids)
-        return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "left", "ids"])
+        rows = _rows(sequences, _numbers((1 << 30) + key[0].as_py()), False, keep_ids)
+        return pa.Table.from_batches([_piece_batch(rows, table.schema.field("doc_id").type)])
 
     joined = (
         left.withColumn("group", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))
         .groupBy("group")
-        .applyInPandas(merged, schema)
+        .applyInArrow(merged, schema)
     )
     done = placed.filter("not left").unionByName(joined).drop("left")
     return done if keep_ids else done.drop("ids")

@@ -20,6 +20,7 @@ gives no rows; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,7 +40,8 @@ KINDS = ["email", "ip", "card", "phone"]
 LOCAL = "A-Za-z0-9._%+-"
 _LOCAL_BACK = re.compile(f"[{LOCAL}]*")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# no match begins inside a run of digits or gives one up, so long runs are read once
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -364,15 +366,35 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, precision: float = PREC
     return model.calibrate_counts(np.array(sorted(counts)) / BINS - 1e-9, yes, no, precision)
 
 
+class Covered:
+    """Stretches of a text that are taken: disjoint, in order, searched by halving."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for span in sorted(spans, key=lambda s: s.start):
+            if self.ends and span.start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], span.end)
+            else:
+                self.starts.append(span.start)
+                self.ends.append(span.end)
+
+    def meets(self, span: Span) -> bool:
+        at = bisect_left(self.starts, span.end)
+        return at > 0 and self.ends[at - 1] > span.start
+
+    def add(self, span: Span) -> None:
+        """Take a stretch that meets none."""
+        at = bisect_left(self.starts, span.start)
+        self.starts.insert(at, span.start)
+        self.ends.insert(at, span.end)
+
+
 def select_spans(texts: list[str], model: Boosted | None) -> list[list[Span]]:
     """Base spans of each text, and the candidates the model (without one, the evidence) adds beside them."""
     base = [base_spans(t) for t in texts]
-    open_spans = [
-        (i, c)
-        for i, t in enumerate(texts)
-        for c in candidates(t)
-        if not any(c.start < b.end and b.start < c.end for b in base[i])
-    ]
+    taken = [Covered(b) for b in base]
+    open_spans = [(i, c) for i, t in enumerate(texts) for c in candidates(t) if not taken[i].meets(c)]
     if open_spans:
         if model is None:
             scores, threshold = np.array([float(evidence(texts[i], c)) for i, c in open_spans]), 0.5
@@ -380,8 +402,9 @@ def select_spans(texts: list[str], model: Boosted | None) -> list[list[Span]]:
             scores, threshold = model.probability(np.array([features(texts[i], c) for i, c in open_spans])), model.threshold
         for j in sorted(np.flatnonzero(scores >= threshold), key=lambda j: (-scores[j], open_spans[j][1])):
             i, c = open_spans[j]
-            if not any(c.start < b.end and b.start < c.end for b in base[i]):
+            if not taken[i].meets(c):
                 base[i].append(c)
+                taken[i].add(c)
     return base
 
 

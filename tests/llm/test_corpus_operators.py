@@ -243,3 +243,41 @@ def test_neighbours_with_odd_vectors(spark):
     hot = [i for _, i, _ in got[1000]]
     assert hot == [7, 1001, 1002, 1003, 1004]
     assert ann.nearest(frame.limit(0), lambda i: i % 50 == 0).isEmpty()
+
+
+def test_neighbours_of_one_direction_go_by_id(spark):
+    """Positive multiples of one direction all tie; the smallest ids answer."""
+    rows = [(i, [float(2 ** (i % 7)), float(2 ** (i % 7)) * 2.0, 0.0, -float(2 ** (i % 7))]) for i in range(900)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in ann.nearest(frame, lambda i: i % 50 == 0).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {q: [i for i in range(6) if i != q][:5] for q in range(0, 900, 50)}
+
+
+def test_curves_are_added_until_recall_is_reached(spark):
+    """Without structure, in windows of a fiftieth of the table, one curve finds little."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(1500, 16))
+    frame = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+
+    def recall(**options):
+        got = {}
+        for r in ann.nearest(frame, lambda i: i % 50 == 0, curves=1, window=30, **options).collect():
+            got.setdefault(r.query_id, set()).add(r.id)
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        hits = sum(len(got[q] & set(np.argsort(-(unit @ unit[q]))[1:6].tolist())) for q in range(0, 1500, 50))
+        return hits / 150
+
+    assert recall(recall=0.0) < 0.5
+    assert recall() >= 0.9
+
+
+def test_cut_keeps_columns_whatever_their_names(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, 4, "a", True, [1]), (2, "before " + text, 5, "b", False, [2]), (2, "x", 6, "c", None, None), (None, "y", 7, "d", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _row int, _copy string, _spans boolean, others array<int>")
+    left = substring.cut(docs, substring.repeats(docs))
+    assert left.columns == docs.columns
+    told = {r._copy: (r.text, r._row, r._spans, r.others) for r in left.collect()}
+    assert told == {"a": (text, 4, True, [1]), "b": ("before ", 5, False, [2]), "c": ("x", 6, None, None), "d": ("y", 7, None, None)}

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -254,6 +255,16 @@ def test_pieces_hold_every_token_once(spark, parts):
     assert packing.pack(documents(spark, rows).limit(0), path).isEmpty()
 
 
+def test_large_ids_beside_a_null_stay_what_they_are(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = [2**53 + 1 + i for i in range(20)] + [None]
+    docs = spark.createDataFrame([(i, "a few words") for i in ids], "doc_id bigint, text string").repartition(3)
+    got = packing.pack(docs, path).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted(ids, key=str)
+    for r in got:
+        assert r.ids_crc32 == zlib.crc32(bytes(r.ids)) and r.length * 4 == len(r.ids)
+
+
 def test_fast_twin_agrees_with_the_tokenizer():
     encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(2)
@@ -300,3 +311,28 @@ def test_prefix_table_appends_and_edits_exactly(vocabulary):
     # an edit in a long piece touches its neighbourhood only
     table = bpe.PrefixTable(vocabulary, b"the one and only thing " * 400)
     assert table.replace(100, 103, b"xyz") < 200
+
+
+def test_long_runs_and_many_spans_are_read_in_proportion():
+    import time
+
+    start = time.time()
+    pii.base_spans("1" * 1_000_000)
+    assert time.time() - start < 10
+    rng = random.Random(6)
+    old = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(3000):
+        text = "".join(rng.choices("12.x ", weights=[3, 2, 4, 1, 1], k=rng.randint(0, 40)))
+        assert [m.span() for m in pii._IP.finditer(text)] == [m.span() for m in old.finditer(text)]
+        spans = [pii.Span("ip", a, a + rng.randint(1, 6)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 6)))]
+        covered = pii.Covered(spans)
+        for _ in range(4):
+            new = pii.Span("ip", *sorted(rng.sample(range(70), 2)))
+            assert covered.meets(new) == any(new.start < s.end and s.start < new.end for s in spans)
+            if not covered.meets(new):
+                covered.add(new)
+                spans.append(new)
+    many = " ".join(f"user{i}@host{i}.com" for i in range(8000))
+    start = time.time()
+    assert len([s for s in pii.select_spans([many], None)[0] if s.kind == "email"]) == 8000
+    assert time.time() - start < 20
