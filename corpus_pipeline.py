@@ -14,14 +14,20 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import public_tokenizers  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from segue.llm import neardup, packing, pii, quality, substring  # noqa: E402
 from segue.session import broadcast_if_small, materialise  # noqa: E402
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
-    return quality.quality_cascade(docs).filter("kept").select(*docs.columns)
+    """Documents that no quality rule rejects.
+
+    A null text has no words and goes.  Rows are judged whole beside their text, so no column
+    of theirs can be taken for a measure.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("document"), "text")
+    return quality.quality_cascade(rows).filter("kept").select("document.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
