@@ -5,21 +5,27 @@ Sets are equal or linked when 100 * |both| >= 80 * |either|.
 
 1. Equal sets are one class; everything below works on classes, named by their smallest
    doc_id.
-2. Shingles are ordered by hash, the most frequent of the corpus last.  A link needs
-   ceil(0.8 n) common shingles, so two linked sets share a shingle among the first
-   ``n - ceil(0.8 n) + 1`` of each, and two among one more (prefix filtering, extended).
-3. Of every shingle of those prefixes that several classes have, each class is first compared
-   with the smallest one of about its size only; links make components.  Where a shingle then still joins
-   different components, a rare one joins all its classes across components, and of frequent
-   ones combinations of two of a prefix do.  Nothing is lost: linked sets of different
-   components share a rare such shingle, or else two frequent ones, that is a combination.
-4. Candidates are verified: by what their prefixes allow, then on the whole sets, with
+2. Shingles are ordered by how often whole texts hold them, rare ones first.  Linked sets of
+   n and m share ceil(80 * (n + m) / 180), so the k-th they share stands, in either, among the
+   first ``n - ceil(80 * (n + m) / 180) + k`` (prefix filtering, extended).
+3. Of every shingle of the longest such prefix (k = 1) that several classes have, each class is
+   first compared with the smallest one of about its size only; links make components.
+4. A shingle that still joins different components is a key for every band of sizes the other
+   set may have, which shortens the prefix to what that band allows.  Where at most ``rare`` rows
+   of a key lie outside its largest component, these are compared with all others of the key.
+   Of any other key ``PIVOTS * rare`` such rows are, and leave it, as all their pairs in it are
+   met.  If links then leave it frequent, it is extended by each shingle that may be the next common one,
+   to combinations of two, three and more, until all are rare.  Rows that have as many shingles
+   in their key as a link needs are linked; they are compared as a star.  Nothing is lost, and no
+   key gives more pairs at a time than ``PIVOTS * rare`` times its rows.
+5. Candidates are verified: by what their prefixes allow, then on the whole sets, with
    shingles cut to 32 bits.  Only where that leaves the decision within a few shingles, which
    accidental equality could turn, the 64-bit sets decide.
 
 Defined results: a null text is empty; an empty set is linked with nothing; rows whose
 doc_id is null stand for themselves with a null component; repeated rows are one class; an
-empty table gives no rows; columns other than doc_id and text are ignored.
+empty table gives no rows; columns other than doc_id and text are ignored; very long texts are
+read whole, each in its own run.
 """
 
 from __future__ import annotations
@@ -39,8 +45,14 @@ from .words import Words, mixed, runs
 
 SHINGLE = 5
 PERCENT = 80
-#: Classes a shingle may have to be rare.
+#: Rows of a key outside its largest component that make it rare.
 RARE = 12
+#: Rows of a frequent key, as a multiple of that, compared with all others before it is extended.
+PIVOTS = 4
+#: Bands of sizes between a set and the smallest one it may be linked with.
+BANDS = 4
+#: Shingles counted at a time in a task, to find the frequent ones.
+COUNTED = 3_000_000
 #: Shingles ordered last: so many at most, which bounds what is broadcast.
 ORDERED_LAST = 200_000
 #: Common shingles by which a decision on 32 bits must be clear, beside those expected by accident.
@@ -75,38 +87,50 @@ def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    """Shingles of a set of n among which a linked one shares two (or its only one)."""
-    return min(n, n - (percent * n + 99) // 100 + 2)
+    """Shingles of a set of n among which every linked one shares one."""
+    return min(n, n - (percent * n + 99) // 100 + 1)
 
 
-def _frequent(docs: DataFrame, percent: int) -> DataFrame:
-    """Shingles found twice or more within tasks, with how often; every text is counted."""
+def _frequent(docs: DataFrame) -> DataFrame:
+    """Shingles found in several sets within tasks, with how many; every text is counted."""
+
+    def repeated(sets: list[np.ndarray]) -> pa.RecordBatch:
+        values, times = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_counts=True)
+        keep = times > 1
+        return pa.RecordBatch.from_arrays(
+            [pa.array(values[keep]), pa.array(times[keep].astype(np.int64))], names=["token", "times"]
+        )
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
         for batch in batches:
             for _, texts in runs(batch.column(0).to_pylist()):
-                distinct = {hashlib.blake2b(s.tobytes(), digest_size=16).digest(): s for s in shingle_sets(texts)}
-                sets = [s[: prefix_length(len(s), percent)] for s in distinct.values()]
-                values, times = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_counts=True)
-                keep = times > 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[keep]), pa.array(times[keep].astype(np.int64))], names=["token", "times"]
-                )
+                for s in shingle_sets(texts):
+                    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                    if digest not in held:
+                        held[digest] = s
+                        size += len(s) + 20  # what holding a set takes
+                if size > COUNTED:
+                    yield repeated(list(held.values()))
+                    held, size = {}, 0
+        yield repeated(list(held.values()))
 
     return (
         docs.select("text").mapInArrow(counted, "token bigint, times bigint").groupBy("token").agg(F.sum("times").alias("times"))
     )
 
 
-def _prefixes(docs: DataFrame, last: np.ndarray, percent: int) -> DataFrame:
-    """(doc_id, n, sig, prefix) for every row; shingles in ``last`` (sorted) come last in the order."""
+def _ordered_sets(docs: DataFrame, last: np.ndarray, times: np.ndarray, percent: int, whole: bool = False) -> DataFrame:
+    """(doc_id, n, sig, prefix) for every row: shingles in ``last`` (sorted) follow by ``times``.
+
+    The prefix is the longest any link needs, or with ``whole`` the whole set.
+    """
     read = docs.select("doc_id", "text")
     kind = read.schema["doc_id"].dataType.simpleString()
-    context = docs.sparkSession.sparkContext
-    held = context.broadcast(last)
+    held = docs.sparkSession.sparkContext.broadcast((last, times))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = held.value
+        late, often = held.value
         for batch in rows:
             for first, texts in runs(batch.column(1).to_pylist()):
                 sets = shingle_sets(texts)
@@ -114,9 +138,8 @@ def _prefixes(docs: DataFrame, last: np.ndarray, percent: int) -> DataFrame:
                 for s in sets:
                     if len(late) and len(s):
                         at = np.minimum(np.searchsorted(late, s), len(late) - 1)
-                        is_late = late[at] == s
-                        s = np.concatenate([s[~is_late], s[is_late]])
-                    prefixes.append(s[: prefix_length(len(s), percent)])
+                        s = s[np.argsort(np.where(late[at] == s, often[at], 0), kind="stable")]
+                    prefixes.append(s if whole else s[: prefix_length(len(s), percent)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(texts)),
@@ -193,25 +216,122 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     return sure.unionByName(compared(unsure, True).filter("above >= 0")).select("a", "b")
 
 
-def _alike(percent: int):
-    """Sizes that can be similar enough."""
-    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("a") < F.col("b"))
+def _need(n, m, percent: int):
+    """Shingles that linked sets of n and m share at least."""
+    return F.ceil(percent * (n + m) / F.lit(100 + percent)).cast("bigint")
+
+
+def _banded(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, node, n, pos) once for each band of sizes that a linked set may have.
+
+    ``need`` is what a link with a set of that band takes at least; rows whose shingle lies
+    behind the prefix this leaves are gone.
+    """
+    step = math.log(100 / percent) / BANDS
+    band = F.floor(F.log(F.col("n")) / step)
+    smallest = F.ceil(F.exp(F.col("other") * step) * (1 - 1e-9))
+    biggest = F.exp((F.col("other") + 1) * step) * (1 + 1e-9)
+    bounded = F.greatest(smallest, F.ceil(percent * F.col("n") / 100)).cast("bigint")
+    return (
+        rows.withColumn("band", band)
+        .withColumn("other", F.explode(F.sequence(F.col("band") - BANDS - 1, F.col("band") + BANDS + 1)))
+        .filter((percent * smallest <= 100 * F.col("n")) & (100 * biggest >= percent * F.col("n")))
+        .withColumn("need", _need(F.col("n"), bounded, percent))
+        .filter("pos <= n - need")
+        .select(
+            F.xxhash64("token", F.least("band", "other"), F.greatest("band", "other")).alias("key"),
+            *["node", "n", "pos", "band", "other", "need", F.lit(1).alias("level")],
+        )
+    )
 
 
-def _pairs_within(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of the rows (token, node, n, component) across components, of possible sizes."""
-    left = rows.select("token", F.col("node").alias("a"), "n", F.col("component").alias("of_a"))
-    right = rows.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("of_b"))
-    return left.join(right, "token").filter(_alike(percent)).filter("of_a <> of_b").select("a", "b").distinct()
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with the component of their node."""
+    known = broadcast_if_small(found, BROADCAST_NAMES)
+    return rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of shingles that join several components."""
+    labelled = _labelled(shared, found)
+    torn = labelled.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    return labelled.drop("component").join(torn.filter("least < most").select("token"), "token")
+
+
+def _torn(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of keys that join several components, with ``component``, whether it is the key's
+    ``major`` (largest) one, and how many rows are ``outside`` that."""
+    labelled = materialise(_labelled(rows, found))
+    largest = (
+        labelled.groupBy("key", "component")
+        .agg(F.count(F.lit(1)).alias("size"))
+        .groupBy("key")
+        .agg(F.sum("size").alias("times"), F.max(F.struct("size", "component")).alias("top"))
+        .select("key", (F.col("times") - F.col("top.size")).alias("outside"), F.col("top.component").alias("top"))
+        .filter("outside > 0")
+    )
+    return labelled.join(largest, "key").withColumn("major", F.col("component") == F.col("top")).drop("top")
+
+
+def _met(left: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of a row of ``left`` and any other row of its key."""
+    left = left.select("key", "band", "other", "level", "node", "n", "pos", "component")
+    right = rows.select(
+        "key", F.col("other").alias("band"), F.col("band").alias("other"),
+        *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "component")],
+    )
+    need = _need(F.col("n"), F.col("n_b"), percent)
+    room = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))
+    return (
+        left.join(right, ["key", "band", "other"])
+        .filter("component <> component_b")
+        .filter(100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
+        .filter(room + F.col("level") - 1 >= need)
+        .select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
+        .distinct()
+    )
+
+
+def _full(rows: DataFrame, percent: int) -> DataFrame:
+    """A star for each key and two sizes whose links need no more shingles than the key has.
+
+    All its pairs of these sizes are linked, so the smallest of one size with all of the other
+    joins them; a size the key does not hold gives nothing.
+    """
+    sizes = F.sequence(F.ceil(percent * F.col("n") / 100).cast("bigint"), F.floor(100 * F.col("n") / percent).cast("bigint"))
+    done = (
+        rows.filter("need <= level")
+        .withColumn("m", F.explode(sizes))
+        .filter(_need(F.col("n"), F.col("m"), percent) <= F.col("level"))
+        .select("key", "node", "n", "m")
+    )
+    lows = done.groupBy("key", F.col("n").alias("m"), F.col("m").alias("n")).agg(F.min("node").alias("low"))
+    pairs = done.join(lows, ["key", "n", "m"]).filter("low <> node")
+    return pairs.select(F.least("low", "node").alias("a"), F.greatest("low", "node").alias("b")).distinct()
+
+
+def _extended(rows: DataFrame, wholes: DataFrame) -> DataFrame:
+    """Every key with each shingle that may be the next common one of a link."""
+    kept = ["node", "n", "band", "other", "need"]
+    room = F.greatest(F.col("n") - F.col("need") + F.col("level") - F.col("pos"), F.lit(0)).cast("int")
+    return (
+        rows.select("key", "pos", "level", *kept)
+        .join(wholes, "node")
+        .withColumn("nexts", F.slice("tokens", F.col("pos").cast("int") + 2, room))
+        .select("key", "pos", "level", *kept, F.posexplode("nexts").alias("i", "token"))
+        .withColumns({"key": F.xxhash64("key", "token"), "pos": F.col("pos") + F.col("i") + 1, "level": F.col("level") + 1})
+        .select("key", "pos", "level", *kept)
+    )
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, rare: int = RARE, ordered_last: int = ORDERED_LAST) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
     ship_package(spark)
-    frequent = _frequent(docs, percent).filter(F.col("times") > rare).orderBy(F.desc("times"), "token").limit(ordered_last)
-    last = np.sort(np.array([r["token"] for r in frequent.select("token").collect()], np.int64))
-    sets = materialise(_prefixes(docs, last, percent))
+    frequent = _frequent(docs).filter(F.col("times") > rare).orderBy(F.desc("times"), "token").limit(ordered_last)
+    order = np.array([(r["token"], r["times"]) for r in frequent.collect()], np.int64).reshape(-1, 2)
+    last, times = order[order[:, 0].argsort()].T.copy()
+    sets = materialise(_ordered_sets(docs, last, times, percent))
 
     # one class for each set; rows without an id are in it but do not name it
     named = sets.filter("n > 0 and doc_id is not null")
@@ -219,38 +339,55 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rare: int = RARE, o
     classes = named.select("doc_id", "sig", "n", "prefix").join(
         broadcast_if_small(names.withColumnRenamed("node", "doc_id"), BROADCAST_NAMES), ["sig", "doc_id"], "left_semi"
     ).select(F.col("doc_id").alias("node"), "n", "prefix")
-    every, alike = Window.partitionBy("token"), Window.partitionBy("token", "band")
+    every, alike = Window.partitionBy("token"), Window.partitionBy("token", "about")
+    about = F.floor(F.log(F.col("n")) / math.log(100 / percent))
     shared = materialise(
-        classes.select("node", "n", F.floor(F.log(F.col("n")) / math.log(100 / percent)).alias("band"), F.explode("prefix").alias("token"))
-        .select("*", F.count(F.lit(1)).over(every).alias("times"), F.min("node").over(alike).alias("low"))
-        .drop("band")
+        classes.select("node", "n", about.alias("about"), F.posexplode("prefix").alias("pos", "token"))
+        .select("*", F.count(F.lit(1)).over(every).alias("times"), F.min(F.struct("node", "n", "pos")).over(alike).alias("low"))
+        .drop("about")
         .filter("times > 1")
+        .drop("times")
     )
-    stars = materialise(shared.filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
-    links = _verified(docs, classes, stars, percent)
-    found = materialise(components(links))
-
-    # shingles that still join different components
-    labelled = (
-        shared.drop("low")
-        .join(broadcast_if_small(found, BROADCAST_NAMES), "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
+    need = _need(F.col("n"), F.col("low.n"), percent)
+    stars = materialise(
+        shared.filter("low.node < node")
+        .filter((F.col("n") - F.col("pos") >= need) & (F.col("low.n") - F.col("low.pos") >= need))
+        .select(F.col("low.node").alias("a"), F.col("node").alias("b"))
+        .distinct()
     )
-    torn = labelled.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    open_rows = materialise(labelled.join(torn.filter("least < most").select("token"), "token"))
-    if not open_rows.isEmpty():
-        combined = (
-            open_rows.filter(F.col("times") > rare)
-            .groupBy("node", "n", "component")
-            .agg(F.sort_array(F.collect_set("token")).alias("tokens"))
-            .select("node", "n", "component", F.posexplode("tokens").alias("i", "first"), "tokens")
-            .select("node", "n", "component", "first", F.explode(F.slice("tokens", F.col("i") + 2, F.greatest(F.size("tokens") - F.col("i") - 1, F.lit(0)))).alias("second"))
-            .select("node", "n", "component", F.xxhash64("first", "second").alias("token"))
-        )
-        few = open_rows.filter(F.col("times") <= rare).select("node", "n", "component", "token")
-        crossing = _pairs_within(few, percent).unionByName(_pairs_within(combined, percent)).distinct()
-        more = _verified(docs, classes, crossing.join(stars, ["a", "b"], "left_anti"), percent)
-        found = materialise(components(links.unionByName(more)))
+    found = materialise(components(_verified(docs, classes, stars, percent)))
+
+    # keys that still join different components, extended until all are rare
+    keys, wholes = _banded(_open(shared.drop("low"), found), percent), None
+    some = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"))
+    while True:
+        torn = materialise(_torn(keys, found))
+        if torn.isEmpty():
+            break
+        many = torn.filter(F.col("outside") > rare)
+        pivots = materialise(many.filter("not major").withColumn("place", F.row_number().over(some)).filter(F.col("place") <= PIVOTS * rare))
+        few = torn.filter(F.col("outside") <= rare)
+        left = few.filter("not major").unionByName(pivots.drop("place"))
+        met = _met(left, torn, percent).unionByName(_full(many, percent)).distinct()
+        met = materialise(met.join(stars, ["a", "b"], "left_anti"))
+        if not met.isEmpty():
+            more = _verified(docs, classes, met, percent)
+            found = materialise(components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+        if many.isEmpty():
+            break
+        rest = many.join(pivots.select("key", "node", "pos"), ["key", "node", "pos"], "left_anti")
+        rest = materialise(_torn(rest.select("key", "pos", "level", "node", "n", "band", "other", "need"), found))
+        if wholes is None:
+            open_ids = broadcast_if_small(materialise(rest.select(F.col("node").alias("doc_id")).distinct()), BROADCAST_IDS)
+            of_open = docs.join(open_ids, "doc_id", "left_semi")
+            wholes = materialise(
+                _ordered_sets(of_open, last, times, percent, whole=True)
+                .dropDuplicates(["doc_id", "sig"])
+                .select(F.col("doc_id").alias("node"), F.col("prefix").alias("tokens"))
+            )
+        settled = rest.filter(F.col("outside") <= rare)
+        keys = _extended(rest.filter(F.col("outside") > rare), wholes)
+        keys = keys.unionByName(settled.select(keys.columns))
     return (
         sets.select("doc_id", "n", "sig")
         .join(names, "sig", "left")

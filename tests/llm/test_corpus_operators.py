@@ -73,6 +73,25 @@ def test_near_duplicates_equal_brute_force(spark, rare, last):
             assert (r.n_shingles, r.component_id) == want[r.doc_id]
 
 
+def test_near_duplicates_of_a_template(spark, monkeypatch):
+    """Texts that share a template and are not linked meet in few pairs; none that is linked is lost."""
+    rng, pairs = random.Random(5), []
+    pool = [f"p{i}" for i in range(40)]
+    template = [f"t{i}" for i in range(44)]
+    rows = [(i, " ".join([*template, *(f"{i}x{j}" for j in range(4 + i % 5)), *rng.choices(pool, k=4)])) for i in range(400)]
+    rows += [(500 + i, " ".join([*template[:20], *rng.choices(pool[:3], k=8)])) for i in range(200)]
+    verified = neardup._verified
+
+    def counting(docs, classes, met, percent):
+        pairs.append(met.count())
+        return verified(docs, classes, met, percent)
+
+    monkeypatch.setattr(neardup, "_verified", counting)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(spark, rows), rare=4).collect()}
+    assert got == brute_components(rows)
+    assert sum(pairs) < 20 * len(rows)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(documents(spark, [(1, "x")]).limit(0)).isEmpty()
     alone = neardup.near_duplicates(documents(spark, [(5, None), (7, "x y")])).collect()
