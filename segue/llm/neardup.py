@@ -11,8 +11,9 @@ Sets are equal or linked when 100 * |both| >= 80 * |either|.
 3. Of every shingle of the longest such prefix (k = 1) that several classes have, each class is
    first compared with the smallest one of about its size only; links make components.
 4. A shingle that still joins different components is a key for every band of sizes the other
-   set may have, which shortens the prefix to what that band allows.  Where at most ``rare`` rows
-   of a key lie outside its largest component, these are compared with all others of the key.
+   set may have, which shortens the prefix to what that band allows; one without rows of both
+   bands is none.  Where at most ``rare`` rows of a key lie outside its largest component, or in
+   one of its bands, these are compared with all others of the key.
    Of any other key ``PIVOTS * rare`` such rows are, and leave it, as all their pairs in it are
    met.  If links then leave it frequent, it is extended by each shingle that may be the next common one,
    to combinations of two, three and more, until all are rare.  Rows that have as many shingles
@@ -40,17 +41,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, materialise, ship_package
-from .components import components
+from .components import components, few, joined
 from .words import Words, mixed, runs
 
 SHINGLE = 5
 PERCENT = 80
-#: Rows of a key outside its largest component that make it rare.
+#: Rows of a key, as counted by ``_torn``, up to which it is rare.
 RARE = 12
 #: Rows of a frequent key, as a multiple of that, compared with all others before it is extended.
 PIVOTS = 4
 #: Bands of sizes between a set and the smallest one it may be linked with.
 BANDS = 4
+#: Pairs a task verifies; few pairs need few tasks.
+PAIRS = 2_000
+#: Rows of open keys a task pairs.
+TORN = 20_000
 #: Shingles counted at a time in a task, to find the frequent ones.
 COUNTED = 3_000_000
 #: Shingles ordered last: so many at most, which bounds what is broadcast.
@@ -171,37 +176,36 @@ def _whole_sets(docs: DataFrame, wide: bool) -> DataFrame:
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough.
+    """The pairs (a, b), a written table, whose whole sets are similar enough.
 
     Prefixes come first: of two, that which ends earlier in the order has all its common
     shingles in the other one, so the shingles both prefixes hold and the longer rest bound
     what the sets can have in common.  Whole sets are made for the pairs that are left.
     """
 
-    def picked(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-        need = materialise(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct())
-        return rows.join(broadcast_if_small(need, BROADCAST_IDS), key, "left_semi")
+    def paired(rows: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+        """The pairs, each with ``column`` of both its rows, by one shuffle of what they need."""
+        ends = _ends(pairs)
+        held = F.min(F.when(F.col("first"), F.col(column))), F.min(F.when(~F.col("first"), F.col(column)))
+        both = rows.join(broadcast_if_small(ends, BROADCAST_NAMES), "node").groupBy("a", "b", "n_a", "n_b")
+        return few(both.agg(held[0].alias("in_a"), held[1].alias("in_b")), pairs.count(), PAIRS)
 
-    def side(rows: DataFrame, name: str, *columns: str) -> DataFrame:
-        return rows.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
-
-    pairs = materialise(pairs)
-    heads = picked(classes, pairs, "node")
-    rest = F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
-    most = F.size(F.array_intersect("prefix_a", "prefix_b")) + rest
+    rest = F.greatest(F.col("n_a") - F.size("in_a"), F.col("n_b") - F.size("in_b"))
+    most = F.size(F.array_intersect("in_a", "in_b")) + rest
     close = materialise(
-        pairs.join(side(heads, "a", "n", "prefix"), "a")
-        .join(side(heads, "b", "n", "prefix"), "b")
-        .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        paired(classes, pairs, "prefix")
         .filter((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
         .select("a", "b", "n_a", "n_b")
     )
+    if close.isEmpty():
+        return close.select("a", "b")
 
     def compared(pairs: DataFrame, wide: bool) -> DataFrame:
         """The pairs with the hundredfold number of common shingles they have above the bound."""
-        sets = _whole_sets(picked(docs.select("doc_id", "text"), pairs, "doc_id"), wide)
-        both = pairs.join(side(sets, "a", "tokens"), "a").join(side(sets, "b", "tokens"), "b")
-        common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+        need = _ends(pairs).select(F.col("node").alias("doc_id"))
+        of_need = docs.select("doc_id", "text").join(broadcast_if_small(need, BROADCAST_IDS), "doc_id", "left_semi")
+        both = paired(_whole_sets(of_need, wide), pairs, "tokens")
+        common = F.size(F.array_intersect("in_a", "in_b"))
         above = (100 + percent) * common - percent * (F.col("n_a") + F.col("n_b"))
         return materialise(both.select("a", "b", "n_a", "n_b", above.alias("above")))
 
@@ -210,12 +214,18 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     by_accident = (F.col("n_a") + F.col("n_b")) * (F.col("n_a") + F.col("n_b")) / float(2**33)
     doubt = (100 + percent) * (DOUBT + 3 * by_accident)
     sure = narrow.filter(F.col("above") > doubt)
-    unsure = materialise(narrow.filter(F.abs("above") <= doubt).drop("above"))
+    unsure = narrow.filter(F.abs("above") <= doubt).drop("above")
     if unsure.isEmpty():
         return sure.select("a", "b")
     return sure.unionByName(compared(unsure, True).filter("above >= 0")).select("a", "b")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """Both nodes of every pair (a, b, n_a, n_b), as rows."""
+    ends = F.array(F.struct(F.col("a").alias("node"), F.lit(True).alias("first")), F.struct(F.col("b").alias("node"), F.lit(False).alias("first")))
+    return pairs.select("a", "b", "n_a", "n_b", F.inline(ends))
+
+
 def _need(n, m, percent: int):
     """Shingles that linked sets of n and m share at least."""
     return F.ceil(percent * (n + m) / F.lit(100 + percent)).cast("bigint")
@@ -259,18 +269,36 @@ def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _torn(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of keys that join several components, with ``component``, whether it is the key's
-    ``major`` (largest) one, and how many rows are ``outside`` that."""
+    """Rows of keys in which rows of different components may be linked, with ``outside`` and ``major``.
+
+    Every such pair of a key has a row that is not ``major``, and ``outside`` rows are not.  They
+    are those outside the largest component, or, where the key is for two bands of sizes and they
+    are fewer, those of the band with fewer rows; a key with rows of only one of its bands is gone.
+    """
     labelled = materialise(_labelled(rows, found))
+    lower, higher = F.col("band") < F.col("other"), F.col("band") > F.col("other")
+    least = F.when(F.col("lows") + F.col("highs") > 0, F.least("lows", "highs"))
     largest = (
         labelled.groupBy("key", "component")
-        .agg(F.count(F.lit(1)).alias("size"))
+        .agg(F.count(F.lit(1)).alias("size"), F.count_if(lower).alias("lows"), F.count_if(higher).alias("highs"))
         .groupBy("key")
-        .agg(F.sum("size").alias("times"), F.max(F.struct("size", "component")).alias("top"))
-        .select("key", (F.col("times") - F.col("top.size")).alias("outside"), F.col("top.component").alias("top"))
+        .agg(F.sum("size").alias("times"), F.sum("lows").alias("lows"), F.sum("highs").alias("highs"), F.max(F.struct("size", "component")).alias("top"))
+        .select("key", (F.col("times") - F.col("top.size")).alias("others"), F.col("top.component").alias("top"), least.alias("least"), (F.col("lows") <= F.col("highs")).alias("by_lows"))
+        .withColumn("outside", F.least("others", "least"))
         .filter("outside > 0")
     )
-    return labelled.join(largest, "key").withColumn("major", F.col("component") == F.col("top")).drop("top")
+    of_less = F.when(F.col("by_lows"), lower).otherwise(higher)
+    major = F.when(F.col("least") < F.col("others"), ~of_less).otherwise(F.col("component") == F.col("top"))
+    return labelled.join(largest, "key").withColumn("major", major).drop("top", "others", "least", "by_lows")
+
+
+def _pair(node: str, n: str, other: str, m: str) -> list:
+    """Two nodes as the columns (a, b, n_a, n_b), the smaller one first."""
+    up = F.col(node) < F.col(other)
+    return [
+        F.least(node, other).alias("a"), F.greatest(node, other).alias("b"),
+        F.when(up, F.col(n)).otherwise(F.col(m)).alias("n_a"), F.when(up, F.col(m)).otherwise(F.col(n)).alias("n_b"),
+    ]
 
 
 def _met(left: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -287,7 +315,7 @@ def _met(left: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
         .filter("component <> component_b")
         .filter(100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
         .filter(room + F.col("level") - 1 >= need)
-        .select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
+        .select(*_pair("node", "n", "node_b", "n_b"))
         .distinct()
     )
 
@@ -307,7 +335,7 @@ def _full(rows: DataFrame, percent: int) -> DataFrame:
     )
     lows = done.groupBy("key", F.col("n").alias("m"), F.col("m").alias("n")).agg(F.min("node").alias("low"))
     pairs = done.join(lows, ["key", "n", "m"]).filter("low <> node")
-    return pairs.select(F.least("low", "node").alias("a"), F.greatest("low", "node").alias("b")).distinct()
+    return pairs.select(*_pair("node", "n", "low", "m")).distinct()
 
 
 def _extended(rows: DataFrame, wholes: DataFrame) -> DataFrame:
@@ -352,10 +380,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rare: int = RARE, o
     stars = materialise(
         shared.filter("low.node < node")
         .filter((F.col("n") - F.col("pos") >= need) & (F.col("low.n") - F.col("low.pos") >= need))
-        .select(F.col("low.node").alias("a"), F.col("node").alias("b"))
+        .filter(100 * F.least("n", "low.n") >= percent * F.greatest("n", "low.n"))
+        .select(F.col("low.node").alias("a"), F.col("node").alias("b"), F.col("low.n").alias("n_a"), F.col("n").alias("n_b"))
         .distinct()
     )
-    found = materialise(components(_verified(docs, classes, stars, percent)))
+    linked = materialise(_verified(docs, classes, stars, percent))
+    found = materialise(components(linked, linked.count()))
 
     # keys that still join different components, extended until all are rare
     keys, wholes = _banded(_open(shared.drop("low"), found), percent), None
@@ -366,13 +396,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rare: int = RARE, o
             break
         many = torn.filter(F.col("outside") > rare)
         pivots = materialise(many.filter("not major").withColumn("place", F.row_number().over(some)).filter(F.col("place") <= PIVOTS * rare))
-        few = torn.filter(F.col("outside") <= rare)
-        left = few.filter("not major").unionByName(pivots.drop("place"))
+        scarce = torn.filter(F.col("outside") <= rare)
+        left = scarce.filter("not major").unionByName(pivots.drop("place"))
         met = _met(left, torn, percent).unionByName(_full(many, percent)).distinct()
-        met = materialise(met.join(stars, ["a", "b"], "left_anti"))
+        met = materialise(few(met.join(stars.select("a", "b"), ["a", "b"], "left_anti"), torn.count(), TORN))
         if not met.isEmpty():
-            more = _verified(docs, classes, met, percent)
-            found = materialise(components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+            found = joined(found, _verified(docs, classes, met, percent))
         if many.isEmpty():
             break
         rest = many.join(pivots.select("key", "node", "pos"), ["key", "node", "pos"], "left_anti")
