@@ -185,3 +185,32 @@ def test_lookups_stop_at_the_floor(spark):
     assert whole == {20}
     weights = [10**12 // 20 + 2 * (10**12 // 400)] * 12
     assert [r.weight for r in search.search(t, c).filter("query_no = 0").collect()] == weights
+
+
+def test_scoring_moves_no_keys_and_reads_each_side_once(spark):
+    """Pairs are joined once by entry and once by track number, not once for each compared field."""
+    t, c = random_sides(spark, 5)
+    scored = link.candidate_pairs(t, c)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join Inner" in line and "cand_id#" in line for line in plan.splitlines()) == 1
+    rows = scored.select("key", "cand_id").join(t.select("key", *TRACK_SIDE), "key").join(c.select("cand_id", *CATALOG_SIDE), "cand_id")
+    wanted = sorted(map(tuple, with_score(rows).select("key", "cand_id", "score").collect()))
+    assert sorted(map(tuple, scored.select("key", "cand_id", "score").collect())) == wanted
+    assert sorted(map(tuple, link.needed_pairs(t, c).select("key", "cand_id", "query_no", "rank", "score").collect())) == sorted(
+        map(tuple, link.early_stop(scored).select("key", "cand_id", "query_no", "rank", "score").collect())
+    )
+
+
+def test_postings_tell_what_an_entry_can_still_weigh(spark):
+    t, c = random_sides(spark, 6)
+    index = search.build_index(c)
+    for r in search._postings(index.entries).collect():
+        later = [x for x in r.entry_codes if x >= r.code]
+        assert r.rest == sum(10**12 // (x >> search.NUMBER_BITS) for x in later)
+    assert {"rest"} <= set(index.heads.columns)
+
+
+def test_code_link_needs_only_tracks_with_a_known_code(spark):
+    tracks = spark.createDataFrame([track(1, "Song", "A", "us1"), track(2, "Song", "A"), track(3, "Song", "A", "none"), track(4, "Song", "A", "")], TRACK)
+    c = prepare_catalog(spark.createDataFrame([entry(1, "Song", "A", "US1"), entry(2, "Song", "A", "")], ENTRY))
+    assert [r.track_id for r in link.coded(tracks, c).collect()] == ["t1"]
