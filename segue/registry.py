@@ -123,7 +123,7 @@ def link_tracks(spark, sf):
 
 
 def search_queries(spark, sf):
-    tracks, _ = _sides(spark, sf)
+    tracks = search.with_queries(prepare_tracks(dedup_groups(with_key(fx.doc_tracks(spark, sf)))))
     return search.search_queries(tracks).select("key", F.col("query_no").cast("bigint").alias("query_no"), "query")
 
 
