@@ -82,13 +82,16 @@ def page_catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- libraries
-def playlists(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as playlists of the library of the customer's nation."""
-    orders = table(spark, sf, "orders")
+def _owned_orders(spark: SparkSession, sf: str) -> DataFrame:
     owners = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("library_id")
     )
-    return orders.join(owners, "o_custkey").select(
+    return table(spark, sf, "orders").join(owners, "o_custkey")
+
+
+def playlists(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as playlists of the library of the customer's nation."""
+    return _owned_orders(spark, sf).select(
         "library_id",
         F.col("o_orderkey").cast("string").alias("playlist_id"),
         F.col("o_orderkey").alias("pos"),
@@ -100,18 +103,28 @@ def playlists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines as playlist items, numbered in their order."""
+    """Order lines as playlist items, numbered in their order.
+
+    Joined by the order's number, by which the lines are dealt and sorted for their numbering.
+    """
     in_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    lines = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("playlist_id"),
-        F.row_number().over(in_order).cast("bigint").alias("pos"),
-        F.col("l_partkey").cast("string").alias("track_id"),
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", F.row_number().over(in_order).cast("bigint").alias("pos"))
+    owned = _owned_orders(spark, sf).select("library_id", F.col("o_orderkey").alias("l_orderkey"))
+    return lines.join(owned, "l_orderkey").select(
+        F.col("l_orderkey").cast("string").alias("playlist_id"), "pos", F.col("l_partkey").cast("string").alias("track_id"), "library_id"
     )
-    return lines.join(playlists(spark, sf).select("library_id", "playlist_id"), "playlist_id")
+
+
+def _listed(spark: SparkSession, sf: str) -> DataFrame:
+    """(library_id, p_partkey): what each library lists, once."""
+    owned = _owned_orders(spark, sf).select("library_id", F.col("o_orderkey").alias("l_orderkey"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"))
+    return lines.join(owned, "l_orderkey").select("library_id", "p_partkey").distinct()
 
 
 def _parts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(
+        "p_partkey",
         F.col("p_partkey").cast("string").alias("track_id"),
         F.col("p_partkey").alias("pos"),
         F.col("p_name").alias("name"),
@@ -126,14 +139,12 @@ def _parts(spark: SparkSession, sf: str) -> DataFrame:
 
 def lib_tracks(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as tracks of every library that lists them."""
-    listed = items(spark, sf).select("library_id", "track_id").distinct()
-    return listed.join(_parts(spark, sf), "track_id")
+    return _listed(spark, sf).join(_parts(spark, sf), "p_partkey").drop("p_partkey")
 
 
 def keyed_lib_tracks(spark: SparkSession, sf: str) -> DataFrame:
     """The same with identity keys, computed once per part instead of once per listing."""
-    listed = items(spark, sf).select("library_id", "track_id").distinct()
-    return listed.join(with_key(_parts(spark, sf)), "track_id")
+    return _listed(spark, sf).join(with_key(_parts(spark, sf)), "p_partkey").drop("p_partkey")
 
 
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
