@@ -10,7 +10,7 @@ from ..functions.similarity import CATALOG_SIDE, TRACK_SIDE, with_score
 from ..session import materialise
 from .pairs import scored
 from .prepare import prepare_catalog, prepare_tracks
-from .search import answer, build_index, known_words, search_by, with_queries
+from .search import answer, build_index, known_words, search_by, told_apart, with_queries
 
 DECISION_COLUMNS = ["key", "id", "score", "title", "artist", "album_id", "threshold"]
 
@@ -165,7 +165,7 @@ def _staged_pairs(
         searches = now.groupBy("search_id").agg(F.any_value("codes").alias("codes"))
         if answers:
             searches = searches.join(union([a.select("search_id") for a in answers]).distinct(), "search_id", "left_anti")
-        answers.append(materialise(answer(materialise(searches), index, limit)))
+        answers.append(materialise(answer(told_apart(searches), index, limit)))
         found = now.select("track", "query_no", "search_id").join(union(answers), "search_id").select("track", "cand_id", "query_no", "rank")
         # equal known words are one query of a key, so a pair is met once in a stage
         if stages:

@@ -187,30 +187,35 @@ def known_words(tracks: DataFrame, index: Index) -> DataFrame:
     )
 
 
-def _judged(lookups: DataFrame, lists: DataFrame) -> DataFrame:
-    """Each pair of a search and an entry at its rarest shared word only, with its exact weight.
+def _judged(met: DataFrame, searches: DataFrame) -> DataFrame:
+    """(search, entry, weight): each pair of a search and an entry that was met, with its exact weight.
 
-    The shared words of a pair are found once: what a generator makes is not computed again
-    for a filter behind it.  Lists are few beside lookups, whose codes are neither sorted nor
-    compared with an entry that cannot reach the floor.
+    ``met`` (search, floor, entry, later) may tell a pair at several words.  What follows in both
+    weighs most at the rarest shared word, and is then all they share.  The words of a search are
+    joined where pairs were met, not carried with every word that is looked up.
     """
-    none = F.struct(F.lit(None).cast("bigint").alias("rarest"), F.lit(0).cast("bigint").alias("weight"))
-    found = F.aggregate(
-        F.array_intersect("codes", "entry_codes"),
-        none,
-        lambda s, c: F.struct(F.coalesce(s["rarest"], c).alias("rarest"), (s["weight"] + _weight(c)).alias("weight")),
-    )
+    # the short side is hashed; what a generator makes is not computed again for a filter behind it
+    weight = F.aggregate(F.array_intersect("codes", "later"), F.lit(0).cast("bigint"), lambda s, c: s + _weight(c))
     return (
-        lookups.join(lists.hint("shuffle_hash"), "code")
-        .filter("rest >= floor")
-        .select("search_id", "entry", "floor", "code", F.inline(F.array(found)))
-        .filter("rarest = code and weight >= floor")
-        .select("search_id", "entry", "weight")
+        met.join(searches.select("search", "codes").hint("shuffle_hash"), "search")
+        .select("search", "entry", "floor", F.explode(F.array(weight)).alias("weight"))
+        .filter("weight >= floor")
+        .groupBy("search", "entry")
+        .agg(F.max("weight").alias("weight"))
     )
 
 
+def _met(lookups: DataFrame, lists: DataFrame) -> DataFrame:
+    """(search, floor, entry, later): the entries of ``lists`` under the words looked up that can
+    reach the floor, and their words from there on."""
+    later = F.filter("entry_codes", lambda c: c >= F.col("code"))
+    # lists are few beside lookups
+    lists = lists.select("code", "entry", "rest", later.alias("later")).hint("shuffle_hash")
+    return lookups.select("search", "floor", "code").join(lists, "code").filter("rest >= floor").select("search", "floor", "entry", "later")
+
+
 def floors(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT) -> DataFrame:
-    """(search_id, floor): a weight that ``limit`` entries at least reach; absent where unknown.
+    """(search, floor): a weight that ``limit`` entries at least reach; absent where unknown.
 
     Words are taken until their short lists hold twice as many entries as answers, so at most
     2 * limit + HEAD rows meet for a search.
@@ -224,18 +229,18 @@ def floors(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT) -> D
         ),
         lambda s: s["n"],
     )
-    seeds = searches.select("search_id", "codes", F.lit(0).alias("floor"), F.explode(F.slice("codes", F.lit(1), taken)).alias("code"))
+    seeds = searches.select("search", F.lit(0).alias("floor"), F.explode(F.slice("codes", F.lit(1), taken)).alias("code"))
     return (
-        _judged(seeds, index.heads)
-        .groupBy("search_id")
+        _judged(_met(seeds, index.heads), searches)
+        .groupBy("search")
         .agg(F.sort_array(F.collect_list("weight"), asc=False).alias("weights"))
         .filter(F.size("weights") >= limit)
-        .select("search_id", F.col("weights")[limit - 1].alias("floor"))
+        .select("search", F.col("weights")[limit - 1].alias("floor"))
     )
 
 
-def lookups(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT) -> DataFrame:
-    """(search_id, codes, floor, code, at): the words of each search that are looked up in whole."""
+def _floored(searches: DataFrame, index: Index, limit: int) -> DataFrame:
+    """``searches`` with their ``floor`` and how many of their words are looked up in whole."""
     start = F.struct(F.col("total").alias("left"), F.lit(0).alias("n"))
     needed = F.aggregate(
         "codes",
@@ -246,30 +251,49 @@ def lookups(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT) ->
         lambda s: s["n"],
     )
     return (
-        searches.join(floors(searches, index, limit), "search_id", "left")
+        searches.join(floors(searches, index, limit), "search", "left")
         .withColumn("floor", F.coalesce("floor", F.lit(0)))
         .withColumn("total", _total(F.col("codes")))
-        .select("search_id", "codes", "floor", F.posexplode(F.slice("codes", F.lit(1), needed)).alias("at", "code"))
+        .withColumn("needed", needed)
+        .drop("total")
     )
 
 
+def _words(floored: DataFrame, *columns: str) -> DataFrame:
+    return floored.select(*columns, F.posexplode(F.slice("codes", F.lit(1), F.col("needed"))).alias("at", "code"))
+
+
+def lookups(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT) -> DataFrame:
+    """(search, codes, floor, code, at): the words of each search that are looked up in whole."""
+    return _words(_floored(searches, index, limit), "search", "codes", "floor")
+
+
 def answer(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT) -> DataFrame:
-    """Ranked answers of distinct ``searches`` (search_id, codes): (search_id, cand_id, weight, rank)."""
-    asked = materialise(lookups(searches, index, limit))
-    at_end = F.col("at") == F.size("codes") - 1
-    found = _judged(asked.filter(~at_end), _postings(index.entries)).unionByName(_judged(asked.filter(at_end), index.heads))
-    ranking = Window.partitionBy("search_id").orderBy(F.desc("weight"), "unpopular", "cand_id")
+    """Ranked answers of written ``searches`` (search_id, codes, search): (search_id, cand_id, weight, rank)."""
+    # one row for each search; its words are told apart when it is read
+    floored = materialise(_floored(searches, index, limit))
+    asked = _words(floored.withColumn("n", F.size("codes")), "search", "floor", "n")
+    at_end = F.col("at") == F.col("n") - 1
+    met = _met(asked.filter(~at_end), _postings(index.entries)).unionByName(_met(asked.filter(at_end), index.heads))
+    ranking = Window.partitionBy("search").orderBy(F.desc("weight"), "unpopular", "cand_id")
     return (
-        found.join(index.entries.select("entry", "cands"), "entry")
-        .select("search_id", "weight", F.inline("cands"))
+        _judged(met, searches)
+        .join(index.entries.select("entry", "cands"), "entry")
+        .select("search", "weight", F.inline("cands"))
         .withColumn("rank", F.row_number().over(ranking))
         .filter(F.col("rank") <= limit)
+        .join(searches.select("search", "search_id"), "search")
         .select("search_id", "cand_id", "weight", "rank")
     )
 
 
+def told_apart(searches: DataFrame) -> DataFrame:
+    """Distinct ``searches`` (search_id, codes) written with ``search``, a shorter number of each."""
+    return materialise(searches.withColumn("search", F.monotonically_increasing_id()))
+
+
 def distinct_searches(words: DataFrame) -> DataFrame:
-    return materialise(words.groupBy("search_id").agg(F.any_value("codes").alias("codes")))
+    return told_apart(words.groupBy("search_id").agg(F.any_value("codes").alias("codes")))
 
 
 def search(tracks: DataFrame, catalog: DataFrame, limit: int = fv.SEARCH_LIMIT, index: Index | None = None) -> DataFrame:
