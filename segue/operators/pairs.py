@@ -16,6 +16,8 @@ from ..session import materialise
 
 #: Compared fields: of the track, of the entry.
 FIELDS = {"title": ("t_title", "c_title"), "artist": ("t_artist", "c_artist"), "lead": ("t_lead", "c_lead"), "album": ("t_album", "c_album")}
+#: Of an entry, what is mostly like another of its columns.
+LIKE = {"c_name": "c_title", "c_lead": "c_artist"}
 #: Only tested for equality.
 NAME = ("t_name", "c_name")
 
@@ -30,10 +32,14 @@ def scored(tracks: DataFrame, catalog: DataFrame, pairs: DataFrame, on: str = "k
     """``pairs`` (key, cand_id, ...) with their ``score``; other columns are kept.
 
     ``on`` names the column that tells a track.  The entry comes first, as its texts are the
-    shorter ones to move; the pairs of a track then lie together.
+    shorter ones to move; the pairs of a track then lie together.  An entry's name and lead move
+    only where they differ from its title and artist.
     """
-    met = pairs.join(catalog.select("cand_id", *CATALOG_SIDE), "cand_id").join(tracks.select(on, *TRACK_SIDE), on)
-    return with_score(met).select(*pairs.columns, "score")
+    own = [F.when(~F.col(c).eqNullSafe(F.col(like)), F.struct(c)).alias(c) for c, like in LIKE.items()]
+    entries = catalog.select("cand_id", *[c for c in CATALOG_SIDE if c not in LIKE], *own)
+    met = pairs.join(entries, "cand_id").join(tracks.select(on, *TRACK_SIDE), on)
+    whole = {c: F.when(F.col(c).isNull(), F.col(like)).otherwise(F.col(f"{c}.{c}")) for c, like in LIKE.items()}
+    return with_score(met.withColumns(whole)).select(*pairs.columns, "score")
 
 
 class PairScores:

@@ -214,3 +214,28 @@ def test_code_link_needs_only_tracks_with_a_known_code(spark):
     tracks = spark.createDataFrame([track(1, "Song", "A", "us1"), track(2, "Song", "A"), track(3, "Song", "A", "none"), track(4, "Song", "A", "")], TRACK)
     c = prepare_catalog(spark.createDataFrame([entry(1, "Song", "A", "US1"), entry(2, "Song", "A", "")], ENTRY))
     assert [r.track_id for r in link.coded(tracks, c).collect()] == ["t1"]
+
+
+def test_words_of_a_search_move_once(spark):
+    """What is looked up carries no list of the search's words, and neither do the pairs met."""
+    t, c = random_sides(spark, 8)
+    index = search.build_index(c)
+    searches = search.distinct_searches(search.known_words(t, index))
+    met = search._met(search.lookups(searches, index), index.heads)
+    assert met.columns == ["search", "floor", "entry", "later"]
+    by_search = {r.search: r.codes for r in searches.collect()}
+    of_entry = {r.entry: set(r.codes) for r in index.entries.collect()}
+    for r in search._judged(met, searches).collect():
+        assert r.weight <= sum(10**12 // (x >> search.NUMBER_BITS) for x in set(by_search[r.search]) & of_entry[r.entry])
+
+
+def test_entry_columns_that_are_alike_score_as_given(spark):
+    """A name like its title or a lead like its artist is not moved; nulls and differences stay."""
+    t, _ = random_sides(spark, 9)
+    columns = "cand_id string, c_title string, c_name string, c_artist string, c_lead string, c_album string, c_duration_s double"
+    rows = [("a", "w1 w2", "w1 w2", "artist1", "artist1", "al1", 1.0), ("b", "w1", "w1 live", "artist1 artist2", "artist1", "al1", None),
+            ("c", "w1", None, "artist1", None, None, 200.0), ("d", None, "w1", None, "artist1", "al2", 200.0), ("e", None, None, None, None, None, None)]
+    c = spark.createDataFrame(rows, columns)
+    pairs = t.select("track").crossJoin(c.select("cand_id"))
+    wanted = with_score(pairs.join(c, "cand_id").join(t.select("track", *TRACK_SIDE), "track")).select("track", "cand_id", "score")
+    assert sorted(map(tuple, link.scored(t, c, pairs, "track").collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
