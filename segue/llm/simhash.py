@@ -34,7 +34,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, ship_package
@@ -203,9 +203,14 @@ def masks(parts: list[tuple[list[int], int]]) -> list[int]:
 
 # --------------------------------------------------------------------------- links
 def _grouped(keyed: DataFrame) -> DataFrame:
-    """(mask, value, low, high, n) of the keys that several classes hold."""
-    key = ["mask", "value"]
-    held = keyed.groupBy(*key).agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("n"))
+    """(mask, value, fp, low, high, n) of the keys that several classes hold.
+
+    A key's rows are counted where they lie, by one shuffle: no join brings the counts back.
+    """
+    of_key = Window.partitionBy("mask", "value")
+    held = keyed.select(
+        "mask", "value", "fp", F.min("fp").over(of_key).alias("low"), F.max("fp").over(of_key).alias("high"), F.count(F.lit(1)).over(of_key).alias("n")
+    )
     return materialise(held.filter("n > 1"))
 
 
@@ -250,13 +255,11 @@ def links(classes: DataFrame, parts: list[tuple[list[int], int]], distance: int
     keyed = classes.select("fp", F.explode(every).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
     found, level = [], 0
     while True:
-        groups = _grouped(keyed)
+        rows = _grouped(keyed)
         star = F.bit_count("mask") >= BITS - distance
-        pairs = groups.filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+        pairs = rows.filter("n = 2 and fp = low").select(F.col("low").alias("a"), F.col("high").alias("b"))
         found.append(pairs.filter(_near(distance)))
-        # by a shuffle at every size: nothing bounds the number of shared keys
-        rows = keyed.join(groups.filter("n > 2").hint("merge"), ["mask", "value"]).select("mask", "value", "fp", "low", "n")
-        rows = materialise(rows)
+        rows = rows.filter("n > 2")
         found.append(rows.filter(star & (F.col("fp") > F.col("low"))).select(F.col("low").alias("a"), F.col("fp").alias("b")))
         small = rows.filter(~star & (F.col("n") <= few)).groupBy("mask", "value").agg(F.collect_list("fp").alias("held"))
         found.append(_forests(small, distance))

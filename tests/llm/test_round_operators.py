@@ -262,3 +262,10 @@ def test_equals_sql(spark, name):
     at = [[d[0] for d in cursor.description].index(c) for c in mine.columns]
     theirs = sorted((tuple(row[i] for i in at) for row in cursor.fetchall()), key=repr)
     assert theirs and sorted((tuple(r) for r in mine.collect()), key=repr) == theirs
+
+
+def test_simhash_keys_are_counted_where_they_lie(spark):
+    """Each row of a shared key once, with the key's count and ends; no join of all keys brings them."""
+    keyed = spark.createDataFrame([(i, m, v) for m in (1, 2) for v in (0, 1, 2) for i in range(10 * v, 10 * v + v + 1)], "fp bigint, mask bigint, value bigint")
+    got = sorted((r["mask"], r["value"], r["fp"], r["low"], r["high"], r["n"]) for r in simhash._grouped(keyed).collect())
+    assert got == [(m, v, i, 10 * v, 10 * v + v, v + 1) for m in (1, 2) for v in (1, 2) for i in range(10 * v, 10 * v + v + 1)]
