@@ -34,11 +34,18 @@ def learn(names: DataFrame, table: VersionedTable) -> DataFrame:
     new = names.select("name").filter("name is not null").distinct().join(table.load().select("name"), "name", "left_anti")
     new = materialise(new)
     if not new.isEmpty():
-        table.merge(normalised(new))
+        table.merge(normalised(new), written=True)
     return table.load()
 
 
 def with_normal(rows: DataFrame, column: str, out: str, table: VersionedTable) -> DataFrame:
-    """Add the normal form of ``column``, from the dictionary, which learns what it lacks."""
-    known = learn(rows.select(F.col(column).alias("name")), table)
-    return rows.join(known.select(F.col("name").alias(column), F.col("normal").alias(out)), column, "left")
+    """Add the normal form of ``column``, from the dictionary, which learns what it lacks.
+
+    They meet by SHA-256, so neither side moves the names.
+    """
+
+    def digest(name):
+        return F.unhex(F.sha2(name, 256))
+
+    known = learn(rows.select(F.col(column).alias("name")), table).select(digest("name").alias("_name"), F.col("normal").alias(out))
+    return rows.withColumn("_name", digest(column)).join(known, "_name", "left").drop("_name")

@@ -36,7 +36,7 @@ def norm_titles(spark, sf):
 def norm_dictionary(spark, sf):
     table = forms.forms_table(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
     forms.learn(fx.page_titles(spark, sf).select(F.col("title").alias("name")), table)
-    lines = materialise(fx.doc_lines(spark, sf))
+    lines = fx.doc_lines(spark, sf)
     return forms.with_normal(lines, "line", "normal", table).select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "normal")
 
 

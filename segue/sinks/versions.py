@@ -95,13 +95,14 @@ class VersionedTable:
         placed.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/data/{folder}")
         return folder
 
-    def merge(self, new: DataFrame, stream: str | None = None, batch: int | None = None) -> Version:
+    def merge(self, new: DataFrame, stream: str | None = None, batch: int | None = None, written: bool = False) -> Version:
         """Rows of ``new`` replace those of the same key; only their buckets are written.
 
         A batch of a stream that is in force already, as when it is run again after a
-        failure, changes nothing.
+        failure, changes nothing.  ``written`` tells that ``new`` is read from written rows, so
+        that its keys are at hand and its other columns are computed only where they are saved.
         """
-        new = materialise(new)
+        new = new if written else materialise(new)
         while True:
             now = self.current() or Version(0, self.buckets, {}, {})
             if stream is not None and now.batches.get(stream, -1) >= batch:

@@ -94,3 +94,14 @@ def test_stream_in_batches_and_again(spark, tmp_path):
     none = spark.createDataFrame([], ENTRY)  # would decide otherwise if it were asked
     incremental.link_stream(spark.readStream.schema(TRACK).parquet(source), none, folder, "catalog").awaitTermination()
     assert table.current().parts == done.parts and held(table)["q:band|song number 0"] == "c0"
+
+
+def test_names_meet_their_normal_forms_by_digest(spark, tmp_path):
+    """Neither side of the join moves names; nulls and repeats keep their rows."""
+    from segue.operators import forms
+
+    rows = spark.createDataFrame([(1, "Ab  C"), (2, None), (3, "Ab  C"), (4, ""), (5, "É!")], "i int, line string")
+    got = forms.with_normal(rows, "line", "normal", forms.forms_table(spark, str(tmp_path)))
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x]
+    assert joins and all("_name#" in x and "line#" not in x for x in joins)
+    assert sorted(map(tuple, got.collect())) == [(1, "Ab  C", "ab c"), (2, None, None), (3, "Ab  C", "ab c"), (4, "", ""), (5, "É!", "e")]
