@@ -420,7 +420,7 @@ def ingest_declared_albums(spark, sf):
 
 
 def track_union_first_wins(spark, sf):
-    exports = materialise(json_export.parse_exports(fx.json_exports(spark, sf)))  # two tables come from one parse
+    exports = json_export.parse_exports(fx.json_exports(spark, sf))  # parsed for either table: writing both moves more
     return _track_columns(
         json_export.union_tracks(json_export.song_rows(exports), json_export.playlist_rows(exports)),
         F.col("part").cast("bigint").alias("part"),

@@ -124,10 +124,12 @@ def union_tracks(songs: DataFrame, playlist_tracks: DataFrame, loved_adds_up: bo
         *ids, F.lit(1).alias("part"), F.col("playlist_pos").cast("bigint"), "pos", values.alias("v")
     )
     place = F.struct("part", "playlist_pos", "pos")
+    row, is_listed = F.struct(place.alias("at"), "v"), F.col("part") == 0
+    # a row's values go into one of the two, so they are moved once
     merged = listed.unionByName(extra).groupBy(*ids).agg(
         F.min(place).alias("first"),
-        F.min(F.struct(place.alias("at"), "v")).alias("first_row"),
-        F.max(F.when(F.col("part") == 0, F.struct(place.alias("at"), "v"))).alias("last_listed"),
+        F.min(row if loved_adds_up else F.when(~is_listed, row)).alias("first_row"),
+        F.max(F.when(is_listed, row)).alias("last_listed"),
         F.bool_or(F.col("v.loved")).alias("any_loved"),
     )
     chosen = F.col("first_row.v") if loved_adds_up else F.coalesce("last_listed.v", "first_row.v")

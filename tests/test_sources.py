@@ -161,3 +161,20 @@ def test_reset_holds_back_what_is_not_verified(spark, left):
     assert rows(done.gate) == [("a", not left), ("b", True)]
     new = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "library_id string, n int")
     assert rows(reset.gated(new, done.gate), "library_id") == [("a",)] * (not left) + [("b",), ("c",)]
+
+
+def test_union_moves_the_values_of_a_row_once(spark):
+    """A row counts for the song list or for the playlists; ties and places are as before."""
+    from segue.sources import json_export as je
+
+    fields = [c for c in je.TRACK_FIELDS]
+    text = lambda v: [{"duration_ms": 1, "loved": False}.get(c, v) for c in fields]
+    kinds = ", ".join(f"{c} {dict(duration_ms='bigint', loved='boolean').get(c, 'string')}" for c in fields)
+    songs = spark.createDataFrame([("l", "a", 0, *text("first")), ("l", "a", 2, *text("last"))], f"library_id string, track_id string, pos bigint, {kinds}")
+    extra = spark.createDataFrame(
+        [("l", "a", 0, 0, *text("x")), ("l", "b", 1, 0, *text("late")), ("l", "b", 0, 4, *text("m")), ("l", "b", 0, 4, *text("k"))],
+        f"library_id string, track_id string, playlist_pos int, pos bigint, {kinds}",
+    )
+    out = je.union_tracks(songs, extra)
+    assert "min(CASE WHEN" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.track_id, r.part, r.playlist_pos, r.pos, r.name) for r in out.collect()) == [("a", 0, 0, 0, "last"), ("b", 1, 0, 4, "k")]
