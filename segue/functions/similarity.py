@@ -47,10 +47,12 @@ def _lcs_vector(short: list[str], long: list[str]) -> np.ndarray:
     n = len(short)
     flat_a, len_a = _codes(short)
     flat_b, len_b = _codes(long)
-    alphabet, coded_a = np.unique(flat_a, return_inverse=True)
-    at = np.searchsorted(alphabet, flat_b)
-    at[at == len(alphabet)] = 0
-    coded_b = np.where(alphabet[at] == flat_b, at, len(alphabet))
+    place_of = np.zeros(int(max(flat_a.max(initial=0), flat_b.max(initial=0))) + 1, dtype=np.int32)
+    place_of[flat_a] = 1
+    alphabet = np.flatnonzero(place_of)
+    place_of[:] = len(alphabet)
+    place_of[alphabet] = np.arange(len(alphabet))
+    coded_a, coded_b = place_of[flat_a], place_of[flat_b]
 
     width = len(alphabet) + 1  # last column: characters no short string has
     masks = np.zeros((n, width), dtype=np.uint64)
@@ -107,47 +109,59 @@ def token_set_ratios(left: list[str], right: list[str]) -> np.ndarray:
     """
     n = len(left)
     score = np.zeros(n)
-    seen: dict[str, frozenset] = {}
+    seen: dict[str, tuple[frozenset, list[str], int]] = {}
 
-    def word_set(s: str) -> frozenset:
+    def words(s: str) -> tuple[frozenset, list[str], int]:
         if s not in seen:
-            seen[s] = frozenset(s.split())
+            held = frozenset(s.split())
+            seen[s] = held, sorted(held), sum(map(len, held))
         return seen[s]
 
-    todo, common, only_a, only_b = [], [], [], []
+    todo, shared, sizes = [], [], []
     for i, (a, b) in enumerate(zip(left, right)):
-        wa, wb = word_set(a), word_set(b)
+        (wa, _, size_a), (wb, _, size_b) = words(a), words(b)
         if not wa or not wb:
             continue
         both = wa & wb
-        if both and (len(both) == len(wa) or len(both) == len(wb)):
+        k = len(both)
+        if k and (k == len(wa) or k == len(wb)):
             score[i] = 100.0
             continue
+        size = sum(map(len, both))
         todo.append(i)
-        common.append(sum(map(len, both)) + max(len(both) - 1, 0))
-        only_a.append(" ".join(sorted(wa - both)))
-        only_b.append(" ".join(sorted(wb - both)))
+        shared.append(both)
+        # lengths of the common words and of each side's others, joined by blanks
+        sizes.append((size + max(k - 1, 0), size_a - size + len(wa) - k - 1, size_b - size + len(wb) - k - 1))
     if todo:
-        s = np.array(common, dtype=np.float64)
-        la = np.array([len(x) for x in only_a], dtype=np.float64)
-        lb = np.array([len(x) for x in only_b], dtype=np.float64)
-        distance = la + lb - 2.0 * lcs_lengths(only_a, only_b)
+        s, la, lb = np.array(sizes, dtype=np.float64).T
         gap = (s > 0).astype(np.float64)
         full_a, full_b = s + gap + la, s + gap + lb
-        apart = 100.0 * (1.0 - distance / (full_a + full_b))
         with_a = 100.0 * (1.0 - (gap + la) / (s + full_a))
         with_b = 100.0 * (1.0 - (gap + lb) / (s + full_b))
-        score[todo] = np.where(s > 0, np.maximum(apart, np.maximum(with_a, with_b)), apart)
+        best = np.where(s > 0, np.maximum(with_a, with_b), -1.0)
+
+        def apart(common: np.ndarray, at) -> np.ndarray:
+            return 100.0 * (1.0 - (la[at] + lb[at] - 2.0 * common) / (full_a[at] + full_b[at]))
+
+        # the others are compared only where their lengths let them decide
+        open_ = np.flatnonzero(apart(np.minimum(la, lb), slice(None)) > best)
+
+        def others(texts: list[str]) -> list[str]:
+            return [" ".join([w for w in words(texts[todo[j]])[1] if w not in shared[j]]) for j in open_]
+
+        best[open_] = np.maximum(best[open_], apart(lcs_lengths(others(left), others(right)), open_))
+        score[todo] = best
     return score
 
 
 @F.pandas_udf(T.DoubleType())
 def _token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     # a batch often repeats a pair (few artists, few albums): compare it once
-    pairs = pd.DataFrame({"a": a.fillna(""), "b": b.fillna("")})
-    group = pairs.groupby(["a", "b"], sort=False).ngroup().to_numpy()
-    first = pairs[~pairs.duplicated()]
-    ratios = token_set_ratios(first["a"].tolist(), first["b"].tolist())
+    at_a, of_a = pd.factorize(a.fillna("").to_numpy(dtype=object))
+    at_b, of_b = pd.factorize(b.fillna("").to_numpy(dtype=object))
+    pairs, group = np.unique(at_a * max(len(of_b), 1) + at_b, return_inverse=True)
+    first_a, first_b = np.divmod(pairs, max(len(of_b), 1))
+    ratios = token_set_ratios(of_a[first_a].tolist(), of_b[first_b].tolist())
     return pd.Series(ratios[group])
 
 

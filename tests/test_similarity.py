@@ -49,3 +49,16 @@ def test_ratio_range():
     forth, back = sim.token_set_ratios(*sides), sim.token_set_ratios(*sides[::-1])
     assert ((forth >= 0) & (forth <= 100)).all()
     assert forth == pytest.approx(back)
+
+
+def test_sides_too_unlike_in_length_are_not_compared(monkeypatch):
+    """Where lengths alone leave the common words ahead, the others' order is not looked at."""
+    compared = []
+    plain = sim.lcs_lengths
+    monkeypatch.setattr(sim, "lcs_lengths", lambda a, b: compared.extend(zip(a, b)) or plain(a, b))
+    long = " ".join(f"word{i:03d}" for i in range(100))
+    got = sim.token_set_ratios([long, "abc abd", "x ab"], ["word007 other", "abc abe", "y cd"])
+    assert compared == [("abd", "abe"), ("ab x", "cd y")]
+    # common 7, others 792 and 5: sides of 800 and 13
+    assert got[0] == pytest.approx(100 * (1 - 6 / 20))
+    assert got[1] == pytest.approx(100 * (1 - 2 / 14))
