@@ -21,6 +21,7 @@ equal catalog entries are indexed once.  What keeps the join narrow without losi
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +35,8 @@ from .ranking import numbered
 WEIGHT_SCALE = 1_000_000_000_000
 #: A word's code is its number of entries, then so many bits of a number of its own.
 NUMBER_BITS = 33
+#: Queries of a track at most.
+QUERIES = 4
 #: Most popular entries kept apart for each word; at least the number of answers.
 HEAD = 32
 
@@ -65,19 +68,23 @@ def with_queries(tracks: DataFrame) -> DataFrame:
     def split_words(parts: list) -> Column:
         return F.split(F.concat_ws(" ", *parts), " ")
 
+    def own(fields: list[str], before: list[str]) -> list:
+        # a field equal to one before it brings no words of its own
+        told = []
+        for f in fields:
+            new = reduce(Column.__and__, [~F.col(f).eqNullSafe(F.col(b)) for b in before], F.lit(True))
+            told.append(F.when(new, F.col(f)))
+            before = [*before, f]
+        return told
+
     def query(parts: list[str], used: list[str]) -> Column:
-        # the words of a concatenation are the words of its parts; a name equal to its
-        # title brings no words of its own, and only short fields are left to compare
-        other = [f for f in fields if f not in used]
-        twin = {"t_name": "t_title", "t_title": "t_name"}
-        spare = [
-            F.when(F.col(f) != F.col(twin[f]), F.col(f)) if twin.get(f) in used else F.col(f) for f in other
-        ]
+        # the words of a concatenation are the words of its parts; mostly only short fields
+        # are left to compare, or none
+        spare = own([f for f in fields if f not in used], used)
         lacking = F.array_except(split_words(spare), split_words([F.col(f) for f in used]))
-        return F.struct(
-            text.strip(F.concat_ws(" ", *[F.coalesce(F.col(p), F.lit("")) for p in parts])).alias("query"),
-            F.sort_array(F.array_remove(lacking, "")).alias("missing"),
-        )
+        text_of = text.strip(F.concat_ws(" ", *[F.coalesce(F.col(p), F.lit("")) for p in parts]))
+        missing = F.when(F.concat_ws("", *spare) == "", F.array().cast("array<string>")).otherwise(F.sort_array(F.array_remove(lacking, "")))
+        return F.when(text_of != "", F.struct(text_of.alias("query"), missing.alias("missing")))
 
     asked = F.array(
         query(["_lead", "_title"], ["t_lead", "t_title"]),
@@ -86,8 +93,9 @@ def with_queries(tracks: DataFrame) -> DataFrame:
         query(["_title"], ["t_title"]),
     )
     return (
-        prepared.withColumn("asked", F.array_distinct(F.filter(asked, lambda q: q["query"] != "")))
-        .withColumn("_words", F.sort_array(split_words([F.col(f) for f in fields])))
+        # distinct ones that are not null; a filter by a function would keep all of it from being compiled
+        prepared.withColumn("asked", F.array_except(asked, F.array(F.lit(None))))
+        .withColumn("_words", F.sort_array(split_words(own(fields, []))))
         # sorted, so a repeated word follows itself: linear in the length of the text
         .withColumn(
             "terms",
@@ -168,21 +176,34 @@ def known_words(tracks: DataFrame, index: Index) -> DataFrame:
 
     Written: it is read whole for the distinct searches and narrow for the way back.
     """
-    # the words of all queries of a track are looked up together, once
-    tracks = tracks.filter(F.col("key").isNotNull())
+    # the words of all queries of a track are looked up together, once; a word tells by a bit
+    # the queries that lack it, which is told before texts are left behind
+    tracks = tracks.filter(F.col("key").isNotNull()).select("key", "track", "terms", F.transform("asked", lambda q: q["missing"]).alias("missing"))
+    lacking = reduce(
+        Column.bitwiseOR, [F.when(F.array_contains(F.get("missing", F.lit(n)), F.col("term")), 1 << n).otherwise(0) for n in range(QUERIES)]
+    )
     known = (
-        tracks.select("track", F.explode("terms").alias("term"))
+        tracks.select("track", "missing", F.explode("terms").alias("term"))
+        .select("track", "term", lacking.alias("lacking"))
         .join(index.terms, "term")
         .groupBy("track")
-        .agg(F.sort_array(F.collect_list(F.struct("code", "term"))).alias("all_known"))
+        .agg(
+            F.sort_array(F.collect_list("code")).alias("all_known"),
+            F.collect_list(F.when(F.col("lacking") != 0, F.struct("code", "lacking"))).alias("lacked"),
+        )
     )
+
+    def codes(number: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1), number)
+        lacked = F.transform(F.filter("lacked", lambda w: w["lacking"].bitwiseAND(bit) != 0), lambda w: w["code"])
+        return F.when(F.size("lacked") == 0, F.col("all_known")).otherwise(F.array_except("all_known", lacked))
+
     return materialise(
-        tracks.select("key", "track", F.transform("asked", lambda q: q["missing"]).alias("missing"))
+        tracks.select("key", "track", F.size("missing").alias("queries"))
         .join(known, "track")
-        .select("key", "track", "all_known", F.posexplode("missing").alias("query_no", "missing"))
-        .withColumn("known", F.filter("all_known", lambda w: ~F.array_contains("missing", w["term"])))
-        .filter(F.size("known") > 0)
-        .withColumn("codes", F.transform("known", lambda w: w["code"]))
+        .select("key", "track", "all_known", "lacked", F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("query_no"))
+        .withColumn("codes", codes(F.col("query_no")))
+        .filter(F.size("codes") > 0)
         .select("key", "track", "query_no", F.unhex(F.md5(F.array_join("codes", " "))).alias("search_id"), "codes")
     )
 
@@ -194,11 +215,14 @@ def _judged(met: DataFrame, searches: DataFrame) -> DataFrame:
     weighs most at the rarest shared word, and is then all they share.  The words of a search are
     joined where pairs were met, not carried with every word that is looked up.
     """
-    # the short side is hashed; what a generator makes is not computed again for a filter behind it
-    weight = F.aggregate(F.array_intersect("codes", "later"), F.lit(0).cast("bigint"), lambda s, c: s + _weight(c))
+    # the short side is hashed.  Shared words become rows, whose sum is compiled, unlike one by a
+    # function on the list; outer, as the filter that an inner one implies would compute them twice
+    shared = F.explode_outer(F.array_intersect("codes", "later")).alias("code")
     return (
         met.join(searches.select("search", "codes").hint("shuffle_hash"), "search")
-        .select("search", "entry", "floor", F.explode(F.array(weight)).alias("weight"))
+        .select("search", "entry", "floor", F.col("later")[0].alias("at"), shared)
+        .groupBy("search", "entry", "floor", "at")
+        .agg(F.sum(_weight(F.col("code"))).alias("weight"))
         .filter("weight >= floor")
         .groupBy("search", "entry")
         .agg(F.max("weight").alias("weight"))

@@ -239,3 +239,17 @@ def test_entry_columns_that_are_alike_score_as_given(spark):
     pairs = t.select("track").crossJoin(c.select("cand_id"))
     wanted = with_score(pairs.join(c, "cand_id").join(t.select("track", *TRACK_SIDE), "track")).select("track", "cand_id", "score")
     assert sorted(map(tuple, link.scored(t, c, pairs, "track").collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
+
+
+def test_known_words_are_those_of_each_query(spark):
+    """A word's queries are told by bits; only numbers are collected for a track."""
+    tracks = [track(1, "Blue Moon (Live)", "A feat. B"), track(2, "Moon", "Moon"), ("l", 3, "t3", "Rain", "A & B", "Al", "C", 0, None), ("l", 4, "t4", "Blue Blue", "", "", "", 0, None), ("l", 5, "t5", "Fire", None, None, None, None, None)]
+    entries = [entry(i, n, a) for i, (n, a) in enumerate([("Blue Moon live", "a"), ("Rain", "b"), ("Moon feat", "c"), ("Fire Blue", "a b")])]
+    t, c = sides(spark, tracks, entries)
+    index = search.build_index(c)
+    code = {r.term: r.code for r in index.terms.collect()}
+    wanted = {(r.key, r.query_no): sorted(code[w] for w in r.terms if w in code) for r in search.search_queries(t).collect()}
+    got = {(r.key, r.query_no): r.codes for r in search.known_words(t, index).collect()}
+    assert got == {k: v for k, v in wanted.items() if v}
+    plan = search.with_queries(t.drop("asked", "terms", "track"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(array(struct" not in plan and "filter(array(CASE" not in plan
