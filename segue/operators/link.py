@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions.similarity import CATALOG_SIDE, TRACK_SIDE, with_score
 from ..session import materialise
 from .pairs import scored
 from .prepare import prepare_catalog, prepare_tracks
-from .search import answer, build_index, known_words, search_by, told_apart, with_queries
+from .search import answer_ways, build_index, known_ways, search_by, told_apart, with_queries
 
 DECISION_COLUMNS = ["key", "id", "score", "title", "artist", "album_id", "threshold"]
 
@@ -128,10 +130,9 @@ def staged_pairs(
 ) -> DataFrame:
     """What ``early_stop`` leaves of all candidates, without asking for the rest.
 
-    The first query is asked for all keys, each further one only for keys without a score of
-    ``good_enough`` so far.  A query that has the same known words as an earlier one of its
-    key, or as one asked for another key, is not searched again, and a pair is scored once.
-    Every stage is written.
+    The answers to the first query are scored for all keys, those that a further one adds only for
+    keys without a score of ``good_enough`` so far.  All queries of a key are searched at once, equal
+    ones of several keys once, and a pair is scored once.  Every stage is written.
     """
     return _told(_staged_pairs(tracks, catalog, limit, index, good_enough), tracks)
 
@@ -141,40 +142,23 @@ def _staged_pairs(
 ) -> DataFrame:
     """``staged_pairs`` without the key: (track, cand_id, query_no, rank, score)."""
     index = index or build_index(catalog, limit)
-    words = known_words(tracks, index)
-    first = words.groupBy("track", "search_id").agg(F.min("query_no").alias("query_no"), F.any_value("codes").alias("codes"))
-    asked = materialise(first)
-    last = asked.agg(F.max("query_no")).first()[0]
+    words = known_ways(tracks, index)
+    # all queries of a track are searched at once, as they share most of their words; what is asked in
+    # stages is the comparison of texts
+    distinct = words.groupBy("search_id").agg(F.any_value(F.struct("codes", "lacks")).alias("_s"))
+    searches = told_apart(distinct.select("search_id", "_s.codes", "_s.lacks"))
+    answers = materialise(answer_ways(searches, index, limit))
+    asking = materialise(words.select("track", "search_id").join(searches.select("search_id", "search"), "search_id").select("track", "search"))
     stages: list[DataFrame] = []
-    answers: list[DataFrame] = []
     settled = None
-
-    def union(frames: list[DataFrame]) -> DataFrame:
-        out = frames[0]
-        for frame in frames[1:]:
-            out = out.unionByName(frame)
-        return out
-
-    for number in range(0 if last is None else last + 1):
-        now = asked.filter(F.col("query_no") == number)
-        if settled is not None:
-            now = now.join(settled, "track", "left_anti")
-        now = materialise(now)
-        if now.isEmpty():
-            continue
-        searches = now.groupBy("search_id").agg(F.any_value("codes").alias("codes"))
-        if answers:
-            searches = searches.join(union([a.select("search_id") for a in answers]).distinct(), "search_id", "left_anti")
-        answers.append(materialise(answer(told_apart(searches), index, limit)))
-        found = now.select("track", "query_no", "search_id").join(union(answers), "search_id").select("track", "cand_id", "query_no", "rank")
-        # equal known words are one query of a key, so a pair is met once in a stage
-        if stages:
-            found = found.join(union([s.select("track", "cand_id") for s in stages]), ["track", "cand_id"], "left_anti")
+    for (number,) in sorted(map(tuple, answers.select("query_no").distinct().collect())):
+        now = asking if settled is None else asking.join(settled, "track", "left_anti")
+        found = now.join(answers.filter(F.col("query_no") == number), "search").select("track", "cand_id", "query_no", "rank")
         stages.append(materialise(scored(tracks, catalog, found, "track")))
-        settled = union([s.filter(F.col("score") >= good_enough).select("track") for s in stages]).distinct()
+        settled = reduce(DataFrame.unionByName, [s.filter(F.col("score") >= good_enough).select("track") for s in stages]).distinct()
     if not stages:
         return _candidate_pairs(tracks, catalog, limit, index)
-    return union(stages)
+    return reduce(DataFrame.unionByName, stages)
 
 
 def stage_counts(staged: DataFrame, good_enough: float = fv.GOOD_ENOUGH_SCORE) -> DataFrame:

@@ -171,43 +171,75 @@ def build_index(catalog: DataFrame, limit: int = fv.SEARCH_LIMIT) -> Index:
     return Index(entries, terms, materialise(heads))
 
 
-def known_words(tracks: DataFrame, index: Index) -> DataFrame:
-    """(key, track, query_no, search_id, codes): the known words of each query, rare ones first.
-
-    Written: it is read whole for the distinct searches and narrow for the way back.
-    """
+def _known(tracks: DataFrame, index: Index) -> DataFrame:
+    """(track, queries, all_known, lacked): the known words of a track, rare ones first, the
+    number of its queries, and (code, lacking) of those words that some query lacks."""
     # the words of all queries of a track are looked up together, once; a word tells by a bit
     # the queries that lack it, which is told before texts are left behind
-    tracks = tracks.filter(F.col("key").isNotNull()).select("key", "track", "terms", F.transform("asked", lambda q: q["missing"]).alias("missing"))
+    missing = F.transform("asked", lambda q: q["missing"]) if "asked" in tracks.columns else F.col("missing")
+    tracks = tracks.filter(F.col("key").isNotNull()).select("track", "terms", missing.alias("missing"))
     lacking = reduce(
         Column.bitwiseOR, [F.when(F.array_contains(F.get("missing", F.lit(n)), F.col("term")), 1 << n).otherwise(0) for n in range(QUERIES)]
     )
-    known = (
+    return (
         tracks.select("track", "missing", F.explode("terms").alias("term"))
-        .select("track", "term", lacking.alias("lacking"))
+        .select("track", F.size("missing").alias("queries"), "term", lacking.alias("lacking"))
         .join(index.terms, "term")
-        .groupBy("track")
+        .groupBy("track", "queries")
         .agg(
             F.sort_array(F.collect_list("code")).alias("all_known"),
             F.collect_list(F.when(F.col("lacking") != 0, F.struct("code", "lacking"))).alias("lacked"),
         )
     )
 
-    def codes(number: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1), number)
-        lacked = F.transform(F.filter("lacked", lambda w: w["lacking"].bitwiseAND(bit) != 0), lambda w: w["code"])
-        return F.when(F.size("lacked") == 0, F.col("all_known")).otherwise(F.array_except("all_known", lacked))
 
+def _lacked(number: Column) -> Column:
+    """Known words of a track that its query of this number lacks."""
+    bit = F.call_function("shiftleft", F.lit(1), number)
+    return F.transform(F.filter("lacked", lambda w: w["lacking"].bitwiseAND(bit) != 0), lambda w: w["code"])
+
+
+def known_words(tracks: DataFrame, index: Index) -> DataFrame:
+    """(key, track, query_no, search_id, codes): the known words of each query, rare ones first.
+
+    Written: it is read whole for the distinct searches and narrow for the way back.
+    """
+    lacked = _lacked(F.col("query_no"))
+    codes = F.when(F.size(lacked) == 0, F.col("all_known")).otherwise(F.array_except("all_known", lacked))
     return materialise(
-        tracks.select("key", "track", F.size("missing").alias("queries"))
-        .join(known, "track")
+        tracks.filter(F.col("key").isNotNull())
+        .select("key", "track")
+        .join(_known(tracks, index), "track")
         .select("key", "track", "all_known", "lacked", F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("query_no"))
-        .withColumn("codes", codes(F.col("query_no")))
+        .withColumn("codes", codes)
         .filter(F.size("codes") > 0)
         .select("key", "track", "query_no", F.unhex(F.md5(F.array_join("codes", " "))).alias("search_id"), "codes")
     )
 
 
+def known_ways(tracks: DataFrame, index: Index) -> DataFrame:
+    """(track, search_id, codes, lacks): the known words of all queries of a track, rare ones first,
+    and for each query those it lacks; null for a query that knows none, or the same as an earlier one.
+
+    Written: it is read whole for the distinct searches and narrow for the way back.
+    """
+    told = F.concat_ws(
+        "|", F.array_join("all_known", " "), F.array_join(F.transform("lacks", lambda l: F.coalesce(F.array_join(l, " "), F.lit("-"))), "|")
+    )
+    lacks = F.transform(
+        "lacked_by",
+        lambda lack, n: F.when(
+            (F.size(lack) < F.size("all_known")) & (F.array_position("lacked_by", lack) == n + 1), lack
+        ),
+    )
+    return materialise(
+        _known(tracks, index)
+        .withColumn("lacked_by", F.transform(F.sequence(F.lit(0), F.col("queries") - 1), lambda n: F.sort_array(_lacked(n))))
+        .withColumn("lacks", lacks)
+        .select("track", F.unhex(F.md5(told)).alias("search_id"), F.col("all_known").alias("codes"), "lacks")
+    )
+
+
 def _judged(met: DataFrame, searches: DataFrame) -> DataFrame:
     """(search, entry, weight): each pair of a search and an entry that was met, with its exact weight.
 
@@ -238,22 +270,55 @@ def _met(lookups: DataFrame, lists: DataFrame) -> DataFrame:
     return lookups.select("search", "floor", "code").join(lists, "code").filter("rest >= floor").select("search", "floor", "entry", "later")
 
 
-def floors(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT) -> DataFrame:
-    """(search, floor): a weight that ``limit`` entries at least reach; absent where unknown.
+def _meetings(lookups: DataFrame, lists: DataFrame) -> DataFrame:
+    """(search, at, entry, entry_codes): like ``_met``, with the word that was looked up and all words of the entry."""
+    lists = lists.select(F.col("code").alias("at"), "entry", "rest", "entry_codes").hint("shuffle_hash")
+    asked = lookups.select("search", "floor", F.col("code").alias("at"))
+    return asked.join(lists, "at").filter("rest >= floor").select("search", "at", "entry", "entry_codes")
 
-    Words are taken until their short lists hold twice as many entries as answers, so at most
-    2 * limit + HEAD rows meet for a search.
+
+def _weights(meetings: DataFrame, searches: DataFrame) -> DataFrame:
+    """(search, entry, floors, weights): each pair that was met, with its exact weight for each query of
+    the search; null where the query is not asked or shares no word with the entry.
+
+    A pair met at several words tells all it shares each time, and once each time the word it was met at.
     """
+    # outer, as the filter that an inner one implies would compute the shared words twice
+    shared = F.explode_outer(F.array_intersect("codes", "entry_codes")).alias("code")
+
+    def weight(n: int) -> Column:
+        lacked = F.array_contains(F.get("lacks", F.lit(n)), F.col("code"))
+        return F.call_function("div", F.sum(F.when(~lacked, _weight(F.col("code")))), F.count_if(F.col("code") == F.col("at"))).alias(f"w{n}")
+
+    return (
+        meetings.join(searches.select("search", "codes", "lacks", "floors").hint("shuffle_hash"), "search")
+        .select("search", "entry", "floors", "at", "lacks", shared)
+        .groupBy("search", "entry", "floors")
+        .agg(F.struct(*[weight(n) for n in range(QUERIES)]).alias("weights"))
+    )
+
+
+def _seeds(codes: Column, limit: int) -> Column:
+    """The rarest of the words, until their short lists hold twice as many entries as answers."""
     start = F.struct(F.lit(0).cast("bigint").alias("rows"), F.lit(0).alias("n"))
     taken = F.aggregate(
-        "codes",
+        codes,
         start,
         lambda s, c: F.when(s["rows"] >= 2 * limit, s).otherwise(
             F.struct((s["rows"] + F.least(F.shiftright(c, NUMBER_BITS), F.lit(HEAD))).alias("rows"), (s["n"] + 1).alias("n"))
         ),
         lambda s: s["n"],
     )
-    seeds = searches.select("search", F.lit(0).alias("floor"), F.explode(F.slice("codes", F.lit(1), taken)).alias("code"))
+    return F.slice(codes, F.lit(1), taken)
+
+
+def floors(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT) -> DataFrame:
+    """(search, floor): a weight that ``limit`` entries at least reach; absent where unknown.
+
+    Words are taken until their short lists hold twice as many entries as answers, so at most
+    2 * limit + HEAD rows meet for a search.
+    """
+    seeds = searches.select("search", F.lit(0).alias("floor"), F.explode(_seeds(F.col("codes"), limit)).alias("code"))
     return (
         _judged(_met(seeds, index.heads), searches)
         .groupBy("search")
@@ -263,10 +328,10 @@ def floors(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT) -> D
     )
 
 
-def _floored(searches: DataFrame, index: Index, limit: int) -> DataFrame:
-    """``searches`` with their ``floor`` and how many of their words are looked up in whole."""
+def _needed() -> Column:
+    """How many words of a search are looked up in whole: this and all that follow reach the floor."""
     start = F.struct(F.col("total").alias("left"), F.lit(0).alias("n"))
-    needed = F.aggregate(
+    return F.aggregate(
         "codes",
         start,
         lambda s, c: F.when(s["left"] < F.col("floor"), s).otherwise(
@@ -274,11 +339,40 @@ def _floored(searches: DataFrame, index: Index, limit: int) -> DataFrame:
         ),
         lambda s: s["n"],
     )
+
+
+def _floored(searches: DataFrame, index: Index, limit: int) -> DataFrame:
+    """``searches`` with their ``floor`` and how many of their words are looked up in whole."""
     return (
         searches.join(floors(searches, index, limit), "search", "left")
         .withColumn("floor", F.coalesce("floor", F.lit(0)))
         .withColumn("total", _total(F.col("codes")))
-        .withColumn("needed", needed)
+        .withColumn("needed", _needed())
+        .drop("total")
+    )
+
+
+def _floored_ways(searches: DataFrame, index: Index, limit: int) -> DataFrame:
+    """``searches`` asked in several ways with the floor of each in ``floors``, the lowest of them as
+    ``floor``, and how many words are looked up in whole."""
+    # of each query that is asked, its own rarest words; a query mostly lacks none or few
+    asked = F.filter("lacks", lambda lack: lack.isNotNull())
+    rarest = F.flatten(F.transform(asked, lambda lack: _seeds(F.array_except("codes", lack), limit)))
+    seeds = searches.select("search", F.lit(0).alias("floor"), F.explode(F.array_distinct(rarest)).alias("code"))
+    unknown = F.struct(*[F.lit(0).cast("bigint").alias(f"f{n}") for n in range(QUERIES)])
+    met = _weights(_meetings(seeds, index.heads), searches.withColumn("floors", unknown))
+    # a list of weights is short: no query takes more than 2 * limit + HEAD seed rows
+    best = [F.sort_array(F.collect_list(f"weights.w{n}"), asc=False).alias(f"b{n}") for n in range(QUERIES)]
+    floor = [F.coalesce(F.get(f"b{n}", F.lit(limit - 1)), F.lit(0).cast("bigint")).alias(f"f{n}") for n in range(QUERIES)]
+    found = met.groupBy("search").agg(*best).select("search", F.struct(*floor).alias("floors"))
+    # a query that is not asked lowers no floor
+    lowest = F.least(*[F.when(F.get("lacks", F.lit(n)).isNotNull(), F.col(f"floors.f{n}")) for n in range(QUERIES)])
+    return (
+        searches.join(found, "search", "left")
+        .withColumn("floors", F.coalesce("floors", unknown))
+        .withColumn("floor", F.coalesce(lowest, F.lit(0)))
+        .withColumn("total", _total(F.col("codes")))
+        .withColumn("needed", _needed())
         .drop("total")
     )
 
@@ -296,9 +390,7 @@ def answer(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT) -> D
     """Ranked answers of written ``searches`` (search_id, codes, search): (search_id, cand_id, weight, rank)."""
     # one row for each search; its words are told apart when it is read
     floored = materialise(_floored(searches, index, limit))
-    asked = _words(floored.withColumn("n", F.size("codes")), "search", "floor", "n")
-    at_end = F.col("at") == F.col("n") - 1
-    met = _met(asked.filter(~at_end), _postings(index.entries)).unionByName(_met(asked.filter(at_end), index.heads))
+    met = _in_whole(_met, floored, index)
     ranking = Window.partitionBy("search").orderBy(F.desc("weight"), "unpopular", "cand_id")
     return (
         _judged(met, searches)
@@ -311,6 +403,46 @@ def answer(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT) -> D
     )
 
 
+def _in_whole(meet, floored: DataFrame, index: Index) -> DataFrame:
+    """Entries met at the words that can reach the floor, the most frequent word by its short list."""
+    asked = _words(floored.withColumn("n", F.size("codes")), "search", "floor", "n")
+    at_end = F.col("at") == F.col("n") - 1
+    return meet(asked.filter(~at_end), _postings(index.entries)).unionByName(meet(asked.filter(at_end), index.heads))
+
+
+def answer_ways(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT) -> DataFrame:
+    """Answers of written ``searches`` (codes, lacks, search) to all queries of each at once, every entry at
+    the first query that returns it: (search, cand_id, query_no, rank).
+
+    The queries of a track share nearly all their words, so entries are met once and weighed for each.
+    """
+    floored = materialise(_floored_ways(searches, index, limit))
+    ways = [
+        F.when(F.col(f"weights.w{n}") >= F.col(f"floors.f{n}"), F.struct(F.lit(n).alias("query_no"), F.col(f"weights.w{n}").alias("weight")))
+        for n in range(QUERIES)
+    ]
+    ranking = Window.partitionBy("search", "query_no").orderBy(F.desc("weight"), "unpopular", "cand_id")
+    # as one number, which a hash aggregate can keep
+    at = F.shiftleft(F.col("query_no").cast("bigint"), 32).bitwiseOR(F.col("rank").cast("bigint"))
+    return (
+        _weights(_in_whole(_meetings, floored, index), floored)
+        .select("search", "entry", F.explode(F.array(*ways)).alias("way"))
+        .filter("way is not null")
+        .join(index.entries.select("entry", "cands"), "entry")
+        .select("search", "way.query_no", "way.weight", F.inline("cands"))
+        .withColumn("rank", F.row_number().over(ranking))
+        .filter(F.col("rank") <= limit)
+        .groupBy("search", "cand_id")
+        .agg(F.min(at).alias("_at"))
+        .select(
+            "search",
+            "cand_id",
+            F.shiftright("_at", 32).cast("int").alias("query_no"),
+            F.col("_at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("rank"),
+        )
+    )
+
+
 def told_apart(searches: DataFrame) -> DataFrame:
     """Distinct ``searches`` (search_id, codes) written with ``search``, a shorter number of each."""
     return materialise(searches.withColumn("search", F.monotonically_increasing_id()))

@@ -253,3 +253,27 @@ def test_known_words_are_those_of_each_query(spark):
     assert got == {k: v for k, v in wanted.items() if v and k[0] is not None}
     plan = search.with_queries(t.drop("asked", "terms", "track"))._jdf.queryExecution().optimizedPlan().toString()
     assert "filter(array(struct" not in plan and "filter(array(CASE" not in plan
+
+
+def test_queries_of_a_track_are_searched_at_once(spark, monkeypatch):
+    """Entries are met once for all queries of a track; each answers at the first query that returns it."""
+    tracks = [
+        track(1, "Blue Moon (Live)", "A feat. Zed"), track(2, "Zed - feat. Moon", "Moon"), ("l", 3, "t3", "Rain Rain", "A & B", "Al", "C", 0, None),
+        ("l", 4, "t4", "Blue", "", "", "", 0, None), ("l", 5, "t5", "Moon", None, None, None, None, None), track(6, "nothing", "known"),
+    ]
+    entries = [entry(i, f"{['Blue', 'Moon', 'Rain', 'Zed', 'Live'][i % 5]} {['moon', 'x'][i % 2]}", ["a", "b", "c", "zed"][i % 4], popularity=i % 3) for i in range(90)]
+    for t, c in (sides(spark, tracks, entries), random_sides(spark, 11)):
+        every = search.search_by(["track"], t, c)
+        wanted = sorted(map(tuple, link.first_query_pairs(every, "track").select("track", "cand_id", "query_no", "rank").collect()))
+        assert {w[2] for w in wanted} > {0}
+        index = search.build_index(c)
+        words = search.known_ways(t, index)
+        searches = search.told_apart(words.select("search_id", "codes", "lacks").distinct())
+        found = words.join(searches.select("search_id", "search"), "search_id").join(search.answer_ways(searches, index), "search")
+        assert sorted(map(tuple, found.select("track", "cand_id", "query_no", "rank").collect())) == wanted
+        calls = []
+        monkeypatch.setattr(link, "answer_ways", lambda *a: calls.append(1) or search.answer_ways(*a))
+        staged = link.staged_pairs(t, c)
+        assert calls == [1]
+        kept = link.early_stop(link.candidate_pairs(t, c)).select("key", "cand_id", "query_no", "rank", "score")
+        assert sorted(map(tuple, staged.select("key", "cand_id", "query_no", "rank", "score").collect())) == sorted(map(tuple, kept.collect()))
