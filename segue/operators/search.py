@@ -422,8 +422,6 @@ def answer_ways(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT)
         for n in range(QUERIES)
     ]
     ranking = Window.partitionBy("search", "query_no").orderBy(F.desc("weight"), "unpopular", "cand_id")
-    # as one number, which a hash aggregate can keep
-    at = F.shiftleft(F.col("query_no").cast("bigint"), 32).bitwiseOR(F.col("rank").cast("bigint"))
     return (
         _weights(_in_whole(_meetings, floored, index), floored)
         .select("search", "entry", F.explode(F.array(*ways)).alias("way"))
@@ -432,14 +430,10 @@ def answer_ways(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT)
         .select("search", "way.query_no", "way.weight", F.inline("cands"))
         .withColumn("rank", F.row_number().over(ranking))
         .filter(F.col("rank") <= limit)
-        .groupBy("search", "cand_id")
-        .agg(F.min(at).alias("_at"))
-        .select(
-            "search",
-            "cand_id",
-            F.shiftright("_at", 32).cast("int").alias("query_no"),
-            F.col("_at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("rank"),
-        )
+        # an id that the catalog holds several times answers as often
+        .withColumn("_first", F.min("query_no").over(Window.partitionBy("search", "cand_id")))
+        .filter(F.col("query_no") == F.col("_first"))
+        .select("search", "cand_id", "query_no", "rank")
     )
 
 

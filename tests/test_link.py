@@ -277,3 +277,9 @@ def test_queries_of_a_track_are_searched_at_once(spark, monkeypatch):
         assert calls == [1]
         kept = link.early_stop(link.candidate_pairs(t, c)).select("key", "cand_id", "query_no", "rank", "score")
         assert sorted(map(tuple, staged.select("key", "cand_id", "query_no", "rank", "score").collect())) == sorted(map(tuple, kept.collect()))
+
+
+def test_an_id_listed_twice_answers_twice(spark):
+    entries = [entry(1, "Blue Moon", "Elvis"), entry(1, "Blue Moon", "Elvis"), entry(2, "Blue Sky", "Elvis")]
+    staged = link.staged_pairs(*sides(spark, [track(1, "Blue Moon Zanzibar", "Elvis")], entries))
+    assert sorted((r.cand_id, r.query_no, r["rank"]) for r in staged.collect()) == [("c0001", 0, 1)] * 2 + [("c0001", 0, 2)] * 2 + [("c0002", 0, 3)]
