@@ -47,12 +47,15 @@ LARGEST = 2**27
 #: Rows by which codebooks are fitted, codewords of a half at most, entries a cell is to hold.
 SAMPLE = 20_000
 CODEWORDS = 256
-CELL = 64
-#: Entries and anchors that meet in one group at most, about.
+CELL = 2048
+#: Entries and anchors that meet in one group at most, about: each entry moves once for so many
+#: anchors, each anchor once for every cell it asks for.
 BLOCK_ENTRIES = 4096
-BLOCK_ANCHORS = 256
+BLOCK_ANCHORS = 2048
+#: Anchors of a group that are compared at once, which bounds the table of scores.
+SLICE = 256
 #: Entries an anchor asks for in its first round; each further one asks for more.
-FIRST_ROUND = 2048
+FIRST_ROUND = 8192
 GROWTH = 4
 SEED = 13
 
@@ -116,12 +119,12 @@ def _celled(entries: DataFrame, books: dict[int, tuple]) -> DataFrame:
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            numbers, vectors = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            by_length: dict[int, list[int]] = {}
-            for i, v in enumerate(vectors):
-                by_length.setdefault(len(v), []).append(i)
-            for dims, places in by_length.items():
-                both = halves(np.array([vectors[i] for i in places], np.float64).reshape(len(places), dims))
+            numbers, vectors = batch.column(0).to_numpy(), batch.column(1)
+            lengths, starts = pc.list_value_length(vectors).to_numpy(), vectors.offsets.to_numpy()
+            parts = vectors.values.to_numpy()
+            for dims in np.unique(lengths).tolist():
+                places = np.flatnonzero(lengths == dims)
+                both = halves(parts[starts[places][:, None] + np.arange(dims)].astype(np.float64))
                 found, apart = [], []
                 for half, centres in zip(both, held.value[dims], strict=True):
                     near = nearest_centre(half, centres)
@@ -234,7 +237,7 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     dims = max(a.shape[1], 1)
     if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * dims < 2**52:
         return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    return a.astype(np.int64) @ b.astype(np.int64).T
 
 
 def best_in_windows(
@@ -244,21 +247,29 @@ def best_in_windows(
 
     One more than k, as an anchor's own entry may bring nothing but itself.
     """
-    scores = _exact(anchors, entries)
-    order = np.argsort(least_ids, kind="stable")
-    for i, mine in enumerate(windows):
-        fits = (labels == anchor_labels[i]) == same
-        wanted = np.zeros(len(entries), bool)
-        for low, high, last in mine:
-            inside = fits & (scores[i] >= max(low, last if last is not None else low)) & (scores[i] <= high)
-            at = order[inside[order]]
-            wanted[at[np.argsort(-scores[i][at], kind="stable")[: k + 1]]] = True
-        at = np.flatnonzero(wanted)
-        yield i, at, scores[i][at]
+    of_label: dict[int, np.ndarray] = {}
+    for first in range(0, len(windows), SLICE):
+        scores = _exact(anchors[first : first + SLICE], entries)
+        for i, mine in enumerate(windows[first : first + SLICE], first):
+            label = int(anchor_labels[i])
+            if label not in of_label:
+                of_label[label] = np.flatnonzero((labels == label) == same)
+            fits = of_label[label]
+            held = scores[i - first][fits]
+            wanted = np.zeros(len(fits), bool)
+            for low, high, last in mine:
+                at = np.flatnonzero((held >= max(low, last if last is not None else low)) & (held <= high))
+                if len(at) > k + 1:
+                    # what the last of them scores, then the smallest ids among those that tie there
+                    least = np.partition(held[at], len(at) - k - 1)[len(at) - k - 1]
+                    at = at[held[at] >= least]
+                    at = at[np.lexsort((least_ids[fits[at]], -held[at]))[: k + 1]]
+                wanted[at] = True
+            yield i, fits[wanted], held[wanted]
 
 
 _WINDOWS = "array<struct<w:int,low:bigint,high:bigint,last:bigint>>"
-_REQUESTS = f"anchor bigint, dims int, cell int, taken bigint, v array<bigint>, label bigint, windows {_WINDOWS}"
+_REQUESTS = f"anchor bigint, dims int, cell int, taken bigint, v array<int>, label bigint, windows {_WINDOWS}"
 _ANSWERS = "anchor bigint, entry bigint, score bigint"
 
 
@@ -278,7 +289,7 @@ def _rounds(index: Index, anchors: DataFrame, same: bool, k: int, ids: DataFrame
     wanted = first_round
     types = pa.schema(
         [
-            ("anchor", pa.int64()), ("dims", pa.int32()), ("cell", pa.int32()), ("taken", pa.int64()), ("v", pa.list_(pa.int64())), ("label", pa.int64()),
+            ("anchor", pa.int64()), ("dims", pa.int32()), ("cell", pa.int32()), ("taken", pa.int64()), ("v", pa.list_(pa.int32())), ("label", pa.int64()),
             ("windows", pa.list_(pa.struct([("w", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("last", pa.int64())]))),
         ]
     )
@@ -323,7 +334,7 @@ def _rounds(index: Index, anchors: DataFrame, same: bool, k: int, ids: DataFrame
             index.rows.join(asking, ["dims", "cell"])
             .withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)))
             .select(
-                "dims", "cell", "block", "group", F.lit(None).cast("bigint").alias("anchor"), "entry", "v", "label",
+                "dims", "cell", "block", "group", F.lit(None).cast("bigint").alias("anchor"), "entry", F.col("v").cast("array<int>").alias("v"), "label",
                 F.lit(None).cast(_WINDOWS).alias("windows"), F.col("ids")[0].cast("bigint").alias("least"),
             )
         )

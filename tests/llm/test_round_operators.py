@@ -231,6 +231,26 @@ def test_hard_negatives_odd_rows(spark):
     assert mined(spark, held[:0]) == [] and mined(spark, held[:1]) == []
 
 
+def test_anchors_ask_for_few_large_cells(spark):
+    """What moves and is walked for an anchor is a row for thousands of entries, not for dozens."""
+    rows = [(i, 0, [i % 141, i // 141]) for i in range(20_000)]
+    entries = spark.createDataFrame(rows, "entry bigint, label bigint, v array<bigint>")
+    ((first, second),) = negatives.codebooks(entries).values()
+    assert len(first) * len(second) <= 16
+    rng = np.random.default_rng(3)
+    entries, anchors = rng.integers(-9, 9, (400, 3)).astype(np.int32), rng.integers(-9, 9, (negatives.SLICE + 40, 3)).astype(np.int32)
+    labels, of_anchor, ids = rng.integers(0, 3, 400), rng.integers(0, 3, len(anchors)), rng.permutation(400)
+    windows = [[(-(2**62), 2**62, None), (0, 50, None), (-20, 30, 25)]] * len(anchors)
+    for same in (True, False):
+        found = list(negatives.best_in_windows(anchors, of_anchor, windows, entries, labels, ids, same, 4))
+        assert [i for i, *_ in found] == list(range(len(anchors)))
+        for i, at, scores in found:
+            exact = [int(x) for x in entries.astype(int) @ anchors[i].astype(int)]
+            fits = [(-s, ids[e], e) for e, s in enumerate(exact) if (labels[e] == of_anchor[i]) == same]
+            wanted = {e for low, high, last in windows[i] for *_, e in sorted(f for f in fits if max(low, last or low) <= -f[0] <= high)[:5]}
+            assert set(at) == wanted and list(scores) == [exact[e] for e in at]
+
+
 def test_walk_is_certified():
     """A walk never goes up, covers all cells, and stops before cells that cannot matter."""
     rng = np.random.default_rng(8)
