@@ -28,18 +28,23 @@ def _texts(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.select(key, F.inline(F.array(*told))).filter("text is not null")
 
 
-def scored(tracks: DataFrame, catalog: DataFrame, pairs: DataFrame, on: str = "key") -> DataFrame:
+def scored(tracks: DataFrame, catalog: DataFrame, pairs: DataFrame, on: str = "key", few: bool = False) -> DataFrame:
     """``pairs`` (key, cand_id, ...) with their ``score``; other columns are kept.
 
     ``on`` names the column that tells a track.  The entry comes first, as its texts are the
     shorter ones to move; the pairs of a track then lie together.  An entry's name and lead move
-    only where they differ from its title and artist.
+    only where they differ from its title and artist.  ``pairs`` may bring the texts of their tracks, which
+    then are not joined and not kept; ``few`` tells that the catalog may lie beside every task.
     """
+    brought = set(TRACK_SIDE) <= set(pairs.columns)
     own = [F.when(~F.col(c).eqNullSafe(F.col(like)), F.struct(c)).alias(c) for c, like in LIKE.items()]
     entries = catalog.select("cand_id", *[c for c in CATALOG_SIDE if c not in LIKE], *own)
-    met = pairs.join(entries, "cand_id").join(tracks.select(on, *TRACK_SIDE), on)
+    met = pairs.join(F.broadcast(entries) if few else entries, "cand_id")
+    if not brought:
+        met = met.join(tracks.select(on, *TRACK_SIDE), on)
     whole = {c: F.when(F.col(c).isNull(), F.col(like)).otherwise(F.col(f"{c}.{c}")) for c, like in LIKE.items()}
-    return with_score(met.withColumns(whole)).select(*pairs.columns, "score")
+    kept = [c for c in pairs.columns if not brought or c not in TRACK_SIDE]
+    return with_score(met.withColumns(whole)).select(*kept, "score")
 
 
 class PairScores:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import materialise
 
 
 def with_key(tracks: DataFrame) -> DataFrame:
@@ -57,6 +58,15 @@ def prepare_tracks(representatives: DataFrame) -> DataFrame:
     )
 
 
+def written(tracks: DataFrame) -> DataFrame:
+    """Keyed tracks written once; a key or a name is written only where it is not told by the title."""
+    like = {"key": text.identity_key("isrc", "t_lead", "t_title")}
+    if "t_name" in tracks.columns:
+        like["t_name"] = F.col("t_title")
+    lean = materialise(tracks.withColumns({c: F.when(~F.col(c).eqNullSafe(v), F.struct(c)) for c, v in like.items()}), dense=True)
+    return lean.withColumns({c: F.when(F.col(c).isNull(), v).otherwise(F.col(f"{c}.{c}")) for c, v in like.items()})
+
+
 def prepare_catalog(catalog: DataFrame) -> DataFrame:
     """Score-side columns of the catalog, and the words it is found by."""
     return (

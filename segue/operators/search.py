@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import text
 from ..session import materialise
+from . import packed
 from .ranking import numbered
 
 WEIGHT_SCALE = 1_000_000_000_000
@@ -55,7 +56,7 @@ def with_queries(tracks: DataFrame) -> DataFrame:
     distinct non-empty queries in order, each with the few of those words it lacks; and
     ``track``, a number that stands for the key, which may be as long as the name.
 
-    Heavy per row, and numbered by place: write the result before searching with it.
+    Numbered by place: write the numbers before searching with it.  Tracks that have a number keep it.
     """
     prepared = (
         tracks.withColumn("_lead", text.clean_artist("artist"))
@@ -92,7 +93,7 @@ def with_queries(tracks: DataFrame) -> DataFrame:
         query(["_title", "_album_lead"], ["t_title", "_n_album_lead"]),
         query(["_title"], ["t_title"]),
     )
-    return (
+    asking = (
         # distinct ones that are not null; a filter by a function would keep all of it from being compiled
         prepared.withColumn("asked", F.array_except(asked, F.array(F.lit(None))))
         .withColumn("_words", F.sort_array(split_words(own(fields, []))))
@@ -102,8 +103,8 @@ def with_queries(tracks: DataFrame) -> DataFrame:
             F.filter("_words", lambda w, i: (w != "") & ((i == 0) | (F.get("_words", i - 1) != w))),
         )
         .drop("_lead", "_title", "_album_lead", "_n_album_lead", "_words")
-        .withColumn("track", F.monotonically_increasing_id())
     )
+    return asking if "track" in tracks.columns else asking.withColumn("track", F.monotonically_increasing_id())
 
 
 def search_queries(tracks: DataFrame) -> DataFrame:
@@ -122,6 +123,7 @@ class Index(NamedTuple):
     entries: DataFrame  #: entry, codes (sorted), cands (best first)
     terms: DataFrame  #: term, code
     heads: DataFrame  #: code, entry, entry_codes, rest: the most popular entries of each word
+    packed: packed.Packed | None = None  #: all of it as arrays beside every worker, where it is small enough
 
 
 def catalog_index(catalog: DataFrame, limit: int = fv.SEARCH_LIMIT) -> DataFrame:
@@ -168,16 +170,37 @@ def build_index(catalog: DataFrame, limit: int = fv.SEARCH_LIMIT) -> Index:
         .filter(F.col("_n") <= max(HEAD, limit))
         .drop("_n", "best")
     )
+    size = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("codes")), F.lit(0)), F.coalesce(F.sum(F.size("cands")), F.lit(0))).first()
+    if max(size[0], size[2]) <= packed.ENTRIES and size[1] <= packed.POSTINGS:
+        return Index(entries, terms, heads, packed.packed_index(entries, terms, NUMBER_BITS, WEIGHT_SCALE))
     return Index(entries, terms, materialise(heads))
 
 
+def _missing(tracks: DataFrame) -> Column:
+    return F.transform("asked", lambda q: q["missing"]) if "asked" in tracks.columns else F.col("missing")
+
+
+def answer_lists(tracks: DataFrame, index: Index, limit: int, stay: str, *beside: str) -> DataFrame:
+    """(track, *beside, answers) of every track by a packed index: (query_no, rank, weight, cand_id) in order.
+
+    Tracks stay where they are.  ``stay`` is as of ``packed.answers``; a track without a key gets no answers.
+    """
+    return packed.answers(known_lists(tracks, index, stay == "all", *beside), index.packed, limit, max(HEAD, limit), QUERIES, stay)
+
+
+def known_lists(tracks: DataFrame, index: Index, every: bool, *beside: str) -> DataFrame:
+    """(track, *beside, codes, lacks) of every track by a packed index; see ``known_ways``."""
+    terms = F.when(F.col("key").isNotNull(), F.col("terms")).otherwise(F.array().cast("array<string>"))
+    told = tracks.select("track", *beside, terms.alias("terms"), _missing(tracks).alias("missing"))
+    return packed.known(told, index.packed, list(beside), QUERIES, every)
+
+
 def _known(tracks: DataFrame, index: Index) -> DataFrame:
     """(track, queries, all_known, lacked): the known words of a track, rare ones first, the
     number of its queries, and (code, lacking) of those words that some query lacks."""
     # the words of all queries of a track are looked up together, once; a word tells by a bit
     # the queries that lack it, which is told before texts are left behind
-    missing = F.transform("asked", lambda q: q["missing"]) if "asked" in tracks.columns else F.col("missing")
-    tracks = tracks.filter(F.col("key").isNotNull()).select("track", "terms", missing.alias("missing"))
+    tracks = tracks.filter(F.col("key").isNotNull()).select("track", "terms", _missing(tracks).alias("missing"))
     lacking = reduce(
         Column.bitwiseOR, [F.when(F.array_contains(F.get("missing", F.lit(n)), F.col("term")), 1 << n).otherwise(0) for n in range(QUERIES)]
     )
@@ -388,6 +411,9 @@ def lookups(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT) ->
 
 def answer(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT) -> DataFrame:
     """Ranked answers of written ``searches`` (search_id, codes, search): (search_id, cand_id, weight, rank)."""
+    if index.packed:
+        listed = packed.answers(searches.select("search_id", "codes"), index.packed, limit, max(HEAD, limit), 1, "all")
+        return listed.select("search_id", F.inline("answers")).select("search_id", "cand_id", "weight", "rank")
     # one row for each search; its words are told apart when it is read
     floored = materialise(_floored(searches, index, limit))
     met = _in_whole(_met, floored, index)
@@ -410,12 +436,16 @@ def _in_whole(meet, floored: DataFrame, index: Index) -> DataFrame:
     return meet(asked.filter(~at_end), _postings(index.entries)).unionByName(meet(asked.filter(at_end), index.heads))
 
 
-def answer_ways(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT) -> DataFrame:
+def answer_ways(searches: DataFrame, index: Index, limit: int = fv.SEARCH_LIMIT, listed: bool = False) -> DataFrame:
     """Answers of written ``searches`` (codes, lacks, search) to all queries of each at once, every entry at
     the first query that returns it: (search, cand_id, query_no, rank).
 
     The queries of a track share nearly all their words, so entries are met once and weighed for each.
+    By a packed index they may be left ``listed`` as ``answers`` beside the other columns of a search.
     """
+    if index.packed:
+        lists = packed.answers(searches, index.packed, limit, max(HEAD, limit), QUERIES, "first")
+        return lists if listed else lists.select("search", F.inline("answers")).select("search", "cand_id", "query_no", "rank")
     floored = materialise(_floored_ways(searches, index, limit))
     ways = [
         F.when(F.col(f"weights.w{n}") >= F.col(f"floors.f{n}"), F.struct(F.lit(n).alias("query_no"), F.col(f"weights.w{n}").alias("weight")))
@@ -459,6 +489,9 @@ def search_by(
 ) -> DataFrame:
     """``search`` with the columns ``told`` of a track, ``key`` or ``track``."""
     index = index or build_index(catalog, limit)
+    if index.packed:
+        lists = answer_lists(tracks, index, limit, "all", *[c for c in told if c != "track"])
+        return lists.select(*told, F.inline("answers")).select(*told, "query_no", "cand_id", "weight", "rank")
     words = known_words(tracks, index)
     answers = answer(distinct_searches(words), index, limit)
     return (

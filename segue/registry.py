@@ -10,12 +10,12 @@ from . import fixtures as fx
 from .functions import fixed_values as fv
 from .functions import text
 from .functions.similarity import token_set_ratio
-from .operators import account, albums, forms, link, ranking, search, selection
+from .operators import account, albums, forms, link, packed, ranking, search, selection
 from .operators import decisions as dec
 from .operators.prepare import dedup_groups, prepare_catalog, prepare_tracks, with_key
 from .plans import report, reset, transfer, writes
 from .schemas import SEARCH_PAGE, TRACK_PAGE
-from .session import materialise, shared_folder
+from .session import broadcast_if_small, materialise, shared_folder
 from .sinks import tables as sinks
 from .sinks import versions
 from .sources import filters, json_export, page_dumps, plist_export
@@ -78,10 +78,9 @@ def dedup_groups_query(spark, sf):
 
 def token_set_ratio_pairs(spark, sf):
     tracks, catalog = _sides(spark, sf)
-    pairs = link.first_query_pairs(search.search_by(["track"], tracks, catalog), "track").select("track", "cand_id")
+    pairs = link.found_pairs(tracks, catalog, fv.SEARCH_LIMIT, None, "key", "t_title")
     return (
-        pairs.join(catalog.select("cand_id", "c_title"), "cand_id")
-        .join(tracks.select("track", "key", "t_title"), "track")
+        pairs.join(broadcast_if_small(catalog.select("cand_id", "c_title"), packed.ENTRIES), "cand_id")
         .select("key", "cand_id", F.round(token_set_ratio("t_title", "c_title"), 6).alias("ratio"))
     )
 
@@ -134,7 +133,8 @@ def search_candidates(spark, sf):
 
 
 def match_metrics(spark, sf):
-    keyed = materialise(with_key(fx.doc_tracks(spark, sf)))
+    # not written: the report needs only numbers of it, and digests of the keys
+    keyed = with_key(fx.doc_tracks(spark, sf))
     decisions = link.link_tracks(*link.ready(dedup_groups(keyed), fx.page_catalog(spark, sf)))
     return report.match_metrics(keyed, keyed, decisions)
 

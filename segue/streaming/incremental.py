@@ -12,9 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import fixed_values as fv
 from ..operators import decisions as dec
-from ..operators.link import link_tracks
-from ..operators.prepare import dedup_groups, prepare_catalog, prepare_tracks, with_key
-from ..operators.search import build_index, with_queries
+from ..operators.link import link_tracks, ready_tracks
+from ..operators.prepare import dedup_groups, prepare_catalog, with_key
+from ..operators.search import build_index
 from ..session import materialise
 from ..sinks.versions import decisions_table
 
@@ -42,7 +42,7 @@ def link_stream(
         if now and now.batches.get(progress, -1) >= number:
             return
         work = dec.work_list(dedup_groups(with_key(batch)), table.load(now), threshold).drop("stale")
-        ready = materialise(with_queries(prepare_tracks(work)))
+        ready = ready_tracks(work)
         table.merge(link_tracks(ready, entries, threshold, index=index), progress, number)
 
     return (
