@@ -34,9 +34,11 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def rank_by_position(df: DataFrame, keys: list[str], pos: str, name: str = "rank") -> DataFrame:
+def rank_by_position(df: DataFrame, keys: list[str], pos: str, name: str = "rank", times: str | None = None) -> DataFrame:
     """Add the 1-based rank of ``pos`` (integer, unique in its group) per group.
 
+    With ``times``, a row stands for so many, and its rank is that of the first of them.
+
     A group may hold a large share of all rows, so no task ever sees a whole one.  The rows
     are written once, range-partitioned by group and position: most groups lie in one
     partition, and large ones are cut by Spark's own sample of the positions, however those
@@ -48,15 +50,18 @@ def rank_by_position(df: DataFrame, keys: list[str], pos: str, name: str = "rank
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         placed.groupBy(*keys, "_part")
-        .agg(F.count(F.lit(1)).alias("_size"))
+        .agg((F.sum(times) if times else F.count(F.lit(1))).alias("_size"))
         .withColumn("_shift", F.sum("_size").over(earlier))
         .filter(F.col("_shift").isNotNull())
         .select("_shift", *[F.col(c).alias(f"_of_{c}") for c in [*keys, "_part"]])
     )
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*keys, "_part"]])
     inside = Window.partitionBy("_part", *keys).orderBy(pos)
+    place = F.row_number().over(inside)
+    if times:
+        place = F.coalesce(F.sum(times).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
     return (
-        placed.withColumn("_inside", F.row_number().over(inside))
+        placed.withColumn("_inside", place)
         .join(F.broadcast(shifts), same, "left")
         .withColumn(name, F.col("_inside") + F.coalesce("_shift", F.lit(0)))
         .drop("_part", "_inside", "_shift", *[f"_of_{c}" for c in [*keys, "_part"]])

@@ -16,7 +16,7 @@ def _names_of_tracks(items: DataFrame, playlists: DataFrame, names_per_row: int)
 
     A track several times in a playlist repeats its name; the repeats are counted before
     anything is ranked.  A cell holds at most ``names_per_row`` playlists, a playlist with more
-    repeats than that counting once for each so many; what is more continues in further parts.
+    repeats than that counting name by name; what is more continues in further parts.
     """
     track = ["library_id", "track_id"]
     repeats = items.groupBy(*track, "playlist_id").agg(F.count(F.lit(1)).alias("n"))
@@ -24,13 +24,16 @@ def _names_of_tracks(items: DataFrame, playlists: DataFrame, names_per_row: int)
         playlists.select("library_id", "playlist_id", F.col("name").alias("playlist"), F.col("pos").alias("playlist_pos")),
         ["library_id", "playlist_id"],
     )
-    last = F.expr(f"(n - 1) div {names_per_row}")
-    pieces = named.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
-    count = F.least(F.lit(names_per_row), F.col("n") - F.col("piece") * names_per_row).cast("int")
-    place = F.struct("playlist_pos", "playlist_id", "piece")
-    ranked = rank_by_position(pieces.select(*track, "playlist", count.alias("times"), place.alias("at")), track, "at")
+    often = F.col("n") > names_per_row
+    counts = F.when(often, F.col("n")).otherwise(F.lit(1).cast("bigint"))
+    placed = named.select(*track, "playlist", "n", counts.alias("counts"), F.struct("playlist_pos", "playlist_id").alias("at"))
+    ranked = rank_by_position(placed, track, "at", times="counts")
+    first, last = F.expr(f"(rank - 1) div {names_per_row}"), F.expr(f"(rank + counts - 2) div {names_per_row}")
+    # what of a playlist that reaches into further cells lies in this one
+    inside = F.expr(f"least(rank - 1 + n, (part + 1) * {names_per_row}) - greatest(rank - 1, part * {names_per_row})")
     return (
-        ranked.withColumn("part", F.expr(f"(rank - 1) div {names_per_row}"))
+        ranked.withColumn("part", F.explode(F.sequence(first, last)))
+        .withColumn("times", F.when(often, inside).otherwise(F.col("n")).cast("int"))
         .groupBy(*track, "part")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "playlist", "times"))).alias("_n"))
         .select(*track, "part", F.array_join(F.flatten(F.transform("_n", lambda n: F.array_repeat(n["playlist"], n["times"]))), fv.REPORT_NAME_SEPARATOR).alias("playlists"))
@@ -74,11 +77,15 @@ def report_order(report: DataFrame) -> DataFrame:
 
 
 def match_metrics(keyed_tracks: DataFrame, needed: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Per library: needed tracks, those with a code, distinct keys, keys and tracks matched."""
+    """Per library: needed tracks, those with a code, distinct keys, keys and tracks matched.
+
+    A key may be as long as the name, so its digest moves for it.
+    """
     ids = ["library_id", "track_id"]
-    found = decisions.select("key", F.nullif("id", F.lit("")).isNotNull().alias("matched"))
+    digest = F.unhex(F.md5("key")).alias("key")
+    found = decisions.select(digest, F.nullif("id", F.lit("")).isNotNull().alias("matched"))
     per_key = (
-        keyed_tracks.join(needed.select(*ids), ids, "left_semi")
+        keyed_tracks.select(*ids, digest, "isrc").join(needed.select(*ids), ids, "left_semi")
         .groupBy("library_id", "key")
         .agg(F.count(F.lit(1)).alias("n"), F.count("isrc").alias("n_isrc"))
         .join(found, "key", "left")
