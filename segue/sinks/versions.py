@@ -92,7 +92,7 @@ class VersionedTable:
         folder = uuid.uuid4().hex
         columns = self.spark.createDataFrame([], self.schema).columns
         placed = rows.select(*columns).withColumn("bucket", self._bucket(buckets))
-        placed.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/data/{folder}")
+        placed.repartition("bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/data/{folder}")
         return folder
 
     def merge(self, new: DataFrame, stream: str | None = None, batch: int | None = None, written: bool = False) -> Version:
@@ -102,7 +102,7 @@ class VersionedTable:
         failure, changes nothing.  ``written`` tells that ``new`` is read from written rows, so
         that its keys are at hand and its other columns are computed only where they are saved.
         """
-        new = new if written else materialise(new)
+        new = new if written else materialise(new, dense=True)
         while True:
             now = self.current() or Version(0, self.buckets, {}, {})
             if stream is not None and now.batches.get(stream, -1) >= batch:
@@ -110,8 +110,11 @@ class VersionedTable:
             touched = {str(r[0]) for r in new.select(self._bucket(now.buckets)).distinct().collect()}  # as many as buckets
             parts = dict(now.parts)
             if touched:
-                kept = self.load(now, touched).join(new.select(self.key), self.key, "left_anti")
-                folder = self._write(new.unionByName(kept.select(*new.columns)), now.buckets)
+                rows = new
+                if touched & set(now.parts):  # else nothing is kept, and the keys need not move
+                    kept = self.load(now, touched).join(new.select(self.key), self.key, "left_anti")
+                    rows = new.unionByName(kept.select(*new.columns))
+                folder = self._write(rows, now.buckets)
                 parts |= dict.fromkeys(touched, folder)
             batches = now.batches | ({stream: batch} if stream is not None else {})
             version = Version(now.number + 1, now.buckets, parts, batches)
